@@ -140,9 +140,11 @@ def classes(prints: DataFrame, id_col: str, max_bits: int = MAX_BITS, fine_grid:
     """``(fp, component_id)`` per distinct fingerprint: the least id of all that are linked to it, itself included."""
     distinct = materialised(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = components(links(distinct, max_bits, fine=distinct.count() > fine_grid))
-    linked = materialised(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"), "linked")
-    heads = linked.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
-    both = linked.join(heads, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    linked = materialised(roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least"), "linked")
+    # Written first, so that both sides of the next join are plain shuffles and a large component's key can be split.
+    heads = materialised(linked.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
+    named = linked.join(heads, "root").select("fp", "component_id", F.lit(True).alias("is_linked"))
+    both = distinct.join(named, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return materialised(both, "classes")
 
 
