@@ -87,8 +87,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
         for rb in rows:
             out: dict[str, list] = {"batch": [], "id": [], "n": [], "full": [], "rest": []}
             texts = (x.as_py() for x in rb.column(1))
-            for i, t in enumerate(texts):
-                ids = np.append(next(own.encode([t])), np.uint32(tokens.END_ID)).astype("<u4")
+            for i, found in enumerate(own.encode(texts)):
+                ids = np.append(found, np.uint32(tokens.END_ID)).astype("<u4")
                 cut = len(ids) - len(ids) % capacity
                 out["batch"].append(rb.column(2)[i].as_py())
                 out["id"].append(rb.column(0)[i].as_py())

@@ -157,12 +157,11 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
         name = f"{where}/{part:06d}-{uuid.uuid4().hex}"
         own, writer, stream = tokens.encoder(vocabulary), None, None
         for rb in rows:
-            for doc_id, t in zip(rb.column(0), rb.column(1), strict=True):
+            for doc_id, ids in zip(rb.column(0), own.encode(t.as_py() for t in rb.column(1)), strict=True):
                 if writer is None:
                     fs.create_dir(where, recursive=True)
                     stream = fs.open_output_stream(name + ".part")
                     writer = FileWriter(stream, width)
-                ids = next(own.encode([t.as_py()]))
                 writer.add(doc_id.as_py(), ids if end_id is None else np.append(ids, np.uint32(end_id)))
         if writer:
             writer.close()
