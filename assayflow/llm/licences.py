@@ -109,8 +109,8 @@ def oracle() -> str:
     normal = f"trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '{ODD}', ' ', 'g'), ' .')"
     hits = ", ".join(f"CASE WHEN j LIKE '%{'%'.join(f'|{i}|' for i in rule)}%' THEN '{name}' END" for name, rule in RULES)
     return f"""
-WITH ids AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '{CUT}'), s -> CASE {normal} {cases} END), i -> i IS NOT NULL) AS ids FROM documents),
+WITH ids AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '{CUT}'), lambda s: CASE {normal} {cases} END), lambda i: i IS NOT NULL) AS ids FROM documents),
 hit AS (SELECT doc_id, ids, '|' || coalesce(array_to_string(ids, '||'), '') || '|' AS j FROM ids)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentences,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{hits}], x -> x IS NOT NULL))), ','), '') AS licences
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT NULL))), ','), '') AS licences
 FROM hit"""
