@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 import regex
 
 #: Distinct groups in each of a worker's two cache generations.
-CACHE_GROUPS = 600_000
+CACHE_GROUPS = 400_000
 #: Id that ends each document.
 END_ID = 0
 #: Characters of text worked on at a time; a longer text is cut at a place where pieces end.
-STRETCH = 1 << 21
+STRETCH = 1 << 22
 _CUT = regex.compile(r" (?!\s)(?=.)", regex.S)
 #: Fixed value: white space, for RE2. A space before it is no place to cut.
 _WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
