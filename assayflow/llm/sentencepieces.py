@@ -1,8 +1,9 @@
 """SentencePiece BPE encoding by suffix-array matching, and decoding.
 
 A text is normalised as the model says (identity, spaces as U+2581, one put in front). No piece has U+2581 after
-another character, so the text falls into units at these places, and each distinct unit is encoded once for a batch.
-The units of a batch are laid end to end; the suffix array of that text is sorted by as many characters as the
+another character, so the text falls into units at these places. A unit falls further into atoms between any two
+neighbouring characters that stand side by side in no piece, as no merge can cross such a place. Each distinct atom is encoded
+once for a batch. The atoms of a batch are laid end to end; the suffix array of that text is sorted by as many characters as the
 longest piece has; every piece is looked up by binary search, which gives the range of its occurrences. These
 occurrences are edges from start to end; they are sorted by position and relaxed from left to right.
 
@@ -65,16 +66,21 @@ class Pieces:
         high = table.copy()
         high[np.arange(self.longest) >= self.lengths[:, None]] = 0xFFFFFFFF
         self.high = high.view(f"S{4 * self.longest}").ravel()
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.cache: dict[str, list[int]] = {}
+        self.atoms: dict[str, list[int]] = {}
         self.agree = lru_cache(1 << 18)(self._agree)
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging of a short string: the highest score first, leftmost of equals."""
-        parts = list(text)
+        parts, score = list(text), self.scores.get
         while len(parts) > 1:
-            scores = [self.scores.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
-            k = int(np.argmax(scores))
-            if scores[k] == -np.inf:
+            best, k = None, 0
+            for i in range(len(parts) - 1):
+                s = score(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, k = s, i
+            if best is None:
                 break
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
@@ -138,15 +144,32 @@ class Pieces:
             out.append(ids)
         return out
 
+    def _cut(self, unit: str) -> list[str]:
+        """The atoms of a unit."""
+        pairs, at, out = self.pairs, 0, []
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in pairs:
+                out.append(unit[at:k])
+                at = k
+        out.append(unit[at:])
+        return out
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text of a batch."""
         cut = [units(t) for t in texts]
-        missing = [u for u in dict.fromkeys(u for c in cut for u in c) if u not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_UNITS:
+        distinct = {u for c in cut for u in c}
+        if len(self.cache) + len(distinct) > CACHE_UNITS:
             self.cache.clear()
-            missing = list(dict.fromkeys(u for c in cut for u in c))
-        if missing:
-            self.cache.update(zip(missing, self._encode_units(missing), strict=True))
+        missing = [u for u in distinct if u not in self.cache]
+        parts = [self._cut(u) for u in missing]
+        atoms = {a for p in parts for a in p}
+        if len(self.atoms) + len(atoms) > CACHE_UNITS:
+            self.atoms.clear()
+        new = [a for a in atoms if a not in self.atoms]
+        if new:
+            self.atoms.update(zip(new, self._encode_units(new), strict=True))
+        for unit, p in zip(missing, parts, strict=True):
+            self.cache[unit] = self.atoms[p[0]] if len(p) == 1 else [i for a in p for i in self.atoms[a]]
         return [[i for u in c for i in self.cache[u]] for c in cut]
 
     def decode(self, ids: list[int]) -> str:
@@ -201,7 +224,7 @@ def pieces(model: str) -> Pieces:
     return _models[model]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str | None = None, ids: bool = True, batch: int = 256) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str | None = None, ids: bool = True, batch: int = 1024) -> DataFrame:
     """Per document its id, ``n_ids``, ``ids_crc32`` (as little-endian unsigned 32-bit integers), ``returns`` (whether decoding gives
     the text back, a U+2581 in it as a space) and, if asked for, ``ids``."""
     model = model or default_model()
