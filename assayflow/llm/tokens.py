@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Distinct groups in each of a worker's two cache generations.
+#: Distinct groups in each of a task's two cache generations.
 CACHE_GROUPS = 400_000
 #: Id that ends each document.
 END_ID = 0
@@ -87,11 +87,13 @@ class Encoder:
     """Ids as unsigned 32-bit arrays. Strings of special tokens in a text are ordinary text."""
 
     def __init__(self, vocabulary: str, cache_groups: int = CACHE_GROUPS) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        if vocabulary not in _tokenizers:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+            _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary)
+            _tokenizers[vocabulary].encode_special_tokens = True
+        self.tokenizer = _tokenizers[vocabulary]
         self.groups: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.uncut: set[str] = set()  # pieces that the library has to cut
@@ -118,6 +120,7 @@ class Encoder:
                 waiting.append(text)
                 size += len(text)
         yield from self._encode(waiting)
+        pa.default_memory_pool().release_unused()
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not texts:
@@ -177,11 +180,9 @@ class Encoder:
             groups[group] = np.array(self.tokenizer.encode(group, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
+_tokenizers: dict = {}
 
 
 def encoder(vocabulary: str) -> Encoder:
-    """One encoder per Python worker and vocabulary, so that its cache outlives a batch."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    """An encoder for one task. Its cache goes with it, so that an idle Python worker holds the vocabulary only."""
+    return Encoder(vocabulary)
