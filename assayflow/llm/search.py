@@ -58,25 +58,32 @@ def vectors(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 class Index:
-    """A shard: ids, postings by term and document, and greatest impacts by term and block."""
+    """A shard: ids, postings by term and document, and greatest impacts by term and block.
 
-    def __init__(self, **arrays: np.ndarray) -> None:
-        self.__dict__.update(arrays)
+    Only ids, lengths, terms and the postings' documents and counts are kept in the file, in the narrowest types; impacts and
+    blocks follow from them.
+    """
 
-    NAMES = ("ids", "terms", "first", "blocks", "most", "posting", "docs", "impacts")
+    NAMES = ("ids", "lengths", "mean", "terms", "sizes", "docs", "counts")
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, mean: np.ndarray, terms: np.ndarray, sizes: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> None:
+        self.ids, self.lengths, self.mean, self.terms, self.sizes, self.docs, self.counts = ids, lengths, mean, terms, sizes, docs, counts
+        tf, kind, block = counts.astype(float), np.repeat(np.arange(len(terms)), sizes), docs // BLOCK_DOCS
+        self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / mean))
+        starts = np.flatnonzero(np.append(len(docs) > 0, (kind[1:] != kind[:-1]) | (block[1:] != block[:-1]))[: len(docs)])
+        self.first = np.searchsorted(kind[starts], np.arange(len(terms) + 1))
+        self.blocks, self.posting = block[starts].astype(np.int32), np.append(starts, len(docs))
+        self.most = np.maximum.reduceat(self.impacts, starts) if len(starts) else self.impacts
 
     @classmethod
     def build(cls, ids: np.ndarray, lengths: np.ndarray, terms: list, counts: list, mean: float) -> Index:
         owner = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
         term = np.concatenate([np.empty(0, np.int64), *map(np.asarray, terms)]).astype(np.int64)
-        tf = np.concatenate([np.empty(0, np.int32), *map(np.asarray, counts)]).astype(float)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))
+        tf = np.concatenate([np.empty(0, np.int64), *map(np.asarray, counts)]).astype(np.int64)
         order = np.lexsort((owner, term))
-        term, owner, impact = term[order], owner[order], impact[order]
-        block = owner // BLOCK_DOCS
-        starts = np.flatnonzero(np.append(len(term) > 0, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
-        kinds, first = np.unique(term[starts], return_index=True)
-        return cls(ids=ids, terms=kinds, first=np.append(first, len(starts)), blocks=block[starts].astype(np.int32), most=np.maximum.reduceat(impact, starts) if len(starts) else impact, posting=np.append(starts, len(term)), docs=owner.astype(np.int32), impacts=impact)
+        kinds, sizes = np.unique(term, return_counts=True)
+        narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        return cls(np.asarray(ids), np.asarray(lengths), np.array(mean), kinds, narrow(sizes), narrow(owner[order]), narrow(tf[order]))
 
     def save(self, path: str) -> None:
         held = io.BytesIO()
