@@ -152,7 +152,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id
     df = vecs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     # Only terms of queries are looked up; a term that is common in queries is split by adaptive execution.
-    needed = materialised(df.join(pairs.select("term").distinct(), "term", "left_semi").select("term", idf.alias("idf")), "idf")
+    needed = materialised(df.join(pairs.select("term").distinct(), "term").select("term", idf.alias("idf")), "idf")
     weighted = pairs.join(needed, "term").groupBy("q").agg(F.collect_list(F.struct("term", (F.col("n") * F.col("idf")).alias("w"))).alias("terms"))
     ready = asked.select("q", F.col("id").alias("query_id")).join(weighted, "q").withColumn("terms", F.sort_array("terms"))
 
