@@ -5,7 +5,7 @@ another character, so the text falls into units at these places. A unit falls fu
 neighbouring characters that stand side by side in no piece, as no merge can cross such a place. Each distinct atom is encoded
 once for a batch. The atoms of a batch are laid end to end; the suffix array of that text is sorted by as many characters as the
 longest piece has; every piece is looked up by binary search, which gives the range of its occurrences. These
-occurrences are edges from start to end; they are sorted by position and relaxed from left to right.
+occurrences are edges from start to end; they are sorted by position and relaxed from left to right, all atoms side by side.
 
 The model is a BPE model, whose result is not the best-scored path but what its merges lead to. Encodings of
 prefixes are prefixes of encodings, and a sequence is what merging gives if and only if each two neighbours, merged
@@ -19,19 +19,25 @@ text's length bounds only its own list of places.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 BLOCK_CHARS = 1 << 16
-CACHE_UNITS = 250_000
+CACHE_UNITS = 400_000
+CACHE_PAIRS = 1 << 20
 END_UNIT = 0x110000
+#: Numbers beside those of pieces: no piece, a place not reached, and the first of characters that are no pieces.
+NONE, UNREACHED, FREE = 0x7FFFFFFF, 0x7FFFFFFE, 0x40000000
+SEPARATORS = [chr(c) for c in range(1, 9)]
 
 
 def default_model() -> str:
@@ -67,9 +73,16 @@ class Pieces:
         high[np.arange(self.longest) >= self.lengths[:, None]] = 0xFFFFFFFF
         self.high = high.view(f"S{4 * self.longest}").ravel()
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        codes = np.array([(ord(p[0]), ord(p[1])) for p in self.pairs], np.int64).reshape(-1, 2)
+        self.pair_codes = np.sort(codes[:, 0] << 21 | codes[:, 1])
+        self.single_codes = np.array(sorted(ord(p) for p in self.ids if len(p) == 1), np.int64)
+        # What each id stands for whatever stands beside it; bytes from 0x80 on depend on their neighbours.
+        alone = self.names | {i: chr(b) for b, i in enumerate(self.bytes) if b < 0x80}
+        self.texts = pa.array([alone.get(i, "") for i in range(sp.vocab_size())], pa.string())
+        self.plain = np.isin(np.arange(sp.vocab_size()), list(alone))
         self.cache: dict[str, list[int]] = {}
         self.atoms: dict[str, list[int]] = {}
-        self.agree = lru_cache(1 << 18)(self._agree)
+        self.agrees: dict[int, bool] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging of a short string: the highest score first, leftmost of equals."""
@@ -89,9 +102,27 @@ class Pieces:
         """Whether two pieces side by side stay as they are; with no left one, whether the piece does."""
         return self._merge(left + right) == ([left, right] if left else [right])
 
-    def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All occurrences of pieces as (end, start), sorted by place."""
-        ends, starts = [], []
+    def _name(self, piece: int) -> str:
+        """The characters of a piece, or of a character that is no piece; of none the empty string."""
+        return "" if piece == NONE else self.names[piece] if piece < FREE else chr(piece - FREE)
+
+    def _agreements(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_agree`` for many pairs, each distinct pair once."""
+        keys, back = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
+        if len(self.agrees) > CACHE_PAIRS:
+            self.agrees.clear()
+        out, known = np.empty(len(keys), bool), self.agrees.get
+        for k, key in enumerate(keys.tolist()):
+            found = known(key)
+            if found is None:
+                found = self.agrees[key] = self._agree(self._name(key >> 32), self._name(key & 0xFFFFFFFF))
+            out[k] = found
+        return out[back]
+
+    def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All occurrences of pieces as (end, start, piece), sorted by place. A character that is no piece is an edge too."""
+        alone = np.flatnonzero(~np.isin(text, self.single_codes) & (text != END_UNIT))
+        ends, starts, kinds = [alone + 1], [alone], [text[alone].astype(np.int64) + FREE]
         padded = np.concatenate([text, np.full(self.longest, END_UNIT)]).astype(">u4")
         for at in range(0, len(text), BLOCK_CHARS):
             n = min(BLOCK_CHARS, len(text) - at)
@@ -105,72 +136,102 @@ class Pieces:
             place = array[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)] + at
             starts.append(place)
             ends.append(place + self.lengths[which])
-        start, end = np.concatenate(starts), np.concatenate(ends)
+            kinds.append(self.numbers[which])
+        start, end, kind = np.concatenate(starts), np.concatenate(ends), np.concatenate(kinds)
         order = np.lexsort((start, end))
-        return end[order], start[order]
-
-    def _encode_units(self, units: list[str]) -> list[list[int]]:
-        text = "\x00".join(units)
-        codes = np.frombuffer(text.encode("utf-32-be", "surrogatepass"), ">u4").copy()
-        bounds = np.cumsum([0, *(len(u) + 1 for u in units)])
-        codes[bounds[1:-1] - 1] = END_UNIT
-        ends, starts = (x.tolist() for x in self._edges(codes))
-        out, k, n = [], 0, len(ends)
-        for unit, base in zip(units, bounds.tolist(), strict=False):
-            before: list[tuple[int, str] | None] = [None] * (len(unit) + 1)  # per place the last piece and its start
-            for end in range(1, len(unit) + 1):
-                best = None
-                while k < n and ends[k] <= base + end:
-                    start = starts[k] - base
-                    k += 1
-                    if best is None and start >= 0 and ends[k - 1] == base + end and (start == 0 or before[start] is not None):
-                        piece = unit[start:end]
-                        if self.agree(before[start][1] if start else "", piece):
-                            best = (start, piece)
-                if best is None and (end == 1 or before[end - 1] is not None) and unit[end - 1] not in self.ids:
-                    char = unit[end - 1]
-                    if self.agree(before[end - 1][1] if end > 1 else "", char):
-                        best = (end - 1, char)
-                before[end] = best
-            path, end = [], len(unit)
-            while end:
-                start, piece = before[end]
-                path.append(piece)
-                end = start
-            ids: list[int] = []
-            for piece in reversed(path):
-                known = self.ids.get(piece)
-                ids += [known] if known is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-            out.append(ids)
+        return end[order], start[order], kind[order]
+
+    def _encode_atoms(self, atoms: list[str]) -> list[list[int]]:
+        """The ids of each atom. Edges are relaxed for all atoms at once, those that end after one character first."""
+        lengths = np.array([len(a) for a in atoms])
+        bases = np.cumsum(lengths + 1) - lengths - 1
+        codes = np.frombuffer("\x00".join(atoms).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        codes[bases[1:] - 1] = END_UNIT
+        end, start, kind = self._edges(codes)
+        base = bases[np.searchsorted(bases, start, "right") - 1]
+        depth = end - base
+        order = np.argsort(depth, kind="stable")
+        end, start, kind, first = end[order], start[order], kind[order], (start == base)[order]
+        cuts = np.searchsorted(depth[order], np.arange(1, lengths.max() + 2))
+        last = np.full(len(codes) + 2, UNREACHED, np.int64)  # per place the last piece of the encoding up to it, and where it starts
+        back = np.zeros(len(codes) + 2, np.int64)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            left = np.where(first[lo:hi], NONE, last[start[lo:hi]])
+            some = np.flatnonzero(left != UNREACHED)
+            some = some[self._agreements(left[some], kind[lo:hi][some])] + lo
+            last[end[some]], back[end[some]] = kind[some], start[some]
+        last_of, back_of, out = last.tolist(), back.tolist(), []
+        for at, n in zip(bases.tolist(), lengths.tolist(), strict=True):
+            place, path = at + n, []
+            while place > at:
+                path.append(last_of[place])
+                place = back_of[place]
+            path.reverse()
+            if max(path) >= FREE:
+                path = [i for p in path for i in ([p] if p < FREE else [self.bytes[b] for b in chr(p - FREE).encode("utf-8", "surrogatepass")])]
+            out.append(path)
         return out
 
-    def _cut(self, unit: str) -> list[str]:
-        """The atoms of a unit."""
-        pairs, at, out = self.pairs, 0, []
-        for k in range(1, len(unit)):
-            if unit[k - 1 : k + 1] not in pairs:
-                out.append(unit[at:k])
-                at = k
-        out.append(unit[at:])
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text of a batch."""
-        cut = [units(t) for t in texts]
-        distinct = {u for c in cut for u in c}
+    def _cut(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+        """The atoms of all units, end to end, and where each unit's begin among them."""
+        text = "".join(units)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        bounds = np.cumsum([0, *map(len, units)])
+        free = np.ones(len(codes) + 1, bool)
+        if len(self.pair_codes):
+            pair = codes[:-1] << 21 | codes[1:]
+            at = np.minimum(np.searchsorted(self.pair_codes, pair), len(self.pair_codes) - 1)
+            free[1:-1] = self.pair_codes[at] != pair
+        free[bounds] = True
+        cuts = np.flatnonzero(free)
+        places = cuts.tolist()
+        return [text[a:b] for a, b in zip(places[:-1], places[1:], strict=True)], np.searchsorted(cuts, bounds)
+
+    def _learn(self, distinct: list[str]) -> None:
+        """Puts the ids of units into the cache."""
         if len(self.cache) + len(distinct) > CACHE_UNITS:
             self.cache.clear()
         missing = [u for u in distinct if u not in self.cache]
-        parts = [self._cut(u) for u in missing]
-        atoms = {a for p in parts for a in p}
+        if not missing:
+            return
+        parts, bounds = self._cut(missing)
+        atoms = set(parts)
         if len(self.atoms) + len(atoms) > CACHE_UNITS:
             self.atoms.clear()
         new = [a for a in atoms if a not in self.atoms]
         if new:
-            self.atoms.update(zip(new, self._encode_units(new), strict=True))
-        for unit, p in zip(missing, parts, strict=True):
-            self.cache[unit] = self.atoms[p[0]] if len(p) == 1 else [i for a in p for i in self.atoms[a]]
-        return [[i for u in c for i in self.cache[u]] for c in cut]
+            self.atoms.update(zip(new, self._encode_atoms(new), strict=True))
+        known, places = self.atoms, bounds.tolist()
+        for unit, a, b in zip(missing, places[:-1], places[1:], strict=True):
+            self.cache[unit] = known[parts[a]] if b == a + 1 else [i for p in parts[a:b] for i in known[p]]
+
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text of a batch; a null has none."""
+        lists = cut_units(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn(distinct)
+        own = [self.cache[u] for u in distinct]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter(chain.from_iterable(own), np.int32, int(sizes.sum()))
+        each = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(sizes)), pa.array(flat))
+        which = coded.indices
+        ids = each.take(which).flatten()
+        ends = np.append(0, np.cumsum(sizes[which.to_numpy()]))
+        return pa.LargeListArray.from_arrays(ends[lists.offsets.to_numpy()], ids)
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text of a batch."""
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
+    def decode_array(self, lists: pa.LargeListArray) -> list[str]:
+        """The text of each list of ids."""
+        ids, bounds = lists.flatten(), lists.offsets.to_numpy()
+        odd = np.append(0, np.cumsum(~self.plain[ids.to_numpy()]))
+        joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets.cast(pa.int32()), self.texts.take(ids)), "")
+        marked = pc.replace_substring(joined, MARK, " ").to_pylist()
+        simple = odd[bounds[1:]] == odd[bounds[:-1]]
+        return [t[1:] if s and t.startswith(" ") else t if s else self.decode(x.as_py()) for t, s, x in zip(marked, simple, lists, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each."""
@@ -214,6 +275,25 @@ def units(text: str | None) -> list[str]:
     return out + [run] * bool(run)
 
 
+def cut_units(texts: pa.Array) -> pa.ListArray:
+    """``units`` of each text by Arrow kernels, around a control character that no text of the batch has."""
+    free = next((c for c in SEPARATORS if not pc.any(pc.match_substring(texts, c)).as_py()), None)
+    if free is None:
+        return pa.array([units(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+    texts = texts.cast(pa.large_string())
+    marked = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), pc.replace_substring(texts, " ", MARK), pa.scalar("", pa.large_string()))
+    parts = pc.split_pattern(pc.replace_substring_regex(marked, f"({MARK}+)", free + "\\1"), free)
+    # The first part of each text is empty, as the text begins with a mark; it goes, and so does the mark put before no text.
+    offsets = parts.offsets.to_numpy()
+    empty = pc.fill_null(pc.equal(texts, ""), True).to_numpy(zero_copy_only=False)
+    gone = np.where(empty, np.diff(offsets), 1)
+    kept = np.ones(len(parts.values), bool)
+    kept[offsets[:-1][~empty]] = False
+    kept[np.repeat(empty, np.diff(offsets))] = False
+    fewer = offsets - np.append(0, np.cumsum(gone))
+    return pa.LargeListArray.from_arrays(fewer.astype(np.int64), parts.values.filter(pa.array(kept)))
+
+
 _models: dict[str, Pieces] = {}
 
 
@@ -235,11 +315,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: s
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 rb = whole.slice(at, batch)
-                texts = rb.column(1).to_pylist()
-                found = own.encode(texts)
-                crcs = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in found]
-                same = [own.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(found, texts, strict=True)]
-                columns = [rb.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(crcs, pa.int64()), pa.array(same), *[pa.array(found, pa.list_(pa.int32()))] * ids]
+                texts = rb.column(1)
+                found = own.encode_array(texts)
+                bounds, flat = found.offsets.to_numpy(), found.flatten().to_numpy().astype("<u4")
+                crcs = [zlib.crc32(flat[a:b]) for a, b in itertools.pairwise(bounds.tolist())]
+                same = [d == (t or "").replace(MARK, " ") for d, t in zip(own.decode_array(found), texts.to_pylist(), strict=True)]
+                columns = [rb.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(crcs, pa.int64()), pa.array(same), *[found.cast(pa.list_(pa.int32()))] * ids]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_ids", "ids_crc32", "returns", *["ids"] * ids])
 
     return wanted.mapInArrow(run, f"`{id_col}` {wanted.schema['id'].dataType.simpleString()}, n_ids long, ids_crc32 long, returns boolean" + ", ids array<int>" * ids)
