@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,21 +14,9 @@ from ..operators.ranks import running
 from ..sources import adapters as A
 from ..sources import files
 from ..streaming import monitor
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 FLAGSHIP = "slo_hourly_error"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 _TR, _SG, _CL, _PR = (f"WITH {x} " for x in (A.TRACES, A.SEGMENTS, A.CLAIMS, A.PREDICTIONS))
 _LONG = A.TRACES + ", lf AS (" + " UNION ALL ".join(f"SELECT trace_id, ts, '{n}' AS slo, CAST({slo.BUDGETS[n]} AS DOUBLE) AS budget, {bad} AS bad FROM tr WHERE {e}" for n, e, bad in [

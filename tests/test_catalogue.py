@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from assayflow.plans import catalogue
+from assayflow.plans import catalogue, records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
