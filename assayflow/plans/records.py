@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
+from ..functions import numbers as N
 from ..functions import text as T
+from ..operators import matching as M
 from ..operators import scoring, slo
 from ..operators import validators as V
 from ..sources import adapters as A
@@ -223,3 +225,78 @@ def head_sampled(spark, sf):
     """A tenth of the traces by checksum, and every error; DuckDB has no CRC-32, so tests hold it against zlib."""
     t = A.traces(spark, sf)
     return t.where((F.crc32(F.col("trace_id").cast("string")) % 10000 < 1000) | (F.col("status") == "error")).select("trace_id", "status")
+
+
+# Numbers, names and matching
+
+
+@query("SELECT c_custkey, array_to_string(list_filter([regexp_replace(x, '^[ .]+|[ .]+$', '', 'g') for x in string_split_regex(c_name || ' and B. Other (c/o X); ' || c_mktsegment, '\\s+and\\s+|\\s*;\\s*|\\s*&\\s*|,\\s+')], lambda n: n <> ''), '|') AS names FROM customer".replace("c_name || ' and B. Other (c/o X); ' || c_mktsegment", "regexp_replace(c_name || ' and B. Other (c/o X); ' || c_custkey, '\\([^)]*\\)', '', 'g')"))
+def split_names(spark, sf):
+    listed = F.concat("c_name", F.lit(" and B. Other (c/o X); "), F.col("c_custkey").cast("string"))
+    return A.table(spark, sf, "customer").select("c_custkey", F.array_join(N.names(listed), "|").alias("names"))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS first_date, CAST(round(o_totalprice, 2) AS DECIMAL(20,4)) AS amount FROM orders")
+def dates_and_money(spark, sf):
+    """Each order's date and price written into a sentence and found again."""
+    o = A.table(spark, sf, "orders")
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "d/M/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    said = F.concat(F.lit("On "), day, F.lit(" the fee was AUD "), F.format_number("o_totalprice", 2), F.lit(" (not 31/2/2020)."))
+    return o.select("o_orderkey", said.alias("s")).select("o_orderkey", N.dates(F.col("s"))[0].alias("first_date"), N.money(F.col("s"))[0].alias("amount"))
+
+
+@query()
+def numeric_grounding(spark, sf):
+    """Numbers and dates of each turn that the turn before does not hold."""
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    c = A.table(spark, sf, "conversations").select("conv_id", "turn", "text", before.alias("before")).where("before IS NOT NULL")
+    values = N.number_forms(F.transform(N.numbers(F.col("before")), lambda n: n["value"]))
+    return c.select("conv_id", "turn", F.size(N.numbers(F.col("text"))).alias("n"), F.array_join(N.ungrounded(F.col("text"), values, F.col("before")), ";").alias("ungrounded"))
+
+
+@query()
+def hashed_embedding(spark, sf):
+    return N.embedded(A.table(spark, sf, "benchmark"), "item_id", "text")
+
+
+@query("WITH x AS (SELECT l_orderkey AS doc_id, count(*) AS n_gold, count(*) FILTER (l_linenumber <> 3) AS n_pred, count(*) FILTER (l_linenumber <> 3 AND l_quantity > 10) AS correct FROM lineitem GROUP BY 1), y AS (SELECT *, CASE WHEN n_pred > 0 THEN correct / n_pred WHEN n_gold = 0 THEN 1 ELSE 0 END AS p, CASE WHEN n_gold > 0 THEN correct / n_gold WHEN n_pred = 0 THEN 1 ELSE 0 END AS r FROM x) SELECT doc_id, n_pred, n_gold, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM y")
+def list_scores(spark, sf):
+    c = F.col
+    x = A.table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("doc_id")).agg(F.count("*").alias("n_gold"), F.count_if(c("l_linenumber") != 3).alias("n_pred"), F.count_if((c("l_linenumber") != 3) & (c("l_quantity") > 10)).alias("correct"))
+    return x.select("doc_id", "n_pred", "n_gold", *[F.round(v, 6).alias(n) for v, n in zip(M.list_scores(c("n_pred"), c("n_gold"), c("correct")), ("precision", "recall", "f1"), strict=True)])
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS matched, count(*) FILTER (l_linenumber <> 2) AS correct FROM lineitem GROUP BY 1")
+def recommendation_matching(spark, sf):
+    """Each order's line items against themselves in reverse order, the second with another amount."""
+    c, order = F.col, "l_orderkey"
+    item = lambda amount: F.struct("l_linenumber", F.md5(F.concat_ws("-", *[c(n).cast("string") for n in ("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")])).alias("product"), c("l_returnflag").alias("action"), amount.alias("amount"))
+    x = A.table(spark, sf, "lineitem").groupBy(c(order).alias("doc_id")).agg(F.sort_array(F.collect_list(item(c("l_extendedprice")))).alias("gold"), F.sort_array(F.collect_list(item(F.when(c("l_linenumber") == 2, 0.0).otherwise(c("l_extendedprice")))), asc=False).alias("pred"))
+    m = x.select("doc_id", M.match_recommendations("pred", "gold").alias("m"))
+    return m.select("doc_id", F.col("m.matched").cast("long").alias("matched"), F.col("m.correct").cast("long").alias("correct"))
+
+
+@query()
+def claim_matching(spark, sf):
+    """Assistant turns of a conversation against all its turns, one to one."""
+    item = lambda when: F.sort_array(F.collect_list(F.when(when, F.struct("turn", F.substring("text", 1, 200).alias("text"), F.lit(None).cast("string").alias("owner"), F.transform(N.numbers(F.substring("text", 1, 200)), lambda n: n["token"]).alias("facts")))))
+    c = A.table(spark, sf, "conversations").groupBy("conv_id").agg(item(F.col("role") == "assistant").alias("pred"), item(F.lit(True)).alias("gold"))
+    return c.select("conv_id", F.explode(M.match_claims(F.col("pred"), F.col("gold"))).alias("m")).select("conv_id", "m.i", "m.j", "m.score")
+
+
+@query()
+def error_intervals(spark, sf):
+    """The exact interval of each version's error rate."""
+    t = A.traces(spark, sf).groupBy("version").agg(F.count_if(F.col("status") == "error").alias("errors"), F.count("*").alias("n"))
+    return t.withColumn("x", M.binomial_interval("errors", "n")).select("version", "errors", "n", "x.low", "x.high")
+
+
+@query("SELECT source, lang, count(*) AS n, round(avg(CAST(n_chars = length(text) AS INTEGER)), 6) AS chars_right, round(avg(CAST(lang = 'en' AS INTEGER)), 6) AS lang_right FROM documents GROUP BY ROLLUP (source, lang)")
+def metadata_accuracy(spark, sf):
+    right = lambda x, name: F.round(F.avg(x.cast("int")), 6).alias(name)
+    return A.table(spark, sf, "documents").rollup("source", "lang").agg(F.count("*").alias("n"), right(F.col("n_chars") == F.length("text"), "chars_right"), right(F.col("lang") == "en", "lang_right"))
+
+
+@query(f"WITH {A.PREDICTIONS} SELECT doc_id % 50 AS document, round(min(p), 9) AS min_p, bool_or(y = 0) AS wrong, count(*) AS fields FROM pr GROUP BY 1")
+def document_rollup(spark, sf):
+    return A.predictions(spark, sf).groupBy((F.col("doc_id") % 50).alias("document")).agg(F.round(F.min("p"), 9).alias("min_p"), F.bool_or(F.col("y") == 0).alias("wrong"), F.count("*").alias("fields"))
