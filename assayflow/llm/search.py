@@ -22,11 +22,13 @@ queries of that id, whose results are equal.
 from __future__ import annotations
 
 import io
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ from .shared import materialised, new_folder
 from .tokenfile import _filesystem
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, BLOCK_DOCS, QUERY_BLOCK, GROUPS = 8192, 256, 128, 4
+SHARD_DOCS, BLOCK_DOCS, QUERY_BLOCK, GROUPS = 8192, 256, 384, 4
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +78,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, mean: np.ndarray, terms: np.ndarray, sizes: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> None:
         self.ids, self.lengths, self.mean, self.terms, self.sizes, self.docs, self.counts = ids, lengths, mean, terms, sizes, docs, counts
-        tf, kind, block = counts.astype(float), np.repeat(np.arange(len(terms)), sizes), docs // BLOCK_DOCS
+        tf, kind, block = counts.astype(float), np.repeat(np.arange(len(terms)), sizes), docs.astype(np.int32) // BLOCK_DOCS
         self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / mean))
         starts = np.flatnonzero(np.append(len(docs) > 0, (kind[1:] != kind[:-1]) | (block[1:] != block[:-1]))[: len(docs)])
         self.first = np.searchsorted(kind[starts], np.arange(len(terms) + 1))
@@ -184,7 +186,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id
 
     def search(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
-        rows = [(q, i, np.array([t["term"] for t in ts], np.int64), np.array([t["w"] for t in ts])) for q, i, ts in zip(*(table.column(c).to_pylist() for c in ("q", "query_id", "terms")), strict=True)]
+        lists = table.column("terms").combine_chunks()
+        flat, ends = lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        every, weight = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("term", "w"))
+        pairs = zip(table.column("q").to_pylist(), table.column("query_id").to_pylist(), itertools.pairwise(ends.tolist()), strict=True)
+        rows = [(q, i, every[a:b], weight[a:b]) for q, i, (a, b) in pairs]
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(rows)
         for shard in range(group, shards, groups):
             if shard not in built:
