@@ -78,6 +78,10 @@ class Index:
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, mean: np.ndarray, terms: np.ndarray, sizes: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> None:
         self.ids, self.lengths, self.mean, self.terms, self.sizes, self.docs, self.counts = ids, lengths, mean, terms, sizes, docs, counts
+
+    def _derive(self) -> None:
+        """Impacts and blocks, made at the first search, so that a task that only writes the index has no need of their memory."""
+        lengths, mean, terms, sizes, docs, counts = self.lengths, self.mean, self.terms, self.sizes, self.docs, self.counts
         tf, kind, block = counts.astype(float), np.repeat(np.arange(len(terms)), sizes), docs.astype(np.int32) // BLOCK_DOCS
         self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / mean))
         starts = np.flatnonzero(np.append(len(docs) > 0, (kind[1:] != kind[:-1]) | (block[1:] != block[:-1]))[: len(docs)])
@@ -87,9 +91,9 @@ class Index:
 
     @classmethod
     def build(cls, ids: np.ndarray, lengths: np.ndarray, terms: list, counts: list, mean: float) -> Index:
-        owner = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
-        term = np.concatenate([np.empty(0, np.int64), *map(np.asarray, terms)]).astype(np.int64)
-        tf = np.concatenate([np.empty(0, np.int64), *map(np.asarray, counts)]).astype(np.int64)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in terms])
+        term = np.concatenate([np.empty(0, np.int64), *map(np.asarray, terms)]).astype(np.int64, copy=False)
+        tf = np.concatenate([np.empty(0, np.int32), *map(np.asarray, counts)])
         order = np.lexsort((owner, term))
         kinds, sizes = np.unique(term, return_counts=True)
         narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
@@ -113,6 +117,8 @@ class Index:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and scores of the best ``k`` documents with scores not below ``least``, and the number of blocks opened."""
+        if not hasattr(self, "impacts"):
+            self._derive()
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         here = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.empty(0, int)
