@@ -18,18 +18,27 @@ from ..functions import fuzzy
 
 def claim_pairs(pred: list[Any], gold: list[Any], least: float) -> list[dict]:
     """The best-scored pairs first, each item once. Items are (text, owner, facts); facts are the numbers and dates that must agree, and a null owner agrees with any."""
-    allowed = [
-        (-fuzzy.token_set_ratio(p["text"].lower(), g["text"].lower()), i, j)
-        for i, p in enumerate(pred)
-        for j, g in enumerate(gold)
-        if list(p["facts"]) == list(g["facts"]) and (p["owner"] is None or g["owner"] is None or p["owner"] == g["owner"])
-    ]
     free_i, free_j, out = set(range(len(pred))), set(range(len(gold))), []
-    for score, i, j in sorted(a for a in allowed if -a[0] >= least):
+    a, b = ([(x["text"].lower(), frozenset(x["text"].lower().split()), list(x["facts"]), x["owner"]) for x in side] for side in (pred, gold))
+
+    def take(score: float, i: int, j: int) -> None:
         if i in free_i and j in free_j:
             free_i.remove(i)
             free_j.remove(j)
-            out.append({"i": i, "j": j, "score": -score})
+            out.append({"i": i, "j": j, "score": score})
+
+    def allowed() -> list[tuple[int, int]]:
+        free = sorted(free_j)
+        return [(i, j) for i in sorted(free_i) for j in free if a[i][2] == b[j][2] and (a[i][3] is None or b[j][3] is None or a[i][3] == b[j][3])]
+
+    # Words that all stand in the other's score 100, and nothing else does: these go first, and no ratio of an item they take is needed.
+    for i, j in allowed() if least <= 100 else ():
+        x, y = a[i][1], b[j][1]
+        if x and y and (x <= y or y <= x):
+            take(100.0, i, j)
+    scored = [(-fuzzy.token_set_ratio(a[i][0], b[j][0]), i, j) for i, j in allowed()]
+    for score, i, j in sorted(s for s in scored if -s[0] >= least):
+        take(-score, i, j)
     return out
 
 

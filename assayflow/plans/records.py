@@ -279,7 +279,7 @@ def recommendation_matching(spark, sf):
 @query()
 def claim_matching(spark, sf):
     """Assistant turns of a conversation against all its turns, one to one."""
-    item = lambda when: F.sort_array(F.collect_list(F.when(when, F.struct("turn", F.substring("text", 1, 200).alias("text"), F.lit(None).cast("string").alias("owner"), F.transform(N.numbers(F.substring("text", 1, 200)), lambda n: n["token"]).alias("facts")))))
+    item = lambda when: F.sort_array(F.collect_list(F.when(when, F.struct("turn", "text", F.lit(None).cast("string").alias("owner"), F.transform(N.numbers(F.col("text")), lambda n: n["token"]).alias("facts")))))
     c = A.table(spark, sf, "conversations").groupBy("conv_id").agg(item(F.col("role") == "assistant").alias("pred"), item(F.lit(True)).alias("gold"))
     return c.select("conv_id", F.explode(M.match_claims(F.col("pred"), F.col("gold"))).alias("m")).select("conv_id", "m.i", "m.j", "m.score")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from datetime import date
 from decimal import Decimal
@@ -15,6 +16,7 @@ from assayflow.functions import fuzzy
 from assayflow.functions import numbers as N
 from assayflow.functions import text as T
 from assayflow.operators import matching as M
+from assayflow.plans import records
 
 
 def one(spark, value, column, kind="string"):
@@ -68,6 +70,28 @@ def test_claims_are_matched_once_best_first():
     assert M.claim_pairs([], gold, 80) == []
 
 
+def test_claims_match_as_by_all_scores():
+    r = random.Random(3)
+    item = lambda: {"text": " ".join(r.choices("a bb ccc dddd eeeee".split(), k=r.randint(0, 5))), "owner": r.choice([None, "x", "y"]), "facts": r.choice([[], ["1"]])}
+    for _ in range(300):
+        pred, gold = ([item() for _ in range(r.randint(0, 6))] for _ in range(2))
+        scores = sorted((-fuzzy.token_set_ratio(p["text"], g["text"]), i, j) for i, p in enumerate(pred) for j, g in enumerate(gold) if p["facts"] == g["facts"] and (None in (p["owner"], g["owner"]) or p["owner"] == g["owner"]))
+        want, used = [], set()
+        for score, i, j in scores:
+            if -score >= 60 and not {("i", i), ("j", j)} & used:
+                used |= {("i", i), ("j", j)}
+                want.append({"i": i, "j": j, "score": -score})
+        assert M.claim_pairs(pred, gold, 60) == want
+
+
+def test_claims_are_whole_texts(spark, tmp_path):
+    head = " ".join(f"word{i}" for i in range(40))
+    turns = [(1, 0, "user", f"{head} then red"), (1, 1, "user", f"{head} pay 6"), (1, 2, "assistant", f"{head} pay 5"), (1, 3, "assistant", f"{head} then blue")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = records.claim_matching(spark, str(tmp_path)).collect()
+    assert sorted((r.i, r.j, r.score) for r in got) == [(0, 2, 100.0), (1, 3, 100.0)]
+
+
 def test_recommendations_prefer_the_same_action():
     rec = lambda product, action, amount: {"product": product, "action": action, "amount": amount}
     gold = [rec("Growth Fund", "retain", 10.0), rec("growth fund", "redeem", None), rec("Other", "retain", 1.0)]
