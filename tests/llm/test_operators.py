@@ -349,6 +349,16 @@ def test_html_markup():
     assert htmltext.extract([inner]) == ["text\nmore"]
 
 
+def test_html_layout_names_and_unhidden():
+    whole = "Head & line\nFirst para with bold.\nSecond one goes on"
+    for open_, close in (("<body class='has-sidebar'>", "</body>"), ("<body class='banner'>", "</body>"), ("<div class='no-ads'>", "</div>"), ("<div class='sidebar'><p>x</p>", "</div>"), ("<div style='overflow:hidden'>", "</div>"), ("<div aria-hidden='false'>", "</div>")):
+        assert htmltext.extract([f"{open_}{ARTICLE}{close}"]) == [whole]
+    assert htmltext.extract([ARTICLE.replace("<article>", "<article class='promo'>")]) == [whole]
+    assert htmltext.extract([f"{ARTICLE}<div class='site-comments'><article>No</article></div>"]) == [whole]
+    assert htmltext.extract(["<p>the longer text of a page</p><div class='related'><article>teaser</article></div>"]) == ["the longer text of a page"]
+    assert htmltext.extract(["<div style='color:red; display: none'>x</div><p data-hidden='1'>y</p><p class='ad-slot'>z</p>"]) == ["y"]
+
+
 def test_html_repeats():
     boiler = "<div>all rights reserved by the owner of this very fine site of ours</div>"
     pages = [f"<body>{boiler}<div>story number {i} tells how the {chr(97 + i)} hero number {i * 7} went away far</div></body>" for i in range(8)]
