@@ -367,6 +367,14 @@ def test_html_repeats():
     assert htmltext.extract([f"<p>{i}</p>{same}" for i in range(8)]) == ["one passage that many pages of this host carry word for word in full"] * 8
 
 
+def test_html_repeats_in_articles():
+    boiler = "<div>all rights reserved by the owner of this very fine site of ours</div>"
+    story = lambda i: f"story number {i} tells how the {chr(97 + i)} hero number {i * 7} went away far and came back late in year {i * 13} to his own town"
+    assert htmltext.extract([f"<main><p>{story(i)}</p>{boiler}</main>" for i in range(8)]) == [story(i) for i in range(8)]
+    same = "<article><p>one passage that many pages of this host carry word for word in full</p><p>end {}</p></article>"
+    assert all(t.startswith("one passage") for t in htmltext.extract([same.format(i) for i in range(8)]))
+
+
 def test_covered_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):
