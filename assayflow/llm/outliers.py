@@ -9,7 +9,7 @@ place of sorted groups. ``FLOOR`` is added to each standard deviation, in quadra
 constant in clean text (symbols) would else make the covariance singular and any deviation infinite.
 Groups of fewer than ``LEAST`` documents are judged by the estimate over all groups.
 
-Documents beyond ``CUTOFF``, a squared distance far outside the chi-square range for four coordinates, are
+Documents beyond ``CUTOFF``, a quantile of the squared distance of normal documents, are
 rejected, and so are those that fail the base rules. Everything is DataFrame expressions; no Python
 runs on the executors, and what the driver learns is a count of groups.
 
@@ -28,11 +28,13 @@ from .shared import broadcast_if_small, materialised
 from .textstats import base_statistics
 
 DIMENSIONS = ("word_length", "symbols", "dup_lines", "repeats")
-FLOOR = {"word_length": 0.10, "symbols": 0.25, "dup_lines": 0.15, "repeats": 0.15}
+#: Each coordinate can pass ``CUTOFF`` alone: repeats are below 0.2 in what passes the base rules, duplicate lines below 1.
+FLOOR = {"word_length": 0.10, "symbols": 0.25, "dup_lines": 0.10, "repeats": 0.04}
 SUPPORT = 0.75
 STEPS = 3
 LEAST = 200
-CUTOFF = 60.0
+#: The 0.999 quantile of chi-square with four degrees of freedom.
+CUTOFF = 18.467
 #: Covariance of the nearest 75 % of a normal sample in four dimensions, relative to the whole: 0.75 / P(chi2_6 <= q), P(chi2_4 <= q) = 0.75.
 CONSISTENCY = 1.49
 #: Histogram cells: eight to each doubling of the squared distance, from 2^-20 to 2^44.

@@ -310,6 +310,18 @@ def test_estimates_resist_outliers(spark):
     assert abs(found.m_word_length - 1.6) < 0.03 and abs(found.m_symbols) < 0.03
 
 
+def test_each_coordinate_rejects_alone(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    some = lambda n, of=400: [vocabulary[k] for k in rng.integers(0, of, n)]
+    rows = [(i, " ".join(some(200))) for i in range(300)]
+    again = some(95)
+    odd = ["\n".join(some(200, 30)), " ".join([*again, *some(400), *again, *some(410)]), " ".join(w + "%" * (k % 5 == 0) for k, w in enumerate(some(200))), " ".join(w * 2 for w in some(200))]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in [*rows, *enumerate(odd, 1000)]], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.quality for r in outliers.judged(df).where("doc_id >= 1000 or not quality.kept").collect()}
+    assert sorted(got) == [1000, 1001, 1002, 1003] and not any(q.base_failed or q.kept for q in got.values())
+
+
 def test_rules_learn_and_compile(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = rulefit.train(documents, labels)
