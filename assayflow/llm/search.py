@@ -1,28 +1,33 @@
 """Exact BM25 top-k: sharded inverted indexes with block-max WAND, merged by global statistics.
 
-Documents become vectors of hashed terms and counts. Document counts per term, the number of documents and their
-mean length are taken over the whole table, so a score does not depend on the shard. Shards of about
-``SHARD_DOCS`` documents are indexed one by one: postings sorted by term and document, and per term and block of
-``BLOCK_DOCS`` documents the greatest impact. Within a shard documents are ordered by their most frequent term and length, so that
-a block holds documents alike. An index is a file in the shared folder, renamed into place under a name
-that follows from its shard, so a repeated task replaces it by the same content.
-
-A task takes a block of queries and passes over the shards of its group, holding one index at a time. A
-query's bound for a block of documents is the sum of its terms' greatest impacts there; blocks are opened in descending
-order of the bound, and none whose bound is below the k-th score so far (over all shards passed) is
-opened. What remains of each group is k rows per query, and the merge takes the first k of these.
+Every task of the table indexes the documents of its partition in shards, which are closed at ``SHARD_DOCS`` documents or
+``SHARD_POSTINGS`` postings, whichever comes first, so neither a large partition nor long documents make a large index. A
+shard is a file in the shared folder, named by partition and number and renamed into place, so that a repeated task replaces
+it by the same content; no document is shuffled. It holds, per term, the postings in document order, and the terms' document
+counts, which are summed over all shards: number of documents, mean length and document counts are those of the whole
+table, so a score does not depend on the shard. Within a shard documents are ordered by their most frequent term and
+length, and ``BLOCK_DOCS`` documents in order are a block, so that a block holds documents alike.
+
+Queries are written once, in blocks of about ``QUERY_BLOCK``, and a task searches one block of queries in ``GROUP_SHARDS``
+shards, one index at a time: its work does not grow with the table, and nothing is dealt but pairs of numbers. A query runs
+through a shard as block-max WAND does. Each of its terms has a cursor over the blocks that hold it and a bound, its
+greatest impact in the shard. The pivot is the first block at which the bounds of the terms with a cursor up to there
+reach the k-th score so far (over all shards passed); all cursors before it move to it. Only there are the block's own
+greatest impacts summed, and only if that reaches the k-th score, too, is the block opened and its documents scored.
+The block of the greatest sum is opened first, for a k-th score to begin with. What remains of each group is k
+rows per query, and the merge takes the first k of these.
 
 Every query takes its terms with their counts from its whole text, in lower case (A-Z), over all
 documents, its own included. Ties go to the lesser id (null last), then to the earlier place in the shard. Null,
 empty and wordless texts match nothing and have no results; they count as documents of length 0. A document that
 shares no term with a query is no result. Repeated rows are documents of their own. The same id queried twice is two
-queries of that id, whose results are equal.
+queries of that id, whose results are equal. Ids are whole numbers of any width up to 64 bits, null included; other types are
+refused before any work. Columns besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import io
-import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,188 +35,310 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .shared import materialised, new_folder
+from .shared import drop_folder, drop_table, materialised, new_folder
 from .tokenfile import _filesystem
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, BLOCK_DOCS, QUERY_BLOCK, GROUPS = 8192, 256, 384, 4
+SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS, QUERY_BLOCK, GROUP_SHARDS = 8192, 1 << 22, 256, 384, 8
+#: Terms whose hashes a task remembers.
+KNOWN_TERMS = 200_000
+#: Allowance for rounding when a bound is held against a score.
+SLACK = 1e-9
 
 
-def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms in ascending order, and their counts."""
-    found = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
-    terms = np.array([xxhash.xxh64_intdigest(w) for w in found], np.uint64).view(np.int64)
-    order = np.argsort(terms)
-    return terms[order], np.array(list(found.values()), np.int32)[order] if found else np.empty(0, np.int32)
+class Hasher:
+    """Hashed terms of texts; a bounded memory spares hashing frequent words again."""
 
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
 
-def vectors(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed terms in ascending order, and their counts."""
+        found = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
+        if len(self.known) > KNOWN_TERMS:
+            self.known.clear()
+        known, of = self.known, xxhash.xxh64_intdigest
+        terms = np.fromiter((known.get(w) or known.setdefault(w, of(w)) for w in found), np.uint64, len(found)).view(np.int64)
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(found.values(), np.int32, len(found))[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            pairs = [term_counts(t.as_py()) for t in rb.column(1)]
-            columns = [rb.column(0), pa.array([int(c.sum()) for _, c in pairs], pa.int64()), pa.array([t for t, _ in pairs], pa.list_(pa.int64())), pa.array([c for _, c in pairs], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "length", "terms", "counts"])
 
-    return wanted.mapInArrow(run, "id long, length long, terms array<long>, counts array<int>")
+def _put(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Writes arrays into one file under a name of its own, and renames it into place."""
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    fs, name = _filesystem(path)
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    own = f"{name}.{np.random.default_rng().integers(1 << 62):x}"
+    with fs.open_output_stream(own) as out:
+        out.write(held.getbuffer())
+    fs.move(own, name)
 
 
-def alike(table: pa.Table) -> np.ndarray:
-    """An order that puts documents of the same most frequent term side by side, shorter ones first: such blocks have low bounds for other queries."""
-    lists = zip(*([np.asarray(x.values) for x in table.column(c)] for c in ("terms", "counts")), strict=True)
-    main = np.array([t[np.argmax(c)] if len(t) else 0 for t, c in lists], np.int64)
-    return np.lexsort((table.column("length").to_numpy(), main))
+def _get(path: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Some of the arrays of a file; the others are not read."""
+    fs, name = _filesystem(path)
+    with fs.open_input_file(name) as source, np.load(source) as held:
+        return {n: held[n] for n in names}
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
 class Index:
     """A shard: ids, postings by term and document, and greatest impacts by term and block.
 
     Only ids, lengths, terms and the postings' documents and counts are kept in the file, in the narrowest types; impacts and
-    blocks follow from them.
+    blocks follow from them and the mean length.
     """
 
-    NAMES = ("ids", "lengths", "mean", "terms", "sizes", "docs", "counts")
+    NAMES = ("ids", "absent", "lengths", "terms", "sizes", "docs", "counts")
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, mean: np.ndarray, terms: np.ndarray, sizes: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> None:
-        self.ids, self.lengths, self.mean, self.terms, self.sizes, self.docs, self.counts = ids, lengths, mean, terms, sizes, docs, counts
-
-    def _derive(self) -> None:
-        """Impacts and blocks, made at the first search, so that a task that only writes the index has no need of their memory."""
-        lengths, mean, terms, sizes, docs, counts = self.lengths, self.mean, self.terms, self.sizes, self.docs, self.counts
-        tf, kind, block = counts.astype(float), np.repeat(np.arange(len(terms)), sizes), docs.astype(np.int32) // BLOCK_DOCS
-        self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / mean))
-        starts = np.flatnonzero(np.append(len(docs) > 0, (kind[1:] != kind[:-1]) | (block[1:] != block[:-1]))[: len(docs)])
-        self.first = np.searchsorted(kind[starts], np.arange(len(terms) + 1))
-        self.blocks, self.posting = block[starts].astype(np.int32), np.append(starts, len(docs))
-        self.most = np.maximum.reduceat(self.impacts, starts) if len(starts) else self.impacts
+    def __init__(self, ids: np.ndarray, absent: np.ndarray, lengths: np.ndarray, terms: np.ndarray, sizes: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> None:
+        self.ids, self.absent, self.lengths, self.terms, self.sizes, self.docs, self.counts = ids, absent, lengths, terms, sizes, docs, counts
 
     @classmethod
-    def build(cls, ids: np.ndarray, lengths: np.ndarray, terms: list, counts: list, mean: float) -> Index:
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in terms])
-        term = np.concatenate([np.empty(0, np.int64), *map(np.asarray, terms)]).astype(np.int64, copy=False)
-        tf = np.concatenate([np.empty(0, np.int32), *map(np.asarray, counts)])
+    def build(cls, ids: list[int | None], terms: list[np.ndarray], counts: list[np.ndarray]) -> Index:
+        main = np.array([t[np.argmax(c)] if len(t) else 0 for t, c in zip(terms, counts, strict=True)], np.int64)
+        lengths = np.array([int(c.sum()) for c in counts], np.int64)
+        rank = np.lexsort(([i or 0 for i in ids], [i is None for i in ids], lengths, main))  # documents alike side by side, shorter ones first
+        place = np.empty(len(rank), np.int32)
+        place[rank] = np.arange(len(rank))
+        owner = np.repeat(place, [len(t) for t in terms])
+        term = np.concatenate([np.empty(0, np.int64), *terms])
         order = np.lexsort((owner, term))
         kinds, sizes = np.unique(term, return_counts=True)
-        narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
-        return cls(np.asarray(ids), np.asarray(lengths), np.array(mean), kinds, narrow(sizes), narrow(owner[order]), narrow(tf[order]))
+        tf = np.concatenate([np.empty(0, np.int32), *counts])
+        absent = np.array([i is None for i in ids], bool)[rank]
+        return cls(np.array([i or 0 for i in ids], np.int64)[rank], absent, _narrow(lengths[rank]), kinds, _narrow(sizes), _narrow(owner[order]), _narrow(tf[order]))
 
     def save(self, path: str) -> None:
-        held = io.BytesIO()
-        np.savez(held, **{n: getattr(self, n) for n in self.NAMES})
-        fs, name = _filesystem(path)
-        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
-        own = f"{name}.{np.random.default_rng().integers(1 << 62):x}"
-        with fs.open_output_stream(own) as out:
-            out.write(held.getbuffer())
-        fs.move(own, name)
+        _put(path, {n: getattr(self, n) for n in self.NAMES})
 
     @classmethod
-    def load(cls, path: str) -> Index:
-        fs, name = _filesystem(path)
-        with fs.open_input_file(name) as source, np.load(io.BytesIO(source.read())) as held:
-            return cls(**{n: held[n] for n in cls.NAMES})
+    def load(cls, path: str, mean: float) -> Index:
+        return cls(**_get(path, cls.NAMES)).ready(mean)
+
+    def ready(self, mean: float) -> Index:
+        """Makes impacts and blocks, which a task that only writes the index has no need of."""
+        docs, sizes = self.docs, self.sizes
+        tf, kind, block = self.counts.astype(float), np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes), docs.astype(np.int32) // BLOCK_DOCS
+        self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.lengths.astype(float) / mean)[docs])
+        starts = np.flatnonzero(np.append(len(docs) > 0, (kind[1:] != kind[:-1]) | (block[1:] != block[:-1]))[: len(docs)])
+        self.first = np.searchsorted(kind[starts], np.arange(len(self.terms) + 1))
+        self.blocks, self.posting = block[starts], np.append(starts, len(docs))
+        self.most = np.maximum.reduceat(self.impacts, starts) if len(starts) else self.impacts
+        self.n_blocks = -(-len(self.ids) // BLOCK_DOCS)
+        return self
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and scores of the best ``k`` documents with scores not below ``least``, and the number of blocks opened."""
-        if not hasattr(self, "impacts"):
-            self._derive()
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        here = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.empty(0, int)
-        lo, n = self.first[at[here]], self.first[at[here] + 1] - self.first[at[here]]
+        places, scores, opened = np.empty(0, np.int64), np.empty(0), 0
+        if not len(self.terms):
+            return places, scores, opened
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        here = np.flatnonzero(self.terms[at] == terms)
+        if not len(here):
+            return places, scores, opened
+        at, weights, n_blocks = at[here], weights[here], self.n_blocks
+        lo = self.first[at]
+        n = self.first[at + 1] - lo
         entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        weight = np.repeat(weights[here], n)
-        block = self.blocks[entry]
-        bound = np.bincount(block, weight * self.most[entry])
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        places, scores, opened, step = np.empty(0, np.int64), np.empty(0), 0, 4
-        while opened < len(order):
-            least_now = max(least, scores[k - 1] if len(scores) >= k else -np.inf)
-            some = order[opened : opened + step]
-            some = some[bound[some] * (1 + 1e-9) >= least_now]
-            if not len(some):
-                break
-            opened += len(some)
-            step *= 8
-            chosen = np.zeros(len(bound), bool)
-            chosen[some] = True
-            e = entry[chosen[block]]
-            w = weight[chosen[block]]
+        row, block = np.repeat(np.arange(len(here)), n), self.blocks[entry]
+        held = np.zeros((n_blocks, len(here)))  # a term's greatest score in a block
+        held[block, row] = weights[row] * self.most[entry]
+        bounds = held.max(axis=0)  # and in the shard
+        ahead = np.full((n_blocks + 1, len(here)), n_blocks, np.intp)  # a cursor's next block from a block on
+        ahead[block, row] = block
+        ahead = np.minimum.accumulate(ahead[::-1], axis=0)[::-1]
+        by_block = np.argsort(block, kind="stable")  # entries of a block in the order of terms: equal documents have equal sums
+        entry, weight = entry[by_block], weights[row[by_block]]
+        parts = np.searchsorted(block[by_block], np.arange(n_blocks + 1))
+
+        def opens(b: int) -> None:
+            nonlocal places, scores, opened
+            opened += 1
+            e, w = entry[parts[b] : parts[b + 1]], weight[parts[b] : parts[b + 1]]
             m = self.posting[e + 1] - self.posting[e]
             p = np.repeat(self.posting[e] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            docs = self.docs[p]
-            total = np.bincount(docs, np.repeat(w, m) * self.impacts[p])  # term after term: equal documents have equal sums
+            total = np.bincount(self.docs[p] - b * BLOCK_DOCS, np.repeat(w, m) * self.impacts[p])
             found = np.flatnonzero(total)
-            places, scores = np.concatenate([places, found]), np.concatenate([scores, total[found]])
+            places, scores = np.concatenate([places, found + b * BLOCK_DOCS]), np.concatenate([scores, total[found]])
             if len(scores) > k:
                 kept = scores >= np.partition(scores, -k)[-k]
                 places, scores = places[kept], scores[kept]
-            best = np.lexsort((places, self.ids[places], -scores))[:k]
+            best = np.lexsort((places, self.ids[places], self.absent[places], -scores))[:k]
             places, scores = places[best], scores[best]
-        return places, scores, opened
 
+        limit = lambda: max(least, scores[k - 1] if len(scores) >= k else -np.inf) * (1 - SLACK)
+        start = -1
+        if least == -np.inf:
+            start = int(held.sum(axis=1).argmax())
+            opens(start)
+        cursors, least_now = ahead[0], limit()
+        while True:
+            reach = np.bincount(cursors, bounds, n_blocks + 1)[:n_blocks].cumsum()
+            pivot = int(np.searchsorted(reach, max(least_now, np.finfo(float).tiny)))
+            if pivot == n_blocks:
+                break
+            if pivot != start and held[pivot].sum() >= least_now:
+                opens(pivot)
+                least_now = limit()
+            cursors = ahead[pivot + 1]
+        kept = scores >= least * (1 - SLACK)
+        return places[kept], scores[kept], opened
 
-#: Stands for a null id, after all others in order.
-NO_ID = np.iinfo(np.int64).max
 
+def _schema_checked(docs: DataFrame, id_col: str) -> None:
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """``query_id``, ``rank`` from 1, ``doc_id`` and ``score`` of the best ``k`` of ``docs`` for each row of ``queries``."""
-    spark = docs.sparkSession
-    vecs = materialised(vectors(docs, id_col, text), "vectors")
-    n, mean = vecs.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(0.0))).first()
-    mean, shards, folder = mean or 1.0, max(1, -(-n // shard_docs)), new_folder(spark, "index")
-    asked = materialised(vectors(queries, id_col, text).withColumn("q", F.monotonically_increasing_id()), "queries")
-    pairs = asked.select("q", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("q", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
-    df = vecs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log1p((F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+
+def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+    """Writes the shards of ``docs`` into ``folder``; one row per shard: ``part, number, docs, words``."""
+    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    # Many small partitions become fewer, without a shuffle, as each makes a shard of its own.
+    parts, least = wanted.rdd.getNumPartitions(), 2 * -(-wanted.count() // shard_docs)
+    wanted = wanted.coalesce(max(1, least, wanted.sparkSession.sparkContext.defaultParallelism)) if least < parts else wanted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, size, hasher = TaskContext.get().partitionId(), 0, 0, Hasher()
+        ids: list[int | None] = []
+        terms: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, size
+            Index.build(ids, terms, counts).save(f"{folder}/{part}-{number}.npz")
+            row = [[part], [number], [len(ids)], [sum(int(c.sum()) for c in counts)]]
+            for held in (ids, terms, counts):
+                held.clear()
+            number, size = number + 1, 0
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in row], ["part", "number", "docs", "words"])
+
+        for rb in batches:
+            for doc, t in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
+                found = hasher.counts(t.as_py())
+                ids.append(doc)
+                terms.append(found[0])
+                counts.append(found[1])
+                size += len(found[0])
+                if len(ids) >= shard_docs or size >= shard_postings:
+                    yield close()
+        if ids:
+            yield close()
+
+    return materialised(wanted.mapInArrow(run, "part long, number long, docs long, words long"), "shards")
+
+
+def _document_counts(shards: DataFrame, folder: str) -> DataFrame:
+    """``term`` and ``df`` over all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for part, number in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                held = _get(f"{folder}/{part}-{number}.npz", ("terms", "sizes"))
+                for at in range(0, len(held["terms"]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(held[n][at : at + (1 << 16)].astype(np.int64)) for n in ("terms", "sizes")], ["term", "df"])
+
+    spread = shards.select("part", "number").repartition(max(1, shards.count()), "part", "number")
+    return spread.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _vectors(queries: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Queries as ``q`` (a number of its own), ``id``, and ``terms`` and ``counts``."""
+    wanted = queries.select(F.monotonically_increasing_id().alias("q"), F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for rb in batches:
+            pairs = [hasher.counts(t.as_py()) for t in rb.column(2)]
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array([t for t, _ in pairs], pa.list_(pa.int64())), pa.array([c for _, c in pairs], pa.list_(pa.int32()))], ["q", "id", "terms", "counts"])
+
+    return wanted.mapInArrow(run, "q long, id long, terms array<long>, counts array<int>")
+
+
+def _query_blocks(asked: DataFrame, counts: DataFrame, n_docs: int, folder: str, blocks: int) -> None:
+    """Writes queries with the weights of their terms, a file per block; queries without a known term are left out."""
+    pairs = asked.select("q", "id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("q", "id", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+    idf = F.log1p((F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     # Only terms of queries are looked up; a term that is common in queries is split by adaptive execution.
-    needed = materialised(df.join(pairs.select("term").distinct(), "term").select("term", idf.alias("idf")), "idf")
-    weighted = pairs.join(needed, "term").groupBy("q").agg(F.collect_list(F.struct("term", (F.col("n") * F.col("idf")).alias("w"))).alias("terms"))
-    ready = asked.select("q", F.col("id").alias("query_id")).join(weighted, "q").withColumn("terms", F.sort_array("terms"))
-
-    def build(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        table = table.sort_by([("id", "ascending"), ("length", "ascending")])
-        table = table.take(alike(table))
-        ids = np.array([NO_ID if x is None else x for x in table.column("id").to_pylist()], np.int64)
-        lists = [[np.asarray(x.values) for x in table.column(c)] for c in ("terms", "counts")]
-        Index.build(ids, table.column("length").to_numpy(), *lists, mean).save(f"{folder}/{shard}.npz")
-        return pa.table({"shard": [shard]})
-
-    spread = vecs.withColumn("shard", F.pmod(F.xxhash64("id", F.xxhash64("terms")), F.lit(shards)))
-    built = {r.shard for r in spread.groupBy("shard").applyInArrow(build, "shard long").collect()}  # as many as shards
-    groups = min(GROUPS, shards)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    dealt = ready.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    needed = counts.join(pairs.select("term").distinct(), "term").select("term", idf.alias("idf"))
+    weighted = pairs.join(needed, "term").groupBy("q", "id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("n") * F.col("idf")).alias("w")))).alias("terms"))
+    dealt = weighted.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
 
-    def search(table: pa.Table) -> pa.Table:
-        group = table.column("group")[0].as_py()
+    def save(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        table = table.sort_by("q")
         lists = table.column("terms").combine_chunks()
         flat, ends = lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
-        every, weight = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("term", "w"))
-        pairs = zip(table.column("q").to_pylist(), table.column("query_id").to_pylist(), itertools.pairwise(ends.tolist()), strict=True)
-        rows = [(q, i, every[a:b], weight[a:b]) for q, i, (a, b) in pairs]
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(rows)
-        for shard in range(group, shards, groups):
-            if shard not in built:
-                continue
-            index = Index.load(f"{folder}/{shard}.npz")
-            for r, (_, _, terms, weights) in enumerate(rows):
-                ids, scores = best[r]
-                places, more, _ = index.search(terms, weights, k, scores[k - 1] if len(scores) >= k else -np.inf)
-                ids, scores = np.concatenate([ids, index.ids[places]]), np.concatenate([scores, more])
-                order = np.lexsort((ids, -scores))[:k]
-                best[r] = ids[order], scores[order]
-        out = [(q, i, None if d == NO_ID else int(d), float(s)) for (q, i, _, _), (ids, scores) in zip(rows, best, strict=True) for d, s in zip(ids, scores, strict=True)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["q", "query_id", "doc_id", "score"])
-
-    found = dealt.groupBy("block", "group").applyInArrow(search, "q long, query_id long, doc_id long, score double")
+        ids = table.column("id")
+        arrays = {"q": table.column("q").to_numpy(), "ids": ids.fill_null(0).to_numpy(), "absent": ids.is_null().to_numpy(), "ends": ends}
+        _put(f"{folder}/q{block}.npz", arrays | {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("term", "w")})
+        return pa.table({"block": pa.array([block], pa.int64())})
+
+    materialised(dealt.groupBy("block").applyInArrow(save, "block long"), "blocks")
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS, group_shards: int = GROUP_SHARDS) -> DataFrame:
+    """``query_id``, ``rank`` from 1, ``doc_id`` and ``score`` of the best ``k`` of ``docs`` for each row of ``queries``.
+
+    The search is done when this returns; index and query files are gone by then, what remains is a table of the result.
+    """
+    spark = docs.sparkSession
+    _schema_checked(docs, id_col)
+    _schema_checked(queries, id_col)
+    folder = new_folder(spark, "index")
+    shards = build(docs, folder, id_col, text, shard_docs)
+    n, words = shards.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    mean = words / n if words else 1.0
+    asked = materialised(_vectors(queries, id_col, text), "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    _query_blocks(asked, _document_counts(shards, folder), n, folder, blocks)
+    # One number per task that built shards, as the driver holds for any job; it tells where the shards of a group are.
+    per_part = sorted(tuple(r) for r in shards.groupBy("part").agg(F.count("*")).collect())
+    parts, sizes = (np.array([r[i] for r in per_part], np.int64) for i in (0, 1))
+    ends = np.cumsum(sizes)
+    groups = -(-int(sizes.sum()) // group_shards)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for number in rb.column(0).to_pylist():
+                yield from one(number // blocks, number % blocks)
+
+    def one(group: int, block: int) -> Iterator[pa.RecordBatch]:
+        try:
+            asks = _get(f"{folder}/q{block}.npz", ("q", "ids", "absent", "ends", "term", "w"))
+        except FileNotFoundError:  # no query was dealt to this block
+            return
+        spans = list(zip(asks["ends"][:-1].tolist(), asks["ends"][1:].tolist(), strict=True))
+        none = (np.empty(0, np.int64), np.empty(0, bool), np.empty(0))
+        best = [none] * len(spans)
+        for shard in range(group * group_shards, min((group + 1) * group_shards, int(ends[-1]))):
+            p = int(np.searchsorted(ends, shard, "right"))
+            index = Index.load(f"{folder}/{parts[p]}-{shard - (ends[p] - sizes[p])}.npz", mean)
+            for r, (a, b) in enumerate(spans):
+                ids, absent, scores = best[r]
+                places, more, _ = index.search(asks["term"][a:b], asks["w"][a:b], k, scores[k - 1] if len(scores) >= k else -np.inf)
+                ids, absent, scores = np.concatenate([ids, index.ids[places]]), np.concatenate([absent, index.absent[places]]), np.concatenate([scores, more])
+                order = np.lexsort((ids, absent, -scores))[:k]
+                best[r] = ids[order], absent[order], scores[order]
+        sizes_ = [len(s) for *_, s in best]
+        ids, absent, scores = (np.concatenate([none[i], *(x[i] for x in best)]) for i in range(3))
+        columns = [pa.array(np.repeat(asks["q"], sizes_)), pa.array(np.repeat(asks["ids"], sizes_), mask=np.repeat(asks["absent"], sizes_)), pa.array(ids, mask=absent), pa.array(scores)]
+        yield pa.RecordBatch.from_arrays(columns, ["q", "query_id", "doc_id", "score"])
+
+    pairs = spark.range(0, groups * blocks, 1, max(1, min(groups * blocks, 1 << 14)))
+    found = pairs.mapInArrow(search, "q long, query_id long, doc_id long, score double")
     place: Column = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-    return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    result = materialised(found.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"), "found")
+    drop_folder(spark, folder)
+    for table in (shards, asked):
+        drop_table(table)
+    return result

@@ -222,6 +222,7 @@ def test_sentencepiece(spark, small, empty, documents):
 
 
 def bm25_slow(docs, queries_, k):
+    """Per query the best (id, score), ties by id with null last."""
     tf = [(i, collections.Counter((t or "").encode().lower().split())) for i, t in docs]
     n, mean = len(tf), sum(sum(c.values()) for _, c in tf) / len(tf)
     df = collections.Counter(w for _, c in tf for w in c)
@@ -232,35 +233,75 @@ def bm25_slow(docs, queries_, k):
             size = sum(c.values())
             s = sum(m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w, m in collections.Counter((t or "").encode().lower().split()).items() if w in c)
             if s > 0:
-                scores.append(s)
-        out[q] = sorted(scores, reverse=True)[:k]
+                scores.append((-round(s, 9), i is None, i))
+        out[q] = [(i, -s) for s, _, i in sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k]]
     return out
 
 
-@pytest.mark.parametrize("shard_docs", [16, 8192])
-def test_search(spark, documents, shard_docs):
+@pytest.mark.parametrize(("shard_docs", "group_shards"), [(16, 2), (40, 8), (8192, 8)])
+def test_search(spark, documents, shard_docs, group_shards):
+    # Copies make ties, within a shard and across shards.
+    docs = documents.union(documents.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 1000)).repartition(5)
     asked = documents.where("doc_id % 20 = 0")
     got = collections.defaultdict(list)
-    for r in search.top_k(documents, asked, k=5, shard_docs=shard_docs).collect():
-        got[r.query_id].append((r["rank"], r.score))
-    want = bm25_slow([(r.doc_id, r.text) for r in documents.collect()], [(r.doc_id, r.text) for r in asked.collect()], 5)
-    assert {q: [s for _, s in sorted(x)] for q, x in got.items()} == {q: pytest.approx(x) for q, x in want.items() if x}
+    for r in search.top_k(docs, asked, k=5, shard_docs=shard_docs, group_shards=group_shards).collect():
+        got[r.query_id].append((r["rank"], r.doc_id, r.score))
+    want = {q: x for q, x in bm25_slow([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.text) for r in asked.collect()], 5).items() if x}
+    assert set(got) == set(want)
+    for q, rows in got.items():
+        assert [n for n, *_ in sorted(rows)] == list(range(1, len(want[q]) + 1))
+        assert [d for _, d, _ in sorted(rows)] == [d for d, _ in want[q]]
+        assert [s for *_, s in sorted(rows)] == pytest.approx([s for _, s in want[q]])
 
 
-def test_search_edges(small, empty):
+def test_search_edges(spark, small, empty):
     rows = search.top_k(small, small, k=3).collect()
     assert all(r["rank"] <= 3 for r in rows) and {3, 4, 5}.isdisjoint(r.query_id for r in rows)
     assert search.top_k(empty, small).count() == 0 == search.top_k(small, empty).count()
+    with pytest.raises(ValueError, match="whole number"):
+        search.top_k(small.withColumn("doc_id", F.col("doc_id").cast("string")), small)
+    wide = spark.createDataFrame([(None, "a b"), (2**63 - 1, "a b"), (-(2**63), "a b"), (0, "c")], "doc_id long, text string")
+    assert [r.doc_id for r in search.top_k(wide, wide.where("doc_id = 0").withColumn("text", F.lit("a"))).orderBy("rank").collect()] == [-(2**63), 2**63 - 1, None]
+
+
+def test_shards_close_by_postings(spark, documents):
+    folder = search.new_folder(spark, "index")
+    shards = search.build(documents.repartition(2), folder, shard_postings=3000).collect()
+    assert len(shards) > 4 and sum(r.docs for r in shards) == documents.count()
+    one = search.Index.load(f"{folder}/{shards[0].part}-{shards[0].number}.npz", 100.0)
+    assert len(one.ids) == shards[0].docs and int(one.lengths.sum()) == shards[0].words
 
 
 def test_blocks_are_pruned():
     rng = np.random.default_rng(0)
-    terms = [np.unique(rng.integers(0, 50, 8)) for _ in range(2000)]
+    terms = [np.unique(rng.integers(0, 50, 8)) for _ in range(6000)]
     terms[5] = np.arange(40, 60)
-    index = search.Index.build(np.arange(2000), np.array([len(t) for t in terms]), terms, [np.ones(len(t), int) for t in terms], 8.0)
-    query = np.arange(50, 60)
+    index = search.Index.build(list(range(6000)), terms, [np.ones(len(t), np.int32) for t in terms]).ready(8.0)
+    query, every = np.arange(50, 60), 6000 // search.BLOCK_DOCS
     places, _, opened = index.search(query, np.ones(10), 1)
-    assert places.tolist() == [5] and opened < 2000 // search.BLOCK_DOCS
+    assert index.ids[places].tolist() == [5] and opened < every
+    for _ in range(40):
+        query, weights, k = np.unique(rng.integers(0, 60, 12)), rng.random(12), int(rng.integers(1, 8))
+        weights = weights[: len(query)]
+        score = np.zeros(6000)
+        for d, t in enumerate(terms):
+            same = np.isin(query, t)
+            score[d] = (weights[same] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(t) / 8.0))).sum()
+        places, scores, _ = index.search(query, weights, k)
+        assert np.allclose(scores, np.sort(score)[::-1][:k]) and np.allclose(score[index.ids[places]], scores)
+        assert len(index.search(query, weights, k, least=scores[-1] * 1.01)[0]) < k
+    # A k-th score that the shard's bounds cannot reach ends the search before any block is opened.
+    assert index.search(np.arange(50), np.ones(50), 1, least=1e6)[2] == 0
+
+
+def test_most_blocks_stay_closed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000").select("doc_id", "text").collect()
+    hasher = search.Hasher()
+    vectors = [hasher.counts(r.text) for r in docs]
+    index = search.Index.build([r.doc_id for r in docs], [t for t, _ in vectors], [c for _, c in vectors]).ready(400.0)
+    df = collections.Counter(t for ts, _ in vectors for t in ts.tolist())
+    opened = [index.search(t, c * np.log1p((4000 - np.array([df[x] for x in t.tolist()]) + 0.5) / (np.array([df[x] for x in t.tolist()]) + 0.5)), 10)[2] for t, c in vectors[::100]]
+    assert np.mean(opened) < 0.8 * index.n_blocks, np.mean(opened)
 
 
 def test_licences(spark, small, empty):
