@@ -1,146 +1,188 @@
 """Robust multivariate outliers: minimum-covariance-determinant estimates per language and source.
 
-Each text's statistics are turned into four coordinates (``coordinates``). For each language and source the
-estimate starts at the coordinates' medians and quartile ranges and takes ``STEPS`` concentration steps: the
+Each text's statistics are turned into coordinates (``coordinates``), logarithms of rates, most of which vary
+in clean text. For each language and source, each language, and all rows the estimate starts at the coordinates' medians
+and quartile ranges and takes concentration steps until no determinant moves any more (``MOST_STEPS`` at most): the
 ``SUPPORT`` share of documents with the least Mahalanobis distance gives the next mean and covariance. The
 share's limit is read off a histogram of log distances whose cells also hold the moments, so a step is one
 aggregation of at most ``CELLS`` partial rows per group and task, whatever a group's size, with sums in
-place of sorted groups. ``FLOOR`` is added to each standard deviation, in quadrature: statistics that are
-constant in clean text (symbols) would else make the covariance singular and any deviation infinite.
-Groups of fewer than ``LEAST`` documents are judged by the estimate over all groups.
+place of sorted groups.
+
+A group of ``n`` documents is judged by its own estimate with weight ``n / (n + PRIOR)`` and by its language's with the rest, which in
+turn has weight ``n / (n + PRIOR)`` of its ``n`` documents against the estimate of all: a rule without a step, by which a
+verdict moves little when a group grows. Where a coordinate hardly varies (symbols, which most clean texts have none of) its
+variance would be zero and any deviation infinite; such a variance, and no other, is raised to ``SINGULAR`` of the
+coordinate's plain variance over all rows.
 
 Documents beyond ``CUTOFF``, a quantile of the squared distance of normal documents, are
 rejected, and so are those that fail the base rules. Everything is DataFrame expressions; no Python
-runs on the executors, and what the driver learns is a count of groups.
+runs on the executors, and what the driver learns is a variance per coordinate and how far the last step moved.
 
 Nulls in language or source form a group of their own. Null and empty texts have no words, fail the base
-rules and are rejected, but count in no estimate. Repeated rows count as often as they occur.
+rules and are rejected, but count in no estimate. Repeated rows count as often as they occur. An empty table gives an
+empty one; texts are taken whole, whatever their length. Columns of ``docs`` may have any names; only ``quality`` is replaced.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, materialised
+from .shared import broadcast_if_small, drop_table, materialised
 from .textstats import base_statistics
 
-DIMENSIONS = ("word_length", "symbols", "dup_lines", "repeats")
-#: Each coordinate can pass ``CUTOFF`` alone: repeats are below 0.2 in what passes the base rules, duplicate lines below 1.
-FLOOR = {"word_length": 0.10, "symbols": 0.25, "dup_lines": 0.10, "repeats": 0.04}
+DIMENSIONS = ("word_length", "line_words", "marks", "variety", "symbols")
 SUPPORT = 0.75
-STEPS = 3
-LEAST = 200
-#: The 0.999 quantile of chi-square with four degrees of freedom.
-CUTOFF = 18.467
-#: Covariance of the nearest 75 % of a normal sample in four dimensions, relative to the whole: 0.75 / P(chi2_6 <= q), P(chi2_4 <= q) = 0.75.
-CONSISTENCY = 1.49
+MOST_STEPS = 5
+#: A step that changes no determinant's logarithm by more than twice this is the last.
+MOVED = 1e-3
+#: Documents at which a group's own estimate and the one above it weigh the same.
+PRIOR = 200
+SINGULAR = 0.05
+#: Words by which each rate is smoothed, as if a text began with so many usual words: one case is a small share in short texts, too.
+USUAL = 60
 #: Histogram cells: eight to each doubling of the squared distance, from 2^-20 to 2^44.
 CELLS = 512
 
 
+def chi2_below(x: float, d: int) -> float:
+    """The share of chi-square with ``d`` degrees of freedom below ``x``."""
+    a, z = d / 2, x / 2
+    term = total = 1 / a
+    while term > 1e-16 * total:
+        a += 1
+        term *= z / a
+        total += term
+    return total * math.exp(-z + d / 2 * math.log(z) - math.lgamma(d / 2))
+
+
+def chi2_quantile(p: float, d: int) -> float:
+    low, high = 1e-9, 1e4
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_below(middle, d) < p else (low, middle)
+    return low
+
+
+CUTOFF = chi2_quantile(0.999, len(DIMENSIONS))
+#: Covariance of a normal sample relative to that of its nearest ``SUPPORT``.
+CONSISTENCY = SUPPORT / chi2_below(chi2_quantile(SUPPORT, len(DIMENSIONS)), len(DIMENSIONS) + 2)
+
+
 def base_failed(s: Column) -> Column:
     return (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
 
 
 def coordinates(s: Column) -> dict[str, Column]:
-    """Logarithms of rates, so that a factor counts alike at any level; rates shrink in short texts, where one case makes a large share."""
-    n = s["n_words"] + F.lit(10)
+    """Logarithms of rates, so that a factor counts alike at any level. Duplicate lines and repeated passages show as little variety."""
+    n = s["n_words"] + F.lit(USUAL)
     return {
-        "word_length": F.log((s["word_chars"] + F.lit(50)) / n),
-        "symbols": F.log1p(F.lit(20) * s["n_symbols"] / n),
-        "dup_lines": s["n_dup_lines"] / (s["n_lines"] + F.lit(5)),
-        "repeats": s["n_repeat_words"] / n,
+        "word_length": F.log((s["word_chars"] + F.lit(5 * USUAL)) / n),
+        "line_words": F.log(n / (s["n_lines"] + F.lit(1))),
+        "marks": F.log((s["n_marks"] + F.lit(0.15 * USUAL)) / n),
+        "variety": F.log(s["n_distinct"] + F.lit(USUAL)) / F.log(n),
+        "symbols": F.log1p(F.lit(20) * s["n_symbols"] / (s["n_words"] + F.lit(10))),
     }
 
 
 _PAIRS = [(a, b) for i, a in enumerate(DIMENSIONS) for b in DIMENSIONS[: i + 1]]
+_ESTIMATE = [*[f"m_{x}" for x in DIMENSIONS], *[f"c_{a}_{b}" for a, b in _PAIRS]]
+_SUMS = {**{f"s_{x}": x for x in DIMENSIONS}, **{f"s_{a}_{b}": f"{a} * {b}" for a, b in _PAIRS}}
 
 
-def _moments() -> list[Column]:
-    return [F.count("*").alias("n"), *[F.sum(x).alias(f"s_{x}") for x in DIMENSIONS], *[F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in _PAIRS]]
+def factored(estimates_: DataFrame, least: dict[str, float]) -> DataFrame:
+    """Adds the Cholesky factor ``l_x_y`` of the covariance, whose variances below ``least`` are raised to it; directions without variance get a thousandth of their coordinate's."""
+    out = estimates_
+    for i, b in enumerate(DIMENSIONS):
+        rest = lambda a, start: " - ".join([start, *[f"l_{a}_{k} * l_{b}_{k}" for k in DIMENSIONS[:i]]])  # noqa: B023, E731
+        variance = f"greatest(c_{b}_{b}, {least[b] + 1e-12!r}D)"
+        out = out.selectExpr("*", f"sqrt(greatest({rest(b, variance)}, {variance} * 1e-3D)) AS l_{b}_{b}")
+        out = out.selectExpr("*", *[f"({rest(a, f'c_{a}_{b}')}) / l_{b}_{b} AS l_{a}_{b}" for a in DIMENSIONS[i + 1 :]])
+    return out
 
 
-def _factored(groups: DataFrame, mean: dict[str, Column], cov: dict[tuple[str, str], Column]) -> DataFrame:
-    """Means ``m_x`` and the Cholesky factor ``l_x_y`` of the floored covariance, as columns beside key and count."""
-    out = groups.select("key", "n", *[mean[x].alias(f"m_{x}") for x in DIMENSIONS], *[(c + (F.lit(FLOOR[a] ** 2) if a == b else F.lit(0.0))).alias(f"c_{a}_{b}") for (a, b), c in cov.items()])
+def with_distance(rows: DataFrame) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance, by forward substitution over the columns that ``factored`` made."""
+    out = rows
     for i, a in enumerate(DIMENSIONS):
-        for b in DIMENSIONS[: i + 1]:
-            done = DIMENSIONS[: DIMENSIONS.index(b)]
-            rest = reduce(lambda c, k: c - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}"), done, F.col(f"c_{a}_{b}"))  # noqa: B023
-            out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b else rest / F.col(f"l_{b}_{b}"))
-    return out.drop(*[f"c_{a}_{b}" for a, b in _PAIRS])
-
-
-def _from_moments(sums: DataFrame, scale: float) -> DataFrame:
-    mean = {x: F.col(f"s_{x}") / F.col("n") for x in DIMENSIONS}
-    cov = {(a, b): (F.col(f"s_{a}_{b}") / F.col("n") - mean[a] * mean[b]) * F.lit(scale) for a, b in _PAIRS}
-    return _factored(sums, mean, cov)
-
-
-def distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution, over the columns that ``_factored`` made."""
-    solved: dict[str, Column] = {}
-    for a in DIMENSIONS:
-        done = [b for b in DIMENSIONS if b in solved]
-        left = reduce(lambda c, b: c - F.col(f"l_{a}_{b}") * solved[b], done, F.col(a) - F.col(f"m_{a}"))  # noqa: B023
-        solved[a] = left / F.col(f"l_{a}_{a}")
-    return reduce(lambda x, y: x + y, [v * v for v in solved.values()])
-
-
-def _with_all(rows: DataFrame) -> DataFrame:
-    """Each row under its group's key and under the key of all rows."""
-    return rows.withColumn("key", F.explode(F.array(F.col("key"), F.lit("*"))))
-
-
-def estimates(stats: DataFrame, steps: int = STEPS, support: float = SUPPORT) -> DataFrame:
-    """Location and Cholesky factor per ``key``, and for key ``*`` over all rows of ``stats`` (``key`` and the coordinates)."""
-    rows = _with_all(stats)
-    quarter = [F.percentile(F.round(F.col(x), 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in DIMENSIONS]
-    start = rows.groupBy("key").agg(F.count("*").alias("n"), *quarter)
-    spread = {x: (F.col(x)[2] - F.col(x)[0]) / F.lit(1.349) for x in DIMENSIONS}
-    cov = {(a, b): spread[a] * spread[a] if a == b else F.lit(0.0) for a, b in _PAIRS}
-    now = materialised(_factored(start, {x: F.col(x)[1] for x in DIMENSIONS}, cov), "mcd")
-    for step in range(steps):
-        near = rows.join(broadcast_if_small(now.drop("n")), "key").withColumn("d2", distance())
-        cell = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**-20))) * 8 + 160)
-        cells = near.groupBy("key", F.least(cell, F.lit(CELLS)).alias("cell")).agg(*_moments())
-        below = Window.partitionBy("key").orderBy("cell")
-        total = Window.partitionBy("key")
-        upto = F.coalesce(F.sum("n").over(below.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        kept = cells.withColumn("skip", upto >= F.lit(support) * F.sum("n").over(total)).where(~F.col("skip"))
-        sums = kept.groupBy("key").agg(*[F.sum(c).alias(c) for c in kept.columns if c not in ("key", "cell", "skip")])
-        now = materialised(_from_moments(sums, CONSISTENCY if step == steps - 1 else 1.0), "mcd")
-    return now
-
-
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] | None = None, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
+        left = " - ".join([f"{a} - m_{a}", *[f"l_{a}_{b} * z_{b}" for b in DIMENSIONS[:i]]])
+        out = out.selectExpr("*", f"({left}) / l_{a}_{a} AS z_{a}")
+    return out.selectExpr("*", f"{' + '.join(f'z_{a} * z_{a}' for a in DIMENSIONS)} AS d2")
+
+
+#: Half the logarithm of the determinant.
+_VOLUME = " + ".join(f"ln(l_{a}_{a})" for a in DIMENSIONS)
+
+
+#: The key of all rows.
+ALL = "*"
+
+
+def _keys() -> Column:
+    """The keys under which a row counts: its group's, its language's, and that of all rows. A group's tells where its language's name ends."""
+    return F.array(F.concat(F.lit("g"), F.length("lang_key"), F.lit(":"), F.col("lang_key"), F.col("source_key")), F.concat(F.lit("l"), F.col("lang_key")), F.lit(ALL))
+
+
+def _language_key(group: Column) -> Column:
+    size = F.regexp_extract(group, "^g([0-9]+):", 1)
+    return F.concat(F.lit("l"), F.substr(group, F.length(size) + F.lit(3), size.cast("int")))
+
+
+def estimates(stats: DataFrame, least: dict[str, float], most_steps: int = MOST_STEPS, support: float = SUPPORT) -> DataFrame:
+    """Count, location ``m_x`` and covariance ``c_x_y`` per ``key`` of ``stats`` (``lang_key``, ``source_key`` and the coordinates)."""
+    rows = stats.withColumn("key", F.explode(_keys()))
+    start = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.expr(f"percentile(round({x}, 4), array(0.25, 0.5, 0.75)) AS {x}") for x in DIMENSIONS])
+    cov = [f"pow(({a}[2] - {a}[0]) / 1.349D, 2) AS c_{a}_{a}" if a == b else f"0D AS c_{a}_{b}" for a, b in _PAIRS]
+    now = materialised(factored(start.selectExpr("key", "n", *[f"{x}[1] AS m_{x}" for x in DIMENSIONS], *cov), least).selectExpr("*", f"{_VOLUME} AS volume"), "mcd")
+    total = Window.partitionBy("key")
+    below = total.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    for step in range(most_steps):
+        near = with_distance(rows.join(broadcast_if_small(now.drop("n")), "key"))
+        cell = F.expr(f"least(floor(log2(greatest(d2, pow(2D, -20))) * 8 + 160), {CELLS})").alias("cell")
+        cells = near.groupBy("key", cell).agg(F.expr("count(*) AS n"), F.expr("first(volume) AS old"), *[F.expr(f"sum({e}) AS {c}") for c, e in _SUMS.items()])
+        upto = F.coalesce(F.sum("n").over(below), F.lit(0))
+        kept = cells.withColumn("of", F.sum("n").over(total)).withColumn("skip", upto >= F.lit(support) * F.col("of")).where(~F.col("skip"))
+        sums = kept.groupBy("key").agg(F.expr("first(of) AS of"), F.expr("first(old) AS old"), *[F.expr(f"sum({c}) AS {c}") for c in ("n", *_SUMS)])
+        cov = [f"s_{a}_{b} / n - s_{a} * s_{b} / n / n AS c_{a}_{b}" for a, b in _PAIRS]
+        found = factored(sums.selectExpr("key", "of AS n", "old", *[f"s_{x} / n AS m_{x}" for x in DIMENSIONS], *cov), least)
+        last, now = now, materialised(found.selectExpr("*", f"{_VOLUME} AS volume"), "mcd")
+        moved = now.selectExpr("max(abs(volume - old))").first()[0]
+        now = now.drop("old")
+        drop_table(last)
+        if moved is None or moved <= MOVED:
+            break
+    return now.selectExpr("key", "n", *[f"m_{x}" for x in DIMENSIONS], *[f"c_{a}_{b} * {CONSISTENCY!r}D AS c_{a}_{b}" for a, b in _PAIRS])
+
+
+def _shrunk(own: DataFrame, above: DataFrame, parent: Column, prior: float) -> DataFrame:
+    """``own`` estimates drawn towards those of ``above`` that ``parent`` names, by their number of documents."""
+    named = broadcast_if_small(above.selectExpr("key AS parent", *[f"{c} AS a_{c}" for c in _ESTIMATE]))
+    mixed = [f"(n * {c} + {float(prior)!r}D * a_{c}) / (n + {float(prior)!r}D) AS {c}" for c in _ESTIMATE]
+    return own.withColumn("parent", parent).join(named, "parent").selectExpr("key", "n", *mixed)
+
+
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] | None = None, cutoff: float = CUTOFF, prior: float = PRIOR) -> DataFrame:
     """``docs`` with the struct ``quality``: the base statistics, ``base_failed``, ``distance`` and ``kept``.
 
     ``keep`` names the columns of ``docs`` to return, all of them by default. An existing column ``quality`` is replaced.
     """
     held = F.struct(*[F.col(c) for c in keep]) if keep else F.struct("*")
     name = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
-    key = F.concat_ws("\x1f", name(lang), name(source))
-    rows = materialised(docs.select(held.alias("row"), key.alias("key"), base_statistics(F.col(text)).alias("s")), "stats")
-    placed = rows.select("row", "key", "s", base_failed(F.col("s")).alias("failed"), *[c.cast("double").alias(x) for x, c in coordinates(F.col("s")).items()])
-    found = estimates(placed.where(~F.col("failed")).select("key", *DIMENSIONS))
-    known = found.where(F.col("n") >= F.lit(support_count(least))).where("key <> '*'")
-    usual = found.where("key = '*'").drop("key", "n")
-    own = placed.join(broadcast_if_small(known.drop("n")), "key", "left")
-    parts = usual.columns
-    # One row beside every document, not a product of tables.
-    both = own.join(F.broadcast(usual.limit(1).select(*[F.col(c).alias(f"all_{c}") for c in parts])), F.lit(True), "left")
-    filled = both.select("row", "s", "failed", *DIMENSIONS, *[F.coalesce(F.col(c), F.col(f"all_{c}")).alias(c) for c in parts])
-    d2 = filled.withColumn("d2", distance())
+    rows = materialised(docs.select(held.alias("row"), name(lang).alias("lang_key"), name(source).alias("source_key"), base_statistics(F.col(text)).alias("s")), "stats")
+    placed = rows.select("row", "lang_key", "source_key", "s", base_failed(F.col("s")).alias("failed"), *[c.cast("double").alias(x) for x, c in coordinates(F.col("s")).items()])
+    fit = placed.where(~F.col("failed")).select("lang_key", "source_key", *DIMENSIONS)
+    variances = fit.agg(*[F.var_pop(x).alias(x) for x in DIMENSIONS]).first()
+    least = {x: SINGULAR * (variances[x] or 0.0) for x in DIMENSIONS}
+    found = estimates(fit, least)
+    of = lambda mark: found.where(F.col("key").startswith(mark))
+    langs = _shrunk(of("l"), of(ALL), F.lit(ALL), prior)
+    groups = _shrunk(of("g"), langs, _language_key(F.col("key")), prior)
+    known = materialised(factored(groups.drop("n"), least).drop(*[f"c_{a}_{b}" for a, b in _PAIRS]), "known")
+    both = placed.withColumn("key", F.element_at(_keys(), 1)).join(broadcast_if_small(known), "key", "left")
+    d2 = with_distance(both)
     keeps = ~F.col("failed") & F.coalesce(F.col("d2") <= F.lit(cutoff), F.lit(True))
     quality = F.struct("s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words", F.col("failed").alias("base_failed"), F.col("d2").alias("distance"), keeps.alias("kept"))
     columns = [c for c in rows.schema["row"].dataType.names if c != "quality"]
     return d2.select(*[F.col("row")[c].alias(c) for c in columns], quality.alias("quality"))
-
-
-def support_count(least: int) -> int:
-    """Documents in the support of a group of ``least`` documents."""
-    return int(least * SUPPORT)

@@ -13,9 +13,9 @@ shards, one index at a time: its work does not grow with the table, and nothing
 through a shard as block-max WAND does. Each of its terms has a cursor over the blocks that hold it and a bound, its
 greatest impact in the shard. The pivot is the first block at which the bounds of the terms with a cursor up to there
 reach the k-th score so far (over all shards passed); all cursors before it move to it. Only there are the block's own
-greatest impacts summed, and only if that reaches the k-th score, too, is the block opened and its documents scored.
-The block of the greatest sum is opened first, for a k-th score to begin with. What remains of each group is k
-rows per query, and the merge takes the first k of these.
+greatest impacts summed, and only if that reaches the k-th score, too, is the block opened and its documents scored; up to
+``LOT`` such blocks are opened at once. Without a k-th score the block of the greatest sum is opened first. What remains of
+each group is k rows per query, and the merge takes the first k of these.
 
 Every query takes its terms with their counts from its whole text, in lower case (A-Z), over all
 documents, its own included. Ties go to the lesser id (null last), then to the earlier place in the shard. Null,
@@ -44,11 +44,14 @@ from .shared import drop_folder, drop_table, materialised, new_folder
 from .tokenfile import _filesystem
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS, QUERY_BLOCK, GROUP_SHARDS = 8192, 1 << 22, 256, 384, 8
+SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS, QUERY_BLOCK, GROUP_SHARDS = 16384, 6_000_000, 256, 384, 8
+#: Pivots that wait to be opened together; the k-th score rises after each lot.
+LOT = 16
 #: Terms whose hashes a task remembers.
 KNOWN_TERMS = 200_000
 #: Allowance for rounding when a bound is held against a score.
 SLACK = 1e-9
+TINY = np.finfo(float).tiny
 
 
 class Hasher:
@@ -158,39 +161,47 @@ class Index:
         ahead[block, row] = block
         ahead = np.minimum.accumulate(ahead[::-1], axis=0)[::-1]
         by_block = np.argsort(block, kind="stable")  # entries of a block in the order of terms: equal documents have equal sums
+        parts = np.append(0, np.cumsum(np.bincount(block, minlength=n_blocks)))
         entry, weight = entry[by_block], weights[row[by_block]]
-        parts = np.searchsorted(block[by_block], np.arange(n_blocks + 1))
+        begin = self.posting[entry]
+        size = self.posting[entry + 1] - begin
 
-        def opens(b: int) -> None:
+        def opens(some: list[int]) -> None:
             nonlocal places, scores, opened
-            opened += 1
-            e, w = entry[parts[b] : parts[b + 1]], weight[parts[b] : parts[b + 1]]
-            m = self.posting[e + 1] - self.posting[e]
-            p = np.repeat(self.posting[e] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            total = np.bincount(self.docs[p] - b * BLOCK_DOCS, np.repeat(w, m) * self.impacts[p])
-            found = np.flatnonzero(total)
-            places, scores = np.concatenate([places, found + b * BLOCK_DOCS]), np.concatenate([scores, total[found]])
+            opened += len(some)
+            e = np.concatenate([np.arange(parts[b], parts[b + 1]) for b in some])
+            m = size[e]
+            p = np.repeat(begin[e] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            total = np.bincount(self.docs[p], np.repeat(weight[e], m) * self.impacts[p])
+            found = np.flatnonzero(total >= max(limit(), TINY))
+            places, scores = np.concatenate([places, found]), np.concatenate([scores, total[found]])
             if len(scores) > k:
                 kept = scores >= np.partition(scores, -k)[-k]
                 places, scores = places[kept], scores[kept]
             best = np.lexsort((places, self.ids[places], self.absent[places], -scores))[:k]
             places, scores = places[best], scores[best]
 
-        limit = lambda: max(least, scores[k - 1] if len(scores) >= k else -np.inf) * (1 - SLACK)
+        def limit() -> float:
+            return max(least, scores[k - 1] if len(scores) >= k else -np.inf) * (1 - SLACK)
+
         start = -1
         if least == -np.inf:
             start = int(held.sum(axis=1).argmax())
-            opens(start)
-        cursors, least_now = ahead[0], limit()
+            opens([start])
+        cursors, least_now, waiting = ahead[0], limit(), []
         while True:
             reach = np.bincount(cursors, bounds, n_blocks + 1)[:n_blocks].cumsum()
-            pivot = int(np.searchsorted(reach, max(least_now, np.finfo(float).tiny)))
+            pivot = int(reach.searchsorted(max(least_now, TINY)))
             if pivot == n_blocks:
                 break
             if pivot != start and held[pivot].sum() >= least_now:
-                opens(pivot)
-                least_now = limit()
+                waiting.append(pivot)
+                if len(waiting) == LOT or least_now == -np.inf:
+                    opens(waiting)
+                    least_now, waiting = limit(), []
             cursors = ahead[pivot + 1]
+        if waiting:
+            opens(waiting)
         kept = scores >= least * (1 - SLACK)
         return places[kept], scores[kept], opened
 
@@ -203,8 +214,8 @@ def _schema_checked(docs: DataFrame, id_col: str) -> None:
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
     """Writes the shards of ``docs`` into ``folder``; one row per shard: ``part, number, docs, words``."""
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    # Many small partitions become fewer, without a shuffle, as each makes a shard of its own.
-    parts, least = wanted.rdd.getNumPartitions(), 2 * -(-wanted.count() // shard_docs)
+    # Many small partitions become fewer, without a shuffle, as each makes a shard of its own; with room, so that few leave a small rest.
+    parts, least = wanted.rdd.getNumPartitions(), -(-4 * wanted.count() // (3 * shard_docs))
     wanted = wanted.coalesce(max(1, least, wanted.sparkSession.sparkContext.defaultParallelism)) if least < parts else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

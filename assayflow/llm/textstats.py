@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .shared import count_chars, let, words_of
 
 SYMBOLS = "#*$%&|<>"
+MARKS = ".,;:!?"
 WHITE = " \t\n\x0b\x0c\r"
 WINDOW = 5
 
@@ -49,9 +50,10 @@ def n_repeat_words(words: Column) -> Column:
 
 
 def base_statistics(text: Column) -> Column:
-    """A struct of ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and ``n_lines``, all long."""
+    """A struct of ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_marks`` and ``n_distinct``, all long."""
     both = F.struct(F.coalesce(text, F.lit("")).alias("t"), words_of(text).alias("w"))
     return let(both, lambda x: F.struct(
         F.size(x["w"]).cast("long").alias("n_words"), word_chars(x["t"]).alias("word_chars"), count_chars(x["t"], SYMBOLS).alias("n_symbols"),
         n_dup_lines(x["t"]).alias("n_dup_lines"), n_repeat_words(x["w"]).alias("n_repeat_words"), n_lines(x["t"]).alias("n_lines"),
+        count_chars(x["t"], MARKS).alias("n_marks"), F.size(F.array_distinct(x["w"])).cast("long").alias("n_distinct"),
     ))
