@@ -2,21 +2,25 @@
 
 Base spans (email, ip, card, phone) are matches of the ``BASE`` patterns that pass their check. Further
 spans come from candidates: generators (``CANDIDATES``) match far more than is personal, such as any long group of
-digits; boosted trees score each candidate by its format and its context, and those at or above a
-threshold are added. The threshold of each kind is calibrated: the least score at which ``PRECISION`` of the
+digits or any long token with a digit; they also propose a kind of their own, ``secret`` (keys, tokens, passwords).
+Boosted trees score each candidate by its format and its context, and those at or above a
+threshold are added. The threshold of each kind is calibrated: the least score of 0.5 or more at which ``PRECISION`` of the
 calibration snippets' candidates at or above it are personal. Trees and thresholds are fitted when first
-needed, on the synthetic snippets of ``_snippets``, whose labels are known by construction.
+needed, on the synthetic snippets of ``_snippets``, whose labels are known by construction: forms to be found, and things of
+like form that are not personal (dates, versions, checksums, numbers that fail a check). Two thirds fit, one third calibrates.
 
 All work on texts is native expressions. Positions come from the lengths of matches and of the text
-between them, with sums in blocks, so long texts with many matches take near-linear time. A candidate that
-overlaps a base span is dropped; of overlapping candidates the better scored stays.
+between them, contexts from the text between matches, and overlaps from running greatest ends, with sums and maxima taken in blocks, so
+long texts with many matches take near-linear time. Candidates are taken kind by kind (``TURNS``); one that overlaps a base
+span or a span taken before is dropped.
 
 Spans are ``(start, end, kind)``, in code points, end exclusive. Null and empty texts have none. Repeated rows
-are treated one by one.
+are treated one by one, an empty table gives an empty one, and columns besides the text may have any names.
 """
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -28,7 +32,11 @@ from pyspark.sql import functions as F
 from . import rulefit
 from .shared import let
 
+#: Base kinds in their order, and all kinds.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
+#: The order in which kinds take their spans.
+TURNS = ("email", "ip", "card", "secret", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The base patterns in Java's syntax. Look-behind and possessive repeats only save steps: no other match is found.
 BASE = {
@@ -37,44 +45,71 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_HEX = "[0-9A-Fa-f]"
+_LONG = "[A-Za-z0-9+/_-]"
 CANDIDATES = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?i:dot)[\])]\x20?)[A-Za-z0-9-]++)++",
+    "ip": rf"(?<![0-9])[0-9]{{1,3}}(?:\x20?[\[(]\.[\])]\x20?[0-9]{{1,3}}){{3}}(?![0-9])|(?<![0-9A-Za-z:]){_HEX}{{1,4}}(?::{{1,2}}{_HEX}{{1,4}}){{2,7}}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{4,6}(?:[\x20._/-]{1,2}[0-9]{3,6}){2,4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,5})(?:[\x20./-]{1,2}[0-9]{2,5}){1,5}(?![0-9])",
+    "secret": rf"(?<!{_LONG})(?=[A-Za-z+/_-]{{0,40}}[0-9]){_LONG}{{16,}}+={{0,2}}",
 }
 #: A text without these has no match of the kind; a test far cheaper than the pattern.
 NEEDS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE_NEEDS = {"email": r"(?i)[\[(]at[\])]", "card": "[0-9]{3}[ ._/-]", "phone": "[0-9][ ./)-]"}
+CANDIDATE_NEEDS = {"email": r"(?i)[\[(]at[\])]", "ip": rf"[0-9] ?[\[(][.]|{_HEX}:{_HEX}|::", "card": "[0-9]{3}[ ._/-]", "phone": "[0-9][ ./)-]", "secret": f"[0-9]{_LONG}{{7}}|{_LONG}{{15}}[0-9]"}
+#: A text without any of these has neither base spans nor candidates.
+ANY = r"[0-9@]|[\[(][Aa][Tt][\])]|::"
 BLOCK = 64
+#: Below every position and its negative.
+LEAST = -(1 << 62)
 CONTEXT = 24
 #: Words beside which a candidate is likely personal.
-WORDS = {"email": "mail|contact|write|reach|kontakt|correo|courriel", "card": "card|visa|master|amex|credit|debit|karte|carte|tarjeta", "phone": "phone|tel|call|fax|mobile|cell|dial|anruf|llam|appel"}
-TREES, DEPTH, RATE, PRECISION = 30, 3, 0.3, 0.98
+WORDS = {
+    "email": "mail|contact|write|reach|kontakt|correo|courriel", "ip": "ip|host|address|server|client|from|adresse|dirección",
+    "card": "card|visa|master|amex|credit|debit|karte|carte|tarjeta", "phone": "phone|tel|call|fax|mobile|cell|dial|anruf|llam|appel",
+    "secret": "token|secret|passw|pwd|key|auth|bearer|credential|schlüssel|clave|jeton",
+}
+TREES, DEPTH, RATE, PRECISION, SNIPPETS = 24, 3, 0.3, 0.98, 900
 
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _prefix_sums(values: Column) -> Column:
-    """Sums up to and including each element, in blocks so that no step copies a long array."""
-    block = lambda i: F.floor(i / F.lit(BLOCK)).cast("int")
-    sums = F.transform(F.sequence(F.lit(0), block(F.size(values) - 1)), lambda b: _total(F.slice(values, b * BLOCK + 1, BLOCK)))
-    heads = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return let(heads, lambda h: F.transform(values, lambda _, i: F.get(h, block(i)) + _total(F.slice(values, block(i) * BLOCK + 1, i % BLOCK + 1))))
+# Long expressions are written as SQL text: one call to the JVM in place of a hundred.
 
 
-def _matches(text: Column, pattern: str, needs: str) -> Column:
-    """All matches, leftmost first and not overlapping: structs of start, end and body."""
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    def placed(x: Column) -> Column:
-        steps = F.transform(x["m"], lambda v, i: (F.length(F.get(x["s"], i)) + F.length(v)).cast("long"))
-        ends = let(steps, _prefix_sums)
-        return let(ends, lambda e: F.transform(x["m"], lambda v, i: F.struct((F.get(e, i) - F.length(v)).alias("start"), F.get(e, i).alias("end"), v.alias("body"))))
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,body:string>>")
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("s"))
-    return F.when(text.rlike(needs), let(parts, lambda x: F.when(F.size(x["m"]) > 0, placed(x)).otherwise(none))).otherwise(none)
+def _running(values: str, of: str, join: str, start: str) -> str:
+    """Running sums or maxima: of each block, of the blocks before, and within the block, so that no step copies a long array."""
+    block = f"CAST(floor(i / {BLOCK}) AS INT)"
+    part = lambda n: of.format(f"slice(v, b * {BLOCK} + 1, {n})")
+    each = f"transform(sequence(0, CAST(floor((size(v) - 1) / {BLOCK}) AS INT)), b -> {part(BLOCK)})"
+    heads = f"aggregate({each}, array({start}), (a, x) -> concat(a, array({join.format('element_at(a, -1)', 'x')})))"
+    own = _bound(block, "b", join.format("get(h, b)", part(f"i % {BLOCK} + 1")))
+    return _bound(values, "v", f"IF(size(v) > 0, {_bound(heads, 'h', f'transform(v, (y, i) -> {own})')}, v)")
+
+
+def _running_sum(values: str) -> str:
+    return _running(values, "aggregate({0}, 0L, (t, y) -> t + y)", "{0} + {1}", "0L")
+
+
+def _running_max(values: str) -> str:
+    return _running(values, f"coalesce(array_max({{0}}), {LEAST}L)", "greatest({0}, {1})", f"{LEAST}L")
+
+
+def _matches(text: str, pattern: str, needs: str, context: bool = False) -> str:
+    """All matches in the column ``text``, leftmost first and not overlapping: structs of start, end and body, and if asked for the text beside it, up to the next match."""
+    beside = f", 'before', right(get(p.s, i), {CONTEXT}), 'after', left(get(p.s, i + 1), 8)" if context else ""
+    ends = _running_sum("transform(p.m, (w, i) -> CAST(length(get(p.s, i)) + length(w) AS BIGINT))")
+    placed = _bound(ends, "e", f"transform(p.m, (w, i) -> named_struct('start', get(e, i) - length(w), 'end', get(e, i), 'body', w{beside}))")
+    none = "CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT, body: STRING" + ", before: STRING, after: STRING" * context + ">>)"
+    parts = f"named_struct('m', regexp_extract_all({text}, r'{pattern}', 0), 's', split({text}, r'{pattern}', -1))"
+    return f"IF({text} RLIKE r'{needs}', {_bound(parts, 'p', f'IF(size(p.m) > 0, {placed}, {none})')}, {none})"
 
 
 def _digits(body: Column) -> Column:
@@ -106,55 +141,71 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """The kind's spans that pass its check, as structs ``start, end, kind``."""
-    passed = F.filter(_matches(text, BASE[kind], NEEDS[kind]), lambda m: CHECKS[kind](m["body"]))
+def base_spans(text: str, kind: str) -> Column:
+    """The kind's spans in the column ``text`` that pass its check, as structs ``start, end, kind``."""
+    passed = F.filter(F.expr(_matches(text, BASE[kind], NEEDS[kind])), lambda m: CHECKS[kind](m["body"]))
     return F.transform(passed, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _features(text: Column, m: Column, kind: str) -> Column:
-    """Format and context of a candidate, as doubles."""
-    body = m["body"]
-    before = F.substr(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(m["start"], F.lit(CONTEXT)).cast("int"))
-    after = F.substr(text, (m["end"] + 1).cast("int"), F.lit(8))
-    groups = F.split(F.regexp_replace(body, "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", ""), "[^0-9A-Za-z]+")
-    sizes = F.transform(groups, lambda g: F.length(g))
-    flag = lambda c: c.cast("int").cast("double")
-    count = lambda chars: (F.length(body) - F.length(F.regexp_replace(body, chars, ""))).cast("double")
-    digits = _digits(body)
-    return F.struct(
-        F.length(digits).cast("double").alias("digits"), F.size(groups).cast("double").alias("groups"), F.array_max(sizes).cast("double").alias("longest"),
-        F.array_min(sizes).cast("double").alias("shortest"), F.get(sizes, 0).cast("double").alias("first"), F.element_at(sizes, -1).cast("double").alias("last"),
-        count("[.]").alias("dots"), count("[ ]").alias("spaces"), count("[-]").alias("dashes"), count("[/]").alias("slashes"), flag(body.startswith("(")).alias("opens"),
-        flag(F.when(F.length(digits) > 0, luhn(digits)).otherwise(F.lit(False))).alias("luhn"), flag(body.rlike(r"^(?:19|20)[0-9]{2}\b")).alias("year"),
-        flag(before.rlike(rf"(?i)(?:{WORDS[kind]})[^\n]{{0,12}}$")).alias("named"), flag(before.rlike(r"[A-Za-z0-9_#$€.,/:-]$")).alias("joined_before"),
-        flag(after.rlike("^[A-Za-z0-9_%/:-]")).alias("joined_after"), flag(before.rlike("(?i)(?:no|nr|id|ref|order|invoice|version|isbn|page|date)[^a-z]{0,3}$")).alias("numbered"),
-    )
+def _features(m: str, kind: str) -> str:
+    """Format and context of a candidate ``m`` as an SQL struct of doubles. One text in place of a hundred calls to the JVM."""
+    body, before, after = f"{m}.body", f"{m}.before", f"{m}.after"
+    groups = f"split(regexp_replace({body}, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', ''), '[^0-9A-Za-z]+')"
+    sizes = f"transform({groups}, g -> length(g))"
+    digits = f"regexp_replace({body}, '[^0-9]', '')"
+    term = "CAST(substr(r, i, 1) AS INT) * IF(i % 2 = 0, 2, 1)"
+    luhn_sum = f"element_at(transform(array(reverse({digits})), r -> aggregate(sequence(1, length(r)), 0, (a, i) -> a + {term} - IF({term} > 9, 9, 0))), 1)"
+    count = lambda chars: f"length({body}) - length(regexp_replace({body}, '{chars}', ''))"
+    flag = lambda c: f"CAST({c} AS INT)"
+    values = {
+        "length": f"length({body})", "digits": f"length({digits})", "lower": count("[a-z]"), "upper": count("[A-Z]"), "hex": flag(f"{body} RLIKE '^(?:[0-9a-f]+|[0-9A-F]+)$'"),
+        "groups": f"size({groups})", "longest": f"array_max({sizes})", "shortest": f"array_min({sizes})", "first": f"get({sizes}, 0)", "last": f"element_at({sizes}, -1)",
+        "largest": f"coalesce(array_max(transform({groups}, g -> coalesce(try_cast(g AS BIGINT), 0))), 0)", "dots": count("[.]"), "spaces": count("[ ]"), "dashes": count("[-_]"), "slashes": count("[/]"),
+        "opens": flag(f"{body} LIKE '(%'"), "bracketed": flag(f"{body} LIKE '%[%' OR {body} LIKE '%(.%'"), "luhn": flag(f"IF(length({digits}) > 0, {luhn_sum} % 10 = 0, false)"),
+        "year": flag(rf"{body} RLIKE r'^(?:19|20)[0-9]{{2}}\b'"), "named": flag(rf"{before} RLIKE r'(?i)(?:{WORDS[kind]})[^\n]{{0,12}}$'"), "assigned": flag(rf"{before} RLIKE r'[=:]\s*[\x22\x27]?$'"),
+        "quoted": flag(rf"{before} RLIKE r'[\x22\x27]$'"), "joined_before": flag(f"{before} RLIKE '[A-Za-z0-9_#$€.,/:-]$'"), "joined_after": flag(f"{after} RLIKE '^[A-Za-z0-9_%/:-]'"),
+        "numbered": flag(f"{before} RLIKE '(?i)(?:no|nr|id|ref|order|invoice|version|isbn|page|date|commit|sha1?|md5|sum|file|img)[^a-z]{{0,3}}$'"),
+    }
+    return "named_struct(" + ", ".join(f"'{name}', CAST({value} AS DOUBLE)" for name, value in values.items()) + ")"
 
 
 @dataclass(frozen=True)
 class KindModel:
-    """Trees as leaves ``(path, value)`` over named features, and the score from which a candidate is personal."""
+    """Trees as leaves ``(path, value)`` over named features, the score from which a candidate is personal, and what that gave on the calibration part."""
 
     bias: float
     trees: tuple[tuple[tuple[tuple[tuple[str, bool, float], ...], float], ...], ...]
     threshold: float
+    precision: float = 0.0
+    recall: float = 0.0
 
-    def column(self, f: Column) -> Column:
-        total = F.lit(self.bias)
-        for leaves in self.trees:
-            value = F.lit(0.0)
-            for path, leaf in leaves:
-                value = F.when(rulefit.Rule(path).column(f), F.lit(leaf)).otherwise(value)
-            total = total + value
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+    def sql(self, f: str) -> str:
+        """The score as an SQL expression over the fields of ``f``."""
 
+        def grown(leaves: list, depth: int) -> str:
+            if len(leaves) == 1 and len(leaves[0][0]) == depth:
+                return f"{leaves[0][1]!r}D"
+            name, _, cut = leaves[0][0][depth]
+            side = lambda above: grown([x for x in leaves if x[0][depth][1] == above], depth + 1)
+            return f"IF({f}.{name} > {cut!r}D, {side(True)}, {side(False)})"
 
-def _snippets(kind: str, n: int = 240, seed: int = 11) -> list[tuple[str, int]]:
+        total = " + ".join([f"{self.bias!r}D", *(grown(list(leaves), 0) for leaves in self.trees)])
+        return f"1D / (1D + exp(-({total})))"
+
+
+def _snippets(kind: str, n: int = SNIPPETS, seed: int = 11) -> list[tuple[str, int]]:
     """Synthetic texts with one candidate each, and whether it is personal."""
     rng = random.Random(f"{seed}{kind}")
     d = lambda k: "".join(rng.choices("0123456789", k=k))
-    word = lambda: "".join(rng.choices("abcdefghilmnorstu", k=rng.randint(3, 9)))
+    h = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    any_ = lambda k: rng.choice("abcxyz") + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=k - 2)) + rng.choice("0123456789")
+    word = lambda: "".join(rng.choices("aabcdeefghiilmnoorrssttuuäéñ", k=rng.randint(2, 11))) + rng.choice(["", "", "", "", ".", ",", "!!", "%%%", "***"])
+    name = lambda: "".join(rng.choices("abcdefghilmnorstu", k=rng.randint(3, 9)))
+    host = lambda: f"{name()}{rng.choice(['.', ' (dot) ', '[dot]', ' [dot] '])}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}"
+    part = lambda: str(rng.randint(0, 255))
+    group = lambda: rng.choice(["{:x}", "{:04x}"]).format(rng.randint(0, 65535))
+    key = lambda: rng.choice(["token", "secret", "api_key", "apikey", "password", "passwd", "access_key", "auth_token", "private key", "client-secret", "TOKEN", "API_KEY"])
+    sets = lambda: rng.choice([" = ", "=", ": ", ":", " := ", " is "]) + rng.choice(['"', '"', "'", ""])
 
     def card(valid: bool) -> str:
         body = rng.choice("3456") + d(14)
@@ -164,24 +215,31 @@ def _snippets(kind: str, n: int = 240, seed: int = 11) -> list[tuple[str, int]]:
         return rng.choice(["{}.{}.{}.{}", "{}/{}/{}/{}", "{}_{}_{}_{}", "{}  {}  {}  {}"]).format(*(number[i : i + 4] for i in range(0, 16, 4)))
 
     good = {
-        "email": [lambda: f"{word()} {word()} {word()} (at) {word()} (dot) {rng.choice(['com', 'org', 'net', 'de'])}", lambda: f"mail {word()}.{word()}[at]{word()}.com", lambda: f"contact: {word()}{d(2)} [at] {word()} [dot] org"],
-        "card": [lambda: f"card {card(True)} {word()}", lambda: f"{word()} visa: {card(True)}", lambda: f"{word()} {card(True)} {word()}"],
-        "phone": [lambda: f"call ({d(3)}) {d(3)}-{d(4)}", lambda: f"tel. {d(3)}-{d(3)}-{d(4)} {word()}", lambda: f"phone: 0{d(2)} {d(3)} {d(4)}", lambda: f"{word()} ({d(3)}) {d(3)}-{d(4)} {word()}", lambda: f"mobile 0{d(3)} {d(6)[:5]} {d(3)}", lambda: f"fax {d(3)}.{d(3)}.{d(4)}"],
+        "email": [lambda: f"{name()} (at) {host()}", lambda: f"mail {name()}.{name()}[at]{host()}", lambda: f"contact: {name()}{d(2)} [at] {host()}", lambda: f"{name()}_{name()}(AT){host()}"],
+        "ip": [lambda: f"from {'[.]'.join(part() for _ in range(4))}", lambda: f"host {'(.)'.join(part() for _ in range(4))}", lambda: ":".join(group() for _ in range(8)), lambda: f"ip {group()}:{group()}::{group()}:{group()}", lambda: f"address 2001:db8:{group()}::{group()}:{group()}"],
+        "card": [lambda: f"card {card(True)}", lambda: f"visa: {card(True)}", lambda: card(True)],
+        "phone": [lambda: f"call ({d(3)}) {d(3)}-{d(4)}", lambda: f"tel. {d(3)}-{d(3)}-{d(4)}", lambda: f"phone: 0{d(2)} {d(3)} {d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"mobile 0{d(3)} {d(5)} {d(3)}", lambda: f"fax {d(3)}.{d(3)}.{d(4)}"],
+        "secret": [lambda: f"{key()}{sets()}{h(rng.choice([32, 40, 64]))}", lambda: f"{key()}{sets()}{any_(rng.randint(18, 48))}", lambda: f"Bearer {any_(40)}", lambda: f"AKIA{any_(16).upper()}", lambda: f"{rng.choice(['ghp_', 'sk-', 'xoxb-'])}{any_(36)}", lambda: f"{key()}{sets()}{h(40).upper()}"],
     }
     bad = {
-        "email": [lambda: f"{word()} (at) {word()} {word()}", lambda: f"we met {word()} (at) 7.30", lambda: f"score {d(2)} [at] {d(1)}.{d(1)}"],
-        "card": [lambda: f"{word()} {card(False)} {word()}", lambda: f"ref {card(False)}", lambda: f"{word()} {d(4)} {d(4)} {d(4)}", lambda: f"isbn 9780-{d(4)}-{d(4)}-{d(3)}", lambda: f"{d(4)}.{d(4)}.{d(4)} {word()}"],
-        "phone": [lambda: f"{word()} 20{d(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)} {word()}", lambda: f"on {rng.randint(10, 28)}/{rng.randint(10, 12)}/20{d(2)}", lambda: f"version {d(2)}.{d(2)}.{d(3)}", lambda: f"{word()} {d(3)} {d(3)} {word()}", lambda: f"order {d(4)}-{d(4)}", lambda: f"{word()} {d(2)} {d(2)} {d(2)} {word()}", lambda: f"id {d(5)}-{d(5)}-{d(5)}", lambda: f"{word()} {d(3)} {d(4)} {d(5)} {d(3)} {word()}", lambda: f"{word()} {d(3)}.{d(2)} {word()}", lambda: f"isbn 978-{d(1)}{d(1)}-{d(4)}-{d(4)}"],
+        "email": [lambda: f"{name()} (at) {name()}.{d(2)}", lambda: f"we met {name()} (at) 7.30", lambda: f"score {d(2)} [at] {d(1)}.{d(1)}", lambda: f"{d(2)} (at) {d(2)}.{d(2)}"],
+        "ip": [lambda: f"at {rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", lambda: f"mac {':'.join(h(2) for _ in range(6))}", lambda: f"{rng.randint(1, 9)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", lambda: f"code {'[.]'.join(str(rng.randint(256, 999)) for _ in range(4))}", lambda: f"std::{h(3)}::{h(2)}", lambda: f"ratio {d(1)}:{d(1)}:{d(1)}"],
+        "card": [lambda: card(False), lambda: f"ref {card(False)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"isbn 9780-{d(4)}-{d(4)}-{d(3)}", lambda: f"{d(4)}.{d(4)}.{d(4)}", lambda: f"card {card(False)}"],
+        "phone": [lambda: f"20{d(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", lambda: f"on {rng.randint(10, 28)}/{rng.randint(10, 12)}/20{d(2)}", lambda: f"version {d(2)}.{d(2)}.{d(3)}", lambda: f"{d(3)} {d(3)}", lambda: f"order {d(4)}-{d(4)}", lambda: f"{d(2)} {d(2)} {d(2)}", lambda: f"id {d(5)}-{d(5)}-{d(5)}", lambda: f"{d(3)} {d(4)} {d(5)} {d(3)}", lambda: f"{d(3)}.{d(2)}", lambda: f"isbn 978-{d(1)}{d(1)}-{d(4)}-{d(4)}", lambda: f"{d(4)}.{d(4)}", lambda: f"{d(2)}.{d(2)} {d(2)}.{d(2)}"],
+        "secret": [lambda: d(16), lambda: d(rng.randint(17, 30)), lambda: f"commit {h(40)}", lambda: f"sha1 {h(40)}", lambda: f"md5 {h(32)}", lambda: f"id {h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}", lambda: f"file img_20{d(6)}_{d(6)}_{name()}", lambda: f"20{d(2)}-{d(2)}-{d(2)}T{d(2)}-{d(2)}-{d(2)}", lambda: f"{name()}{name()}{name()}{name()}{d(1)}", lambda: f"{name()}/{name()}/{name()}/{d(4)}", lambda: f"ref {any_(8).upper()}-{d(4)}-{d(4)}-{d(2)}", lambda: f"key {d(16)}", lambda: f"{name()}-{name()}-{name()}-{d(2)}-{name()}"],
     }
-    made = {text: label for label, makers in ((1, good[kind]), (0, bad[kind])) for i in range(n // 2) for text in [makers[i % len(makers)]()]}
+    made: dict[str, int] = {}
+    for label, makers in ((1, good[kind]), (0, bad[kind])):
+        for i in range(n // 2):
+            lead, tail = " ".join(word() for _ in range(rng.randint(0, 5))), " ".join(word() for _ in range(rng.randint(0, 4)))
+            made[f"{lead} {makers[i % len(makers)]()} {tail}".strip()] = label
     return sorted(made.items())
 
 
 def _fit_kind(spark: SparkSession, kind: str) -> KindModel:
-    rows = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(y).alias("y")) for t, y in _snippets(kind)])
-    snippets = spark.range(1, numPartitions=1).select(F.inline(rows))
-    found = snippets.select("t", "y", F.explode(_matches(F.col("t"), CANDIDATES[kind], CANDIDATE_NEEDS[kind])).alias("m"))
-    rated = found.select("t", "y", _features(F.col("t"), F.col("m"), kind).alias("f")).select("t", "y", "f.*")
+    snippets = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps([{"t": t, "y": y} for t, y in _snippets(kind)])), "array<struct<t:string,y:int>>")))
+    found = snippets.select("t", "y", F.explode(F.expr(_matches("t", CANDIDATES[kind], CANDIDATE_NEEDS[kind], True))).alias("m"))
+    rated = found.selectExpr("t", "y", f"{_features('m', kind)} AS f").select("t", "y", "f.*")
     names, rows_ = rated.columns[2:], sorted(tuple(r) for r in rated.collect())
     data, y = np.array([r[2:] for r in rows_], float), np.array([r[1] for r in rows_], float)
     fitted = np.arange(len(y)) % 3 != 0  # the rest calibrates
@@ -194,9 +252,12 @@ def _fit_kind(spark: SparkSession, kind: str) -> KindModel:
         _, leaves, out = rulefit.grow(data, bins, cuts, (y - p) * weight, p * (1 - p) * weight, DEPTH)
         score = score + RATE * out
         trees.append(tuple((tuple((names[j], above, float(cuts[j][k])) for j, above, k in path), float(RATE * v)) for path, v in leaves))
-    p = 1 / (1 + np.exp(-score[~fitted]))
-    good = [t for t in np.unique(p) if y[~fitted][p >= t].mean() >= PRECISION]
-    return KindModel(bias, tuple(trees), float(min(good)) if good else 2.0)
+    p, truth = 1 / (1 + np.exp(-score[~fitted])), y[~fitted]
+    good = [t for t in np.unique(p) if truth[p >= t].mean() >= PRECISION]
+    if not good:
+        return KindModel(bias, tuple(trees), 2.0)
+    least = max(float(min(good)), 0.5)
+    return KindModel(bias, tuple(trees), least, float(truth[p >= least].mean()), float((p >= least)[truth == 1].mean()))
 
 
 _models: dict[str, KindModel] = {}
@@ -210,44 +271,47 @@ def models(spark: SparkSession) -> dict[str, KindModel]:
     return dict(_models)
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+#: The type of spans.
+SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
-def added_spans(text: Column, base: Column, fitted: dict[str, KindModel]) -> Column:
-    """Candidates that reach their kind's threshold, clear of base spans and of better candidates."""
-    kinds = []
-    for kind, model in fitted.items():
-        found = _matches(text, CANDIDATES[kind], CANDIDATE_NEEDS[kind])
-        rated = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), let(_features(text, m, kind), model.column).alias("score")))  # noqa: B023
-        kinds.append(F.filter(rated, lambda c: c["score"] >= F.lit(model.threshold)))  # noqa: B023
-    clear = F.filter(F.concat(*kinds), lambda c: ~F.exists(base, lambda b: _overlap(c, b)))
-    rank = lambda c: F.struct(c["score"], c["start"], c["end"], c["kind"])
-    best = let(clear, lambda v: F.filter(v, lambda c: ~F.exists(v, lambda o: _overlap(c, o) & (rank(o) > rank(c)))))
-    return F.transform(best, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+def _clear(found: str, taken: str) -> str:
+    """Those of ``found`` that overlap none of ``taken``: no end before them reaches into them, and the next start lies behind them."""
+    mark = lambda spans, new: f"transform({spans}, s -> named_struct('start', s.start, 'new', {new}, 'end', s.end, 'kind', s.kind))"
+    ends, starts = _running_max(f"transform(o, s -> IF(s.new = 1, s.end, {LEAST}L))"), _running_max(f"transform(reverse(o), s -> IF(s.new = 1, -s.start, {LEAST}L))")
+    keeps = "s.new = 2 AND get(m.ends, i) <= s.start AND -get(m.starts, size(o) - 1 - i) >= s.end"
+    free = f"transform(filter(o, (s, i) -> {keeps}), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))"
+    both = _bound(f"named_struct('ends', {ends}, 'starts', {starts})", "m", free)
+    return f"IF(size({found}) > 0 AND size({taken}) > 0, {_bound(f'sort_array(concat({mark(taken, 1)}, {mark(found, 2)}))', 'o', both)}, {found})"
 
 
 def _order(spans: Column) -> Column:
-    rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
+    rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in ALL_KINDS]), s["kind"])
     keyed = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return F.transform(keyed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
 def listed(spans: Column) -> Column:
-    """``kind:start:end`` by start, then kind as in ``KINDS``, joined by commas."""
+    """``kind:start:end`` by start, then kind as in ``ALL_KINDS``, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Columns ``row`` (the document), ``text``, ``base`` and ``spans``: base spans, and base and added spans, in order."""
     fitted = models(docs.sparkSession)
-    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("some", F.col("text").rlike(ANY))
+    none = F.array().cast(SPANS)
     # A text without digit or mark of an address is done after one short scan.
-    base = F.when(F.col("text").rlike("[0-9@]"), _order(F.concat(*[base_spans(F.col("text"), k) for k in KINDS]))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"))
-    with_base = held.select("row", "text", base.alias("base"))
-    added = F.when(F.col("text").rlike(r"[0-9]|[\[(][Aa][Tt][\])]"), added_spans(F.col("text"), F.col("base"), fitted)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"))
-    both = with_base.select("row", "text", "base", added.alias("added"))
-    return both.select("row", "text", "base", F.when(F.size("added") > 0, _order(F.concat("base", "added"))).otherwise(F.col("base")).alias("spans"))
+    base = F.when(F.col("some"), _order(F.concat(*[base_spans("text", k) for k in KINDS]))).otherwise(none)
+    candidates = [f"IF(some, {_matches('text', CANDIDATES[kind], CANDIDATE_NEEDS[kind], True)}, NULL) AS found_{kind}" for kind in TURNS]
+    out = held.withColumn("base", base).selectExpr("row", "text", "base", *candidates)
+    rated = {kind: f"transform(found_{kind}, m -> named_struct('start', m.start, 'end', m.end, 'f', {_features('m', kind)}))" for kind in TURNS}
+    out = out.selectExpr("row", "text", "base", "base AS spans", *[f"{x} AS found_{kind}" for kind, x in rated.items()])
+    chosen = {kind: f"filter(found_{kind}, c -> {fitted[kind].sql('c.f')} >= {fitted[kind].threshold!r}D)" for kind in TURNS}
+    out = out.selectExpr("row", "text", "base", "spans", *[f"transform({x}, c -> named_struct('start', c.start, 'end', c.end, 'kind', '{kind}')) AS found_{kind}" for kind, x in chosen.items()])
+    for kind in TURNS:
+        out = out.withColumn("spans", F.expr(f"IF(size(found_{kind}) > 0, concat(spans, {_clear(f'found_{kind}', 'spans')}), spans)"))
+    return out.select("row", "text", "base", F.when(F.size("spans") > F.size("base"), _order(F.col("spans"))).otherwise(F.col("base")).alias("spans"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,27 +319,51 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return with_spans(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select(F.col("row.id").alias(id_col), "base", "spans")
 
 
+def _merged(spans: str) -> Column:
+    """Spans that overlap become one, from the first's start to the greatest end, of the first's kind."""
+
+    def joined(x: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(x["ends"], F.greatest(i - 1, F.lit(0)))).otherwise(F.lit(LEAST))
+        heads = F.filter(F.transform(x["s"], lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), i.alias("i"), (s["start"] >= before(i)).alias("new"))), lambda s: s["new"])
+        last = lambda h, j: F.coalesce(F.get(h, j + 1)["i"], F.size(x["s"])) - 1
+        return let(heads, lambda h: F.transform(h, lambda s, j: F.struct(s["start"].alias("start"), F.get(x["ends"], last(h, j)).alias("end"), s["kind"].alias("kind"))))
+
+    return let(F.struct(F.col(spans).alias("s"), F.expr(_running_max(f"transform({spans}, s -> s.end)")).alias("ends")), joined)
+
+
+def _rebuilt(text: Column, spans: Column) -> Column:
+    """The text with each span replaced. Spans are taken in blocks, so that a piece is cut from its block's part of the text, not from the whole."""
+
+    def of(s: Column) -> Column:
+        end_of = lambda i: F.when(i >= 0, F.get(s, F.greatest(i, F.lit(0)))["end"]).otherwise(F.lit(0).cast("long"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / F.lit(BLOCK)).cast("int"))
+
+        def block(b: Column) -> Column:
+            held = F.slice(s, b * BLOCK + 1, BLOCK)
+            origin = end_of(b * BLOCK - 1)
+            upto = F.element_at(held, -1)["end"]
+            parts = F.struct(held.alias("h"), origin.alias("o"), F.substr(text, (origin + 1).cast("int"), (upto - origin).cast("int")).alias("t"))
+
+            def pieces(x: Column) -> Column:
+                start = lambda i: F.when(i > 0, F.get(x["h"], F.greatest(i - 1, F.lit(0)))["end"]).otherwise(x["o"])
+                piece = lambda v, i: F.substr(x["t"], (start(i) - x["o"] + 1).cast("int"), (v["start"] - start(i)).cast("int"))
+                return F.array_join(F.transform(x["h"], lambda v, i: F.concat(piece(v, i), F.lit("["), F.upper(v["kind"]), F.lit("]"))), "")
+
+            return let(parts, pieces)
+
+        tail = F.substr(text, (F.element_at(s, -1)["end"] + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.transform(blocks, block), ""), tail)
+
+    return let(spans, of)
+
+
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
 
     Null stays null. ``n_chars``, where ``docs`` has it, is the new length of a changed text.
     """
-
-    def merged(spans: Column) -> Column:
-        start = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-        last = lambda a: F.element_at(a, -1)
-        wider = lambda a, s: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"), last(a)["kind"].alias("kind"))))
-        touches = lambda a, s: F.when(F.size(a) > 0, s["start"] < last(a)["end"]).otherwise(F.lit(False))
-        return F.aggregate(spans, start, lambda a, s: F.when(touches(a, s), wider(a, s)).otherwise(F.concat(a, F.array(s))))
-
-    def rebuilt(s: Column) -> Column:
-        cut = lambda at, to: F.substr(F.col("text"), (at + 1).cast("int"), F.greatest(to - at, F.lit(0)).cast("int"))
-        parts = F.transform(s, lambda x, i: F.concat(cut(F.coalesce(F.get(s, F.when(i > 0, i - 1).otherwise(F.size(s)))["end"], F.lit(0).cast("long")), x["start"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
-        tail = F.substr(F.col("text"), (F.element_at(s, -1)["end"] + 1).cast("int"), F.length("text"))
-        return F.concat(F.array_join(parts, ""), tail)
-
     found = with_spans(docs, text)
-    clean = found.select("row", (F.size("spans") > 0).alias("changed"), F.when(F.size("spans") > 0, let(let(F.col("spans"), merged), rebuilt)).alias("clean"))
+    clean = found.select("row", (F.size("spans") > 0).alias("changed"), F.when(F.size("spans") > 0, _rebuilt(F.col("text"), _merged("spans"))).alias("clean"))
     out = []
     for c in docs.columns:
         old = F.col("row")[c]
