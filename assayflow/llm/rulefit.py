@@ -8,7 +8,8 @@ sum of weights of the rules that hold, through the logistic function. Scoring is
 Only the fit is bounded: ``TRAIN_ROWS`` labelled rows at most, those of least id hash, so the sample
 does not depend on partitions. Rows without a label, id or matching document are not learnt from. Without
 labels of both classes the score is the constant ``(positives + 1) / (rows + 2)``. Null and empty texts get
-a score like any other. Repeated documents are scored row by row; a label counts for each repetition.
+a score like any other. Repeated documents are scored row by row; a label counts once for an id, with its text of
+the least hash. An empty table gives an empty one, texts are taken whole, and other columns may have any names but ``out``.
 """
 
 from __future__ import annotations
@@ -183,7 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.where(fold(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id", "y").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    sample = texts.join(F.broadcast(known), "id").select("y", features(F.col("t")).alias("f")).limit(4 * rows).select("y", "f.*").toPandas()
+    # One text per id and label, however often the id occurs: that of the least hash.
+    one = texts.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m"))
+    sample = one.select("y", features(F.col("m.t")).alias("f")).select("y", "f.*").toPandas()
     names = [c for c in sample.columns if c != "y"]
     order = sample.sort_values(list(sample.columns), ignore_index=True)  # sums in one order give one model
     return fit({n: order[n].to_numpy() for n in names}, order["y"].to_numpy())
