@@ -582,33 +582,93 @@ def test_html_repeats():
 
 
 def test_html_repeats_in_articles():
+    """What the whole site carries goes from articles, too; what some pages quote, and articles that are copies, stay."""
     boiler = "<div>all rights reserved by the owner of this very fine site of ours</div>"
+    quote = "<p>a passage that six pages of this host quote word for word from one another</p>"
     story = lambda i: f"story number {i} tells how the {chr(97 + i)} hero number {i * 7} went away far and came back late in year {i * 13} to his own town"
-    assert htmltext.extract([f"<main><p>{story(i)}</p>{boiler}</main>" for i in range(8)]) == [story(i) for i in range(8)]
+    pages = [f"<main><p>{story(i)}</p>{quote * (i < 6)}{boiler}</main>" for i in range(12)]
+    assert htmltext.extract(pages) == [story(i) + "\na passage that six pages of this host quote word for word from one another" * (i < 6) for i in range(12)]
+    assert all("rights" in t for t in htmltext.extract(pages[:8]))  # too few pages to be a site's
     same = "<article><p>one passage that many pages of this host carry word for word in full</p><p>end {}</p></article>"
-    assert all(t.startswith("one passage") for t in htmltext.extract([same.format(i) for i in range(8)]))
+    assert all(t.startswith("one passage") for t in htmltext.extract([same.format(i) for i in range(20)]))
+    assert htmltext.extract([pages[0]] * 30) == [story(0) + "\na passage that six pages of this host quote word for word from one another\nall rights reserved by the owner of this very fine site of ours"] * 30
 
 
-def test_covered_against_brute_force():
+def shared_slow(streams, run):
+    where = collections.defaultdict(set)
+    for p, s in enumerate(streams):
+        for i in range(len(s) - run + 1):
+            where[tuple(s[i : i + run])].add(p)
+    return [[len(where[tuple(s[i : i + run])]) if i + run <= len(s) else 0 for i in range(len(s))] for s in streams]
+
+
+def test_shared_runs_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(30):
-        streams = [rng.integers(0, 4, rng.integers(0, 60)) for _ in range(6)]
-        got = htmltext.covered(streams, run=4, pages_least=3)
-        where = collections.defaultdict(set)
-        for p, s in enumerate(streams):
-            for i in range(len(s) - 3):
-                where[tuple(s[i : i + 4])].add(p)
-        for s, g in zip(streams, got, strict=True):
+        streams = [rng.integers(0, 4, rng.integers(0, 60)).astype(np.uint64) for _ in range(6)]
+        counts = htmltext.shared_runs(streams, run=4)
+        assert [c.tolist() for c in counts] == shared_slow([s.tolist() for s in streams], 4)
+        for s, c in zip(streams, counts, strict=True):
             want = np.zeros(len(s), bool)
-            for i in range(len(s) - 3):
-                if len(where[tuple(s[i : i + 4])]) >= 3:
-                    want[i : i + 4] = True
-            assert (g == want).all()
+            for i in np.flatnonzero(c >= 3):
+                want[i : i + 4] = True
+            assert (htmltext.covered(c, 3, run=4) == want).all()
+
+
+def pages_slow(rows):
+    """Texts by page of ``(id, host, html)``, by plain counting of runs over whole hosts."""
+    out, hosts = {}, collections.defaultdict(list)
+    for i, host, source in rows:
+        hosts[host].append((i, source))
+    for held in hosts.values():
+        parsed = {}
+        for _, source in held:
+            page = htmltext.parse(source)
+            parsed[source] = (page.has_article, [(page.paths[k], page.texts[k]) for k in htmltext.candidates(page)])
+        streams = {s: [x for path, text in blocks for x in ("\n" + path, *text.split(" "))] for s, (_, blocks) in parsed.items()}
+        counts = dict(zip(streams, shared_slow(list(streams.values()), 8), strict=True))
+        for i, source in held:
+            article, blocks = parsed[source]
+            least = max(10, math.ceil(len(parsed) / 2)) if article else 3
+            inside = {j for k, c in enumerate(counts[source]) if c >= least for j in range(k, k + 8)}
+            at, goes, words = 0, [], [0, 0]
+            for _, text in blocks:
+                n = text.count(" ") + 2
+                goes.append(sum(j in inside for j in range(at, at + n)) >= 0.8 * n)
+                words[goes[-1]] += n
+                at += n
+            whole = article and words[1] >= words[0]
+            out[i] = "\n".join(t for (_, t), g in zip(blocks, goes, strict=True) if whole or not g)
+    return out
+
+
+@pytest.mark.parametrize("shard_pages", [4, 1024])
+def test_html_against_brute_force(spark, shard_pages):
+    """The table's pages, the same without their articles' tags, and a host whose pages all carry a notice; hosts in one shard and in many."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    rows += [(1000 + i, u, re.sub("</?article>", "", h)) for i, u, h in rows]
+    notice = "<div>we use what we like for what we like as all the others do on this site</div>"
+    text = lambda h: re.search("<article>(.*)</article>", h, re.S)[1]
+    rows += [(2000 + i, "http://one.example/x", f"<body><article>{text(h)}{notice}</article></body>") for i, (_, _, h) in enumerate(rows[:40])]
+    rows += [(3000 + i, "http://two.example/x", f"<body><div>{text(h)}</div>{notice}</body>") for i, (_, _, h) in enumerate(rows[:40])]
+    rows += [(4000 + i, *rows[-1][1:]) for i in range(30)]  # exact copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in htmltext.main_text(df, shard_pages=shard_pages).collect()}
+    want = pages_slow([(i, re.match("[a-z]+://([^/?#]*)", u)[1].lower(), h) for i, u, h in rows])
+    different = {i for i in want if got[i] != want[i]}
+    # In shards a run counts from two pages of one shard on; a notice of all pages is found in any case.
+    assert not different if shard_pages == 1024 else len(different) < 0.1 * len(want)
+    assert all("what we like" not in got[i] for i in range(3000, 3040))
+    assert all("what we like" not in got[i] for i in range(2000, 2040) if len(got[i].split(" ")) > 40)  # in shorter articles the notice is most of it
+    # With no run shared, the array judges nothing, and the texts are others.
+    assert any("what we like" in htmltext.chosen([htmltext.rest(h)])[0] for i, _, h in rows if i >= 2000)
 
 
 def test_html_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = queries.op9_html(spark, SF).collect()
+    plain = {r.page_id: "\n".join(page.texts[k] for page in [htmltext.parse(r.html)] for k in htmltext.candidates(page)) for r in pages.collect()}
+    assert {r.page_id: r.text for r in rows} == plain  # all these pages have an article, none of it boilerplate of a site
     assert len(rows) == pages.count() and all(r.n_chars == len(r.text) for r in rows) and all("track(" not in r.text and "©" not in r.text for r in rows)
     odd = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "http://a/b", "<p>x", 2)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text) for r in htmltext.main_text(odd).collect()) == [(0, "x"), (1, ""), (1, "")]
