@@ -3,14 +3,16 @@
 The cost of a piece of ``n`` tokens is estimated as ``LINEAR * n + QUADRATIC * n * n``: the matrix
 products grow with its tokens, its attention with their square. A document of more than ``capacity``
 tokens is cut into full sequences and a rest; full sequences have no room and one cost, so only the
-rests are placed. They are dealt by a hash into batches of about ``BATCH_DOCS`` documents, each packed
-by one task: with ``m`` the least number of sequences that hold the batch, the rests are assigned in
+rests are placed. They are dealt by a hash of their row's number into batches of about ``BATCH_DOCS`` documents, whatever is in
+the rows, so that repeated rows are spread like others, and each batch is packed by one task: with ``m`` the least number of sequences that hold the batch, the rests are assigned in
 descending length to the sequence of lowest cost with remaining room for them; one that fits nowhere
 whole is cut, its head filling the roomiest sequence, and its tail is assigned in turn. A batch so
 pads fewer than ``capacity`` tokens in all, whatever the lengths, and a batch's size does not grow
 with the table.
 
-Null and empty texts consist of the end id alone. Repeated rows and null ids are packed row by row.
+Null and empty texts consist of the end id alone. Repeated rows and null ids are packed row by row, ties in length by the
+ids' bytes; an empty table gives an empty one. Other columns are not read, whatever their names. Row numbers must come out
+the same when a task is repeated, as they do for tables; write anything else to one first.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
     vocabulary = vocabulary or tokens.default_vocabulary()
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     batches = max(1, -(-wanted.count() // batch_docs))
-    dealt = wanted.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)))
+    dealt = wanted.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)))
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(vocabulary)

@@ -38,9 +38,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
-from .shared import drop_folder, drop_table, materialised, new_folder
+from .shared import drop_folder, drop_table, materialised, new_folder, whole_number
 from .tokenfile import _filesystem
 
 K, K1, B = 10, 1.2, 0.75
@@ -206,11 +205,6 @@ class Index:
         return places[kept], scores[kept], opened
 
 
-def _schema_checked(docs: DataFrame, id_col: str) -> None:
-    if not isinstance(docs.schema[id_col].dataType, IntegralType):
-        raise ValueError(f"{id_col} must be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
-
-
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
     """Writes the shards of ``docs`` into ``folder``; one row per shard: ``part, number, docs, words``."""
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
@@ -303,8 +297,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id
     The search is done when this returns; index and query files are gone by then, what remains is a table of the result.
     """
     spark = docs.sparkSession
-    _schema_checked(docs, id_col)
-    _schema_checked(queries, id_col)
+    whole_number(docs, id_col)
+    whole_number(queries, id_col)
     folder = new_folder(spark, "index")
     shards = build(docs, folder, id_col, text, shard_docs)
     n, words = shards.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()

@@ -14,7 +14,9 @@ piece of the encoding up to its start; agreement is worked out once for each pai
 edge of its own and is written as its UTF-8 bytes.
 
 Nulls and empty texts have no ids. Texts are encoded whole; the suffix array is made in blocks, so a
-text's length bounds only its own list of places.
+text's length bounds only its own list of places. Null ids are kept, repeated rows encoded row by row, and an empty table gives an
+empty one; columns besides id and text may have any names. A model of another kind (not BPE, another normaliser, pieces of
+the user's or across words) is refused before any work, as these steps would give other ids than the library.
 """
 
 from __future__ import annotations
@@ -46,6 +48,53 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a serialised protocol buffer: number, and value or bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7) or varint()
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def check_model(proto: bytes) -> None:
+    """Raises unless the model is BPE whose text is taken as it is, with spaces as marks and one put in front."""
+    trainer, normaliser, kinds = {}, {}, set()
+    for number, value in _fields(proto):
+        if number == 1:
+            kinds.add(dict(_fields(value)).get(3, 1))
+        elif number in (2, 3):
+            (trainer if number == 2 else normaliser).update(_fields(value))
+    # Field numbers of the published format, with their defaults.
+    faults = {
+        "it is not BPE": trainer.get(3, 1) != 2,
+        "it marks spaces behind words": bool(trainer.get(24, 0)),
+        "it has pieces defined by the user": 4 in kinds,
+        "its normaliser changes characters": bool(normaliser.get(2, b"")),
+        "it puts no mark in front": not normaliser.get(3, 1),
+        "it removes spaces": bool(normaliser.get(4, 1)),
+        "it leaves spaces as they are": not normaliser.get(5, 1),
+    }
+    if any(faults.values()):
+        raise ValueError("this model cannot be matched: " + ", ".join(f for f, there in faults.items() if there))
+
+
 class Pieces:
     """A model's pieces, matched in batches of texts."""
 
@@ -53,6 +102,7 @@ class Pieces:
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=model)
+        check_model(sp.serialized_model_proto())
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.names = {i: sp.id_to_piece(i) for i in plain}
         self.ids = {p: i for i, p in self.names.items()}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: White space that separates words everywhere in this subpackage, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -53,6 +54,12 @@ def drop_table(df: DataFrame) -> None:
         drop_folder(df.sparkSession, folder)
 
 
+def whole_number(docs: DataFrame, column: str) -> None:
+    """Refuses a column of another type than whole numbers."""
+    if not isinstance(docs.schema[column].dataType, IntegralType):
+        raise ValueError(f"{column} must be a whole number, not {docs.schema[column].dataType.simpleString()}")
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks ``df`` for a broadcast only after counting that it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

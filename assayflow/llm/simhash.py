@@ -16,7 +16,8 @@ distance 3, at least one of its four octets agrees, so this loses no pair either
 about 64. Both grids give the same links.
 
 Nulls, empty and blank texts have fingerprint zero, which links like any other. Null ids keep a row; a
-component whose ids are all null has a null ``component_id``. Repeated rows each return a row.
+component whose ids are all null has a null ``component_id``. Repeated rows each return a row, an empty table gives an
+empty one, and columns besides id and text may have any names.
 """
 
 from __future__ import annotations
@@ -150,9 +151,10 @@ def classes(prints: DataFrame, id_col: str, max_bits: int = MAX_BITS, fine_grid:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hex digits) and ``component_id``."""
-    prints = materialised(with_fingerprints(docs, text, (id_col,)), "prints")
-    found = prints.join(classes(prints, id_col, max_bits), "fp")
-    return found.select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("body"))
+    prints = materialised(with_fingerprints(rows, "body", ("id",)), "prints")
+    found = prints.join(classes(prints, "id", max_bits), "fp")
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

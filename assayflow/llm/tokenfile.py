@@ -13,10 +13,12 @@ carry zstandard's content checksum; a longer document spans several frames. Afte
 Plain zstandard readers skip both and see the ids alone. A reader fetches the footer, the table and the
 index, and then only the frames of the documents it was asked for, and checks each frame it reads.
 
-``write_tokens`` orders documents by id (null first; equal ids by their text's hash) over range partitions,
+``write_tokens`` orders documents by id (null first; equal ids by their text's hash, then by the row's number) over range partitions, so
+that any number of equal ids is spread over files, too,
 one file each, named by its partition and a fresh name for each attempt, written under a temporary
 name and renamed: a lost task leaves a file that no manifest names. The manifest, one row per file, gives the
-ids that come before each file. An empty table writes no file.
+ids that come before each file. An empty table writes no file. Null and empty texts consist of the end id. Ids are whole
+numbers, null included; other types are refused before any work. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import new_folder
+from .shared import new_folder, whole_number
 
 FRAME_IDS = 1 << 18
 LEVEL = 3
@@ -148,8 +150,9 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     """
     spark = docs.sparkSession
     vocabulary, folder = vocabulary or tokens.default_vocabulary(), folder or new_folder(spark, "tokens")
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"), F.length("text"))
+    whole_number(docs, id_col)
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.repartitionByRange("id", "h", "row").sortWithinPartitions("id", "h", "row").select("id", "text")
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, where = _filesystem(folder)

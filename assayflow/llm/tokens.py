@@ -7,10 +7,14 @@ text are cut once more, into the pre-tokenizer's groups, and the distinct groups
 bounded size. Only new groups go to the BPE model of the tokenizers library; pieces with unusual white space or characters
 go through the whole library uncut. Cutting, finding what is distinct and
 putting ids together are Arrow kernels. A text of any length needs memory for its own ids and one stretch.
+
+This holds for a vocabulary of that kind alone (``_cuts_alike``). Texts that contain a string of its added tokens, and all texts of any other
+vocabulary, are handed to the library whole. Null texts are empty; equal texts have equal ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterable, Iterator
@@ -83,17 +87,26 @@ def _lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values)
 
 
+def _cuts_alike(settings: dict) -> bool:
+    """Whether a tokenizer is plain byte-level BPE, whose groups ``_GROUPS`` and whose cuts ``_CUT`` tell."""
+    cut, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex")
+    return bool(byte_level and model.get("type") == "BPE" and plain and not any(settings.get(k) for k in ("normalizer", "truncation", "padding")))
+
+
 class Encoder:
-    """Ids as unsigned 32-bit arrays. Strings of special tokens in a text are ordinary text."""
+    """Ids as unsigned 32-bit arrays, those that the library gives for the whole text without special tokens added."""
 
     def __init__(self, vocabulary: str, cache_groups: int = CACHE_GROUPS) -> None:
         if vocabulary not in _tokenizers:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary)
-            _tokenizers[vocabulary].encode_special_tokens = True
-        self.tokenizer = _tokenizers[vocabulary]
+            made = Tokenizer.from_file(vocabulary)
+            settings = json.loads(made.to_str())
+            _tokenizers[vocabulary] = made, _cuts_alike(settings), [t["content"] for t in settings["added_tokens"]]
+        self.tokenizer, self.plain, self.added = _tokenizers[vocabulary]
         self.groups: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.uncut: set[str] = set()  # pieces that the library has to cut
@@ -108,12 +121,17 @@ class Encoder:
         size = 0
         for text in texts:
             text = text or ""
+            if not self.plain or any(x in text for x in self.added):
+                yield from self._encode(waiting)
+                waiting, size = [], 0
+                yield self._whole(text)
+                continue
             alone = len(text) > STRETCH or "\0" in text  # NUL is the mark between pieces
             if alone or size + len(text) > STRETCH:
                 yield from self._encode(waiting)
                 waiting, size = [], 0
             if alone and "\0" in text:
-                yield np.concatenate([np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in stretches(text)])
+                yield np.concatenate([self._whole(x) for x in stretches(text)])
             elif alone:
                 yield np.concatenate([ids for x in stretches(text) for ids in self._encode([x])])
             else:
@@ -122,6 +140,9 @@ class Encoder:
         yield from self._encode(waiting)
         pa.default_memory_pool().release_unused()
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not texts:
             return
@@ -177,7 +198,7 @@ class Encoder:
             mapped = group.encode("utf-8", "surrogatepass").decode("latin-1").translate(table)
             groups[group] = array("I", [t.id for t in model(mapped)]).tobytes()
         for group in self.uncut.intersection(new):
-            groups[group] = np.array(self.tokenizer.encode(group, add_special_tokens=False).ids, "<u4").tobytes()
+            groups[group] = self._whole(group).astype("<u4").tobytes()
 
 
 _tokenizers: dict = {}

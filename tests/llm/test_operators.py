@@ -82,6 +82,8 @@ def test_simhash_edges(small, empty):
     zero = ("0" * 16, 3)
     assert by[3] == by[4] == by[5] == {zero} and len(by[1] | by[2]) == 1
     assert simhash.near_duplicates(empty).count() == 0
+    clash = simhash.near_duplicates(small.drop("fp").withColumnRenamed("doc_id", "fp"), id_col="fp")
+    assert sorted((r.fp or 0, r.fingerprint) for r in clash.collect()) == sorted((r.doc_id or 0, r.fingerprint) for r in got.collect())
     kept = simhash.drop_near_duplicates(small)
     assert kept.columns == small.columns
     ids = [r.doc_id for r in kept.collect()]
@@ -93,7 +95,6 @@ def truth(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return [(r.doc_id, np.array(t.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")) for r in docs.collect()]
 
 
@@ -106,6 +107,46 @@ def test_encoder_is_the_tokenizer():
         assert got.tolist() == e.tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_special_tokens_and_other_vocabularies():
+    """Strings of special tokens are what the library makes of them, and so is everything under a vocabulary that cuts otherwise."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x" * 10, "The  quick, brown fox\n\nßé 日本 don't", "", None, "a<|endoftext|><|endoftext|> b " * 3]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        assert [x.tolist() for x in tokens.Encoder(public_tokenizers.path(name)).encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert tokens.Encoder(tokens.default_vocabulary()).plain and not tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")).plain
+
+
+def test_repeated_rows_are_spread(spark, tmp_path):
+    """A table of one repeated row, id and text null, is no one task's burden."""
+    same = spark.range(0, 3000, 1, 6).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    packed = packing.pack(same, batch_docs=64).select(F.shiftright("sequence_id", 40).alias("b")).groupBy("b").count().collect()
+    assert sum(r["count"] for r in packed) == 3000 and max(r["count"] for r in packed) < 200
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = tokenfile.write_tokens(same, folder=f"file://{tmp_path}/t")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 2 and max(r.n_docs for r in manifest.collect()) < 1500
+    tokenfile.save_manifest(manifest, f"file://{tmp_path}/t")
+    held = tokenfile.folder_manifest(spark, f"file://{tmp_path}/t")
+    assert sorted(r.start for r in tokenfile.read_tokens(held).collect()) == list(range(3000))
+    with pytest.raises(ValueError, match="whole number"):
+        tokenfile.write_tokens(same.withColumn("doc_id", F.lit("x")))
+
+
+def test_models_of_another_kind_are_refused():
+    import sentencepiece
+
+    proto = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model()).serialized_model_proto()
+    sentencepieces.check_model(proto)
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])
+    part = lambda number, body: bytes([number << 3 | 2]) + varint(len(body)) + body
+    for extra, fault in ((part(2, b"\x18\x01"), "not BPE"), (part(3, part(2, b"map")), "changes characters"), (part(3, b"\x18\x00"), "no mark"), (part(3, b"\x20\x01"), "removes"), (part(1, part(1, b"x") + b"\x18\x04"), "user")):
+        with pytest.raises(ValueError, match=fault):
+            sentencepieces.check_model(proto + extra)
+
+
 def test_long_texts_in_stretches(monkeypatch):
     monkeypatch.setattr(tokens, "STRETCH", 64)
     e = tokens.Encoder(tokens.default_vocabulary())
