@@ -28,6 +28,7 @@ refused before any work. Columns besides id and text are not read, whatever thei
 from __future__ import annotations
 
 import io
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,11 +44,11 @@ from .shared import drop_folder, drop_table, materialised, new_folder, whole_num
 from .tokenfile import _filesystem
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS, QUERY_BLOCK, GROUP_SHARDS = 16384, 6_000_000, 256, 384, 8
+SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS, QUERY_BLOCK, GROUP_SHARDS = 10_000, 4_000_000, 256, 384, 8
 #: Pivots that wait to be opened together; the k-th score rises after each lot.
 LOT = 16
 #: Terms whose hashes a task remembers.
-KNOWN_TERMS = 200_000
+KNOWN_TERMS = 100_000
 #: Allowance for rounding when a bound is held against a score.
 SLACK = 1e-9
 TINY = np.finfo(float).tiny
@@ -107,18 +108,26 @@ class Index:
 
     @classmethod
     def build(cls, ids: list[int | None], terms: list[np.ndarray], counts: list[np.ndarray]) -> Index:
-        main = np.array([t[np.argmax(c)] if len(t) else 0 for t, c in zip(terms, counts, strict=True)], np.int64)
-        lengths = np.array([int(c.sum()) for c in counts], np.int64)
+        sizes = np.array([len(t) for t in terms], np.int64)
+        return cls.packed(ids, sizes, np.concatenate([np.empty(0, np.int64), *terms]), np.concatenate([np.empty(0, np.int32), *counts]))
+
+    @classmethod
+    def packed(cls, ids: list[int | None], sizes: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
+        """Of the documents' terms and counts end to end."""
+        starts = np.append(0, np.cumsum(sizes))
+        lengths = np.add.reduceat(np.append(tf, 0), starts[:-1]).astype(np.int64) * (sizes > 0) if len(ids) else sizes
+        main = np.array([term[a + np.argmax(tf[a:b])] if b > a else 0 for a, b in itertools.pairwise(starts.tolist())], np.int64)
         rank = np.lexsort(([i or 0 for i in ids], [i is None for i in ids], lengths, main))  # documents alike side by side, shorter ones first
         place = np.empty(len(rank), np.int32)
         place[rank] = np.arange(len(rank))
-        owner = np.repeat(place, [len(t) for t in terms])
-        term = np.concatenate([np.empty(0, np.int64), *terms])
+        owner = np.repeat(_narrow(place), sizes)
         order = np.lexsort((owner, term))
-        kinds, sizes = np.unique(term, return_counts=True)
-        tf = np.concatenate([np.empty(0, np.int32), *counts])
+        docs, counts = owner[order], _narrow(tf)[order]
+        term = term[order]
+        del order, owner
+        kinds, n = np.unique(term, return_counts=True)
         absent = np.array([i is None for i in ids], bool)[rank]
-        return cls(np.array([i or 0 for i in ids], np.int64)[rank], absent, _narrow(lengths[rank]), kinds, _narrow(sizes), _narrow(owner[order]), _narrow(tf[order]))
+        return cls(np.array([i or 0 for i in ids], np.int64)[rank], absent, _narrow(lengths[rank]), kinds, _narrow(n), docs, counts)
 
     def save(self, path: str) -> None:
         _put(path, {n: getattr(self, n) for n in self.NAMES})
@@ -130,8 +139,13 @@ class Index:
     def ready(self, mean: float) -> Index:
         """Makes impacts and blocks, which a task that only writes the index has no need of."""
         docs, sizes = self.docs, self.sizes
-        tf, kind, block = self.counts.astype(float), np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes), docs.astype(np.int32) // BLOCK_DOCS
-        self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.lengths.astype(float) / mean)[docs])
+        self.impacts = self.counts.astype(float)
+        below = (K1 * (1 - B + B * self.lengths.astype(float) / mean))[docs]
+        below += self.impacts
+        self.impacts *= K1 + 1
+        self.impacts /= below
+        del below, self.counts
+        kind, block = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes), docs.astype(np.int32) // BLOCK_DOCS
         starts = np.flatnonzero(np.append(len(docs) > 0, (kind[1:] != kind[:-1]) | (block[1:] != block[:-1]))[: len(docs)])
         self.first = np.searchsorted(kind[starts], np.arange(len(self.terms) + 1))
         self.blocks, self.posting = block[starts], np.append(starts, len(docs))
@@ -215,15 +229,17 @@ def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, size, hasher = TaskContext.get().partitionId(), 0, 0, Hasher()
         ids: list[int | None] = []
-        terms: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        sizes: list[int] = []
+        terms, counts = bytearray(), bytearray()  # end to end, as many small arrays would break up the memory
 
         def close() -> pa.RecordBatch:
-            nonlocal number, size
-            Index.build(ids, terms, counts).save(f"{folder}/{part}-{number}.npz")
-            row = [[part], [number], [len(ids)], [sum(int(c.sum()) for c in counts)]]
-            for held in (ids, terms, counts):
-                held.clear()
+            nonlocal number, size, terms, counts
+            index = Index.packed(ids, np.array(sizes, np.int64), np.frombuffer(terms, np.int64), np.frombuffer(counts, np.int32))
+            index.save(f"{folder}/{part}-{number}.npz")
+            row = [[part], [number], [len(ids)], [int(np.frombuffer(counts, np.int32).sum())]]
+            ids.clear()
+            sizes.clear()
+            terms, counts = bytearray(), bytearray()
             number, size = number + 1, 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in row], ["part", "number", "docs", "words"])
 
@@ -231,8 +247,9 @@ def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
             for doc, t in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
                 found = hasher.counts(t.as_py())
                 ids.append(doc)
-                terms.append(found[0])
-                counts.append(found[1])
+                sizes.append(len(found[0]))
+                terms += found[0].tobytes()
+                counts += found[1].tobytes()
                 size += len(found[0])
                 if len(ids) >= shard_docs or size >= shard_postings:
                     yield close()
@@ -327,6 +344,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id
         best = [none] * len(spans)
         for shard in range(group * group_shards, min((group + 1) * group_shards, int(ends[-1]))):
             p = int(np.searchsorted(ends, shard, "right"))
+            index = None  # the last one goes before the next one comes
             index = Index.load(f"{folder}/{parts[p]}-{shard - (ends[p] - sizes[p])}.npz", mean)
             for r, (a, b) in enumerate(spans):
                 ids, absent, scores = best[r]
