@@ -683,7 +683,7 @@ def pages_slow(rows):
     return out
 
 
-@pytest.mark.parametrize("shard_pages", [4, 1024])
+@pytest.mark.parametrize("shard_pages", [25, 1024])
 def test_html_against_brute_force(spark, shard_pages):
     """The table's pages, the same without their articles' tags, and a host whose pages all carry a notice; hosts in one shard and in many."""
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
