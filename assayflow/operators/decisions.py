@@ -109,12 +109,14 @@ def stratified_sample(t: DataFrame, budget: int, seed: str = "7") -> DataFrame:
 
 
 def stratified_split(labels: DataFrame, part: float, seed: str = "3") -> DataFrame:
-    """Per label a seeded share for test: at least one of two or more."""
-    w = W.partitionBy("y")
-    n = F.count("*").over(w)
-    place = F.row_number().over(w.orderBy(seeded(seed, F.col("doc_id")), "doc_id"))
-    size = F.when(n > 1, F.greatest(F.lit(1), F.bround(n * part).cast("int"))).otherwise(0)
-    return labels.select("doc_id", "y", F.when(place <= size, "test").otherwise("train").alias("split"))
+    """Per label a seeded share for test: at least one of two or more. Places are running sums over buckets of the hash, so no task sorts a label."""
+    keyed = labels.withColumn("key", seeded(seed, F.col("doc_id"))).withColumn("one", F.lit(1)).withColumn("bucket", F.concat_ws("|", F.col("y").cast("string"), F.substring("key", 1, 2)))
+    sizes = keyed.groupBy("bucket", "y").agg(F.count("*").alias("n"))  # a few hundred buckets per label
+    mine = W.partitionBy("y")
+    before = sizes.select("bucket", F.coalesce(F.sum("n").over(mine.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(mine).alias("all"))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("key", "doc_id")) + F.col("before")
+    size = F.when(F.col("all") > 1, F.greatest(F.lit(1), F.bround(F.col("all") * part).cast("int"))).otherwise(0)
+    return keyed.join(F.broadcast(before), "bucket").select("doc_id", "y", F.when(place <= size, "test").otherwise("train").alias("split"))
 
 
 # Evaluation -----------------------------------------------------------------
