@@ -66,7 +66,8 @@ def chi2_quantile(p: float, d: int) -> float:
     return low
 
 
-CUTOFF = chi2_quantile(0.999, len(DIMENSIONS))
+#: Of a hundred thousand normal documents one is beyond it: tables are large, and clean documents are to stay.
+CUTOFF = chi2_quantile(0.99999, len(DIMENSIONS))
 #: Covariance of a normal sample relative to that of its nearest ``SUPPORT``.
 CONSISTENCY = SUPPORT / chi2_below(chi2_quantile(SUPPORT, len(DIMENSIONS)), len(DIMENSIONS) + 2)
 

@@ -517,7 +517,7 @@ def test_outliers_against_plain_mcd(spark):
     assert 2.0 < np.median([got[i].distance for i in want]) < 5.5
     x = np.array([point_slow(r.text) for r in docs.collect() if r.doc_id in want])
     constant = squared(x, np.median(x, 0), np.eye(5) * x.var(0).mean(), np.zeros(5)) <= outliers.CUTOFF
-    assert np.mean(constant != np.array([got[r.doc_id].kept for r in docs.collect() if r.doc_id in want])) > 0.03
+    assert np.sum(constant != np.array([got[r.doc_id].kept for r in docs.collect() if r.doc_id in want])) > 5
 
 
 def test_chi_square():
@@ -537,9 +537,10 @@ def test_estimates_resist_outliers(spark):
 def test_small_groups_lean_on_their_language(spark):
     """A verdict moves little with a group's size; names with odd characters are names."""
     rng = np.random.default_rng(3)
+    vocabulary = {k: ["".join(rng.choice(list("abcdefghij"), rng.integers(k - 2, k + 3))) for _ in range(400)] for k in (5, 9)}
 
     def text(k):
-        words = ["".join(rng.choice(list("abcdefghij"), rng.integers(k - 2, k + 3))) + "." * (rng.random() < 0.15) for _ in range(120)]
+        words = [vocabulary[k][i] + "." * (rng.random() < 0.15) for i in rng.integers(0, 400, 120)]
         line = rng.integers(8, 20)
         return "\n".join(" ".join(words[i : i + line]) for i in range(0, 120, line))
 

