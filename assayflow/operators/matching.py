@@ -76,6 +76,25 @@ def match_recommendations(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["matched", "correct"])
 
 
+def replacement_match(pred: list[Any], gold: list[Any], least: float = 95.0) -> tuple[int, int]:
+    """(matched, correct): each prediction in turn takes the first free truth whose old and new product are both its own. A null product matches none."""
+    free, correct = list(range(len(gold))), 0
+    same = lambda a, b: a is not None and b is not None and fuzzy.indel_ratio(a.lower(), b.lower()) >= least
+    for p in pred:
+        best = next((j for j in free if same(p["old"], gold[j]["old"]) and same(p["new"], gold[j]["new"])), None)
+        if best is not None:
+            free.remove(best)
+            correct += agrees(p["fee"], gold[best]["fee"]) and p["impact"] == gold[best]["impact"]
+    return len(gold) - len(free), correct
+
+
+@F.pandas_udf(t.StructType([t.StructField("matched", t.IntegerType()), t.StructField("correct", t.IntegerType())]))
+def match_replacements(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    """For arrays of (old, new, fee, impact)."""
+    rows = [replacement_match(list(p) if p is not None else [], list(g) if g is not None else []) for p, g in zip(pred, gold, strict=True)]
+    return pd.DataFrame(rows, columns=["matched", "correct"])
+
+
 def list_scores(n_pred: Column, n_gold: Column, correct: Column) -> tuple[Column, Column, Column]:
     """(precision, recall, F1) of a list; an empty side scores 1 if the other is empty too, else 0."""
     share = lambda n, other: F.when(n > 0, correct / n).when(other == 0, 1.0).otherwise(0.0)

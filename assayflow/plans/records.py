@@ -276,6 +276,19 @@ def recommendation_matching(spark, sf):
     return m.select("doc_id", F.col("m.matched").cast("long").alias("matched"), F.col("m.correct").cast("long").alias("correct"))
 
 
+@query("SELECT l_orderkey AS doc_id, count(*) AS matched, count(*) FILTER (l_linenumber NOT IN (2, 3)) AS correct FROM lineitem GROUP BY 1")
+def replacement_matching(spark, sf):
+    """Each order's line items as replacements against themselves in reverse order, the second with another fee, the third with another impact."""
+    c = F.col
+    name = lambda *of: F.md5(F.concat_ws("-", *[c(n).cast("string") for n in ("l_orderkey", "l_linenumber", "l_extendedprice", *of)]))
+    item = lambda fee, impact: F.struct("l_linenumber", name("l_partkey").alias("old"), name("l_suppkey").alias("new"), fee.alias("fee"), impact.alias("impact"))
+    fee, impact = c("l_extendedprice").cast("double"), c("l_returnflag")
+    changed = item(F.when(c("l_linenumber") == 2, 0.0).otherwise(fee), F.when(c("l_linenumber") == 3, "none").otherwise(impact))
+    x = A.table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(item(fee, impact))).alias("gold"), F.sort_array(F.collect_list(changed), asc=False).alias("pred"))
+    m = x.select("doc_id", M.match_replacements("pred", "gold").alias("m"))
+    return m.select("doc_id", F.col("m.matched").cast("long").alias("matched"), F.col("m.correct").cast("long").alias("correct"))
+
+
 @query()
 def claim_matching(spark, sf):
     """Assistant turns of a conversation against all its turns, one to one."""

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from assayflow.functions import identifiers as I
-from assayflow.operators import scoring
+from assayflow.operators import matching, scoring
 from assayflow.operators import validators as V
 from assayflow.plans import records
 
@@ -96,3 +96,13 @@ def test_alert_gauges(spark):
     best = spark.createDataFrame([("error", 7, "page"), ("cost", 6, "page")], "slo string, tick long, rule string")
     known = spark.createDataFrame([("error", "page"), ("cost", "page")], "slo string, rule string")
     assert sorted(map(tuple, scoring.alert_gauges(best, known, F.lit(7)).collect())) == [("cost", "page", 0.0), ("error", "page", 1.0)]
+
+
+def test_replacements_match_one_to_one():
+    item = lambda old, new, fee=10.0, impact="none": {"old": old, "new": new, "fee": fee, "impact": impact}
+    gold = [item("Alpha Super", "Beta Super"), item("Gamma Growth Fund", "Beta Super", None)]
+    assert matching.replacement_match(gold, gold) == (2, 2)
+    assert matching.replacement_match([gold[0], gold[0]], gold) == (1, 1)
+    assert matching.replacement_match([item("alpha super", "BETA SUPER", 10.5), item("Gamma Growth Fund", "Beta Super", 0.0)], gold) == (2, 1)
+    assert matching.replacement_match([item("Alpha Super", "Beta Super", impact="lost"), item(None, "Beta Super")], gold) == (1, 0)
+    assert matching.replacement_match([], gold) == matching.replacement_match(gold, []) == (0, 0)
