@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, licences, outliers, packing, pii, rulefit, search, sentencepieces, simhash, tokenfile
+from . import htmltext, lexical, licences, outliers, packing, pii, prefixtrie, rulefit, search, sentencepieces, simhash, substrings, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_packing, op3_search, op4_sentencepiece, op5_tokenfile, op6_licences, op7_outliers, op8_rulefit, op9_html, op10_pii)}
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(prefixtrie.rebuilt(prefixtrie.turns_of(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("query_id", "item_id")
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_packing, op3_search, op4_sentencepiece, op5_tokenfile, op6_licences, op7_outliers, op8_rulefit, op9_html, op10_pii, op11_prefixtrie, op12_lexical, op13_substrings)}
 
 #: Where SQL can express the query over whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {"op6_licences": licences.oracle()}
+ORACLE_SQL: dict[str, str] = {"op6_licences": licences.oracle(), "op12_lexical": lexical.oracle(), "op13_substrings": substrings.oracle()}
