@@ -22,20 +22,29 @@ CLIENT_WILL = r"\b(?:i'?ll|i will|we'?ll|we will|sure|yes|i can)\b"
 PARAPLANNER_WILL = r"\b(?:i'?ll|i will|i can)\b"
 PARAPLANNER_NAMED = r"\bparaplanner\b.*\bwill\b"
 #: Words without content in notes, terms of advice, and terms that alone make no advice.
-STOP = (
-    "a an the and or of to in on at for with by from is are was were be been have has had will would could should this that these those it its as per about now new next also may might "
-    "than then there their they them we our you your i my me he she his her him who what which when where how all any some such no not only own same so too very can just do does did done "
-    "into over under up down out off again further once here more most other than client clients adviser advisers discussed agreed agree noted note meeting year years month months "
-    "approximately around following currently previously expects expected wants want like one two three get got going go make made confirmed confirm still"
-).split()
-DOMAIN = (
-    "super superannuation pension contribution concessional non-concessional cap caps salary sacrifice bring-forward insurance cover premium premiums life tpd income protection fee fees "
-    "advice risk profile balanced growth conservative portfolio portfolios investment invest option fund funds retire retirement retiring mortgage inheritance estate probate dependant "
-    "dependants beneficiary nomination binding death benefit centrelink age consent statement disclosure soa roa fact-find fact goal goals budget deposit emergency school job employer "
-    "promotion role salary wage hours work health surgery hospital medical baby child children spouse partner bereavement bereaved depression hearing language writing paperwork capacity "
-    "understanding vulnerability review appointment follow-up switch switching product compare comparison underwriting drawdown assets asset tax taxed lodge claim renewal renew level "
-    "northshore licensee related conflict conflicts related-party volatility return returns"
-).split()
+STOP = """
+a an the and or of to in on at for with by from is are was were be been has have had will
+would could should this that these those it its as per about now new next also may might
+than then there their they them we our you your i me my he she his her him who what which
+when where how all any some such no not only own same so too very can just do does did done
+into over under up down out off again further once here more most other than
+client clients adviser advisers discussed agreed agree noted note meeting year years month
+months approximately around following currently previously expects expected wants want like
+one two three get got going go make made confirmed confirm still
+""".split()
+DOMAIN = """
+super superannuation pension contribution concessional non-concessional cap caps salary
+sacrifice bring-forward insurance cover premium premiums life tpd income protection fee fees
+platform advice risk profile balanced growth conservative portfolio portfolios investment invest
+option fund funds retire retirement retiring mortgage inheritance estate probate dependant
+dependants beneficiary nomination binding death benefit centrelink age consent statement
+disclosure soa roa fact-find fact goal goals budget deposit emergency school job employer
+promotion role salary wage hours work health surgery hospital medical baby child children
+spouse partner bereavement bereaved depression hearing language writing paperwork capacity
+understanding vulnerability review appointment follow-up switch switching product compare
+comparison underwriting drawdown assets asset tax taxed lodge claim renewal renew level
+northshore licensee related conflict conflicts related-party volatility return returns
+""".split()
 GENERIC = "goal goals review statement appointment plan".split()
 #: Who must have said a claim of a section.
 SPEAKERS = {"decisions": ["client", "adviser"], "goals": ["client", "adviser"], "circumstance_changes": ["client", "adviser"], "vulnerability_indicators": ["client"]}
@@ -46,13 +55,19 @@ def any_of(patterns: list[str]) -> str:
     return "(?i)" + "|".join(patterns)
 
 
+#: A light stem by the first rule that fits: shortest length, ending, letters cut, letters put in their place.
+STEMS = [(6, "ing", 3, ""), (5, "ies", 3, "y"), (5, "ed", 2, ""), (4, "ses", 2, ""), (4, "xes", 2, ""), (4, "zes", 2, ""), (4, "ss", 0, ""), (4, "s", 1, "")]
+
+
 def stem_sql(w: str) -> str:
-    """A light stem: possessive, -ing, -ies, -ed, -es after s, x or z, and -s; the first that fits. As SQL that either engine reads."""
-    cut = lambda n: f"substr({w}, 1, length({w}) - {n})"
-    return (
-        f"CASE WHEN length({w}) > 5 AND {w} LIKE '%ing' THEN {cut(3)} WHEN length({w}) > 4 AND {w} LIKE '%ies' THEN concat({cut(3)}, 'y') WHEN length({w}) > 4 AND {w} LIKE '%ed' THEN {cut(2)} "
-        f"WHEN length({w}) > 3 AND ({w} LIKE '%ses' OR {w} LIKE '%xes' OR {w} LIKE '%zes') THEN {cut(2)} WHEN length({w}) > 3 AND {w} LIKE '%s' AND {w} NOT LIKE '%ss' THEN {cut(1)} ELSE {w} END"
-    )
+    """The stem of ``w`` as SQL that either engine reads."""
+    rules = [f"WHEN length({w}) >= {least} AND {w} LIKE '%{end}' THEN concat(substr({w}, 1, length({w}) - {cut}), '{put}')" for least, end, cut, put in STEMS]
+    return f"CASE {' '.join(rules)} ELSE {w} END"
+
+
+def stem(w: str) -> str:
+    rule = next((r for r in STEMS if len(w) >= r[0] and w.endswith(r[1])), (0, "", 0, ""))
+    return w[: len(w) - rule[2]] + rule[3]
 
 
 def _listed(words) -> str:
@@ -72,18 +87,8 @@ def content_sql(text: str) -> str:
     return f"list_distinct(list_transform({kept}, lambda w: {stem_sql('w')}))"
 
 
-def _plain_stem(w: str) -> str:
-    if len(w) > 5 and w.endswith("ing"):
-        return w[:-3]
-    rules = ((4, "ies", 3, "y"), (4, "ed", 2, ""), (3, "ses", 2, ""), (3, "xes", 2, ""), (3, "zes", 2, ""))
-    for least, end, cut, put in rules:
-        if len(w) > least and w.endswith(end):
-            return w[:-cut] + put
-    return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
-
-
 #: Stems that make advice.
-ADVICE = sorted({_plain_stem(w) for w in DOMAIN} - {_plain_stem(w) for w in GENERIC})
+ADVICE = sorted({stem(w) for w in DOMAIN} - {stem(w) for w in GENERIC})
 
 
 def implied_owner(role: Column, text: Column) -> Column:
@@ -113,10 +118,9 @@ def verdicts(claims: DataFrame, segments: DataFrame) -> DataFrame:
     )
     c = claims.join(per, ["meeting_id", "section", "idx"], "left").na.fill({"unknown": 0, "known": 0, "said": ""})
     c = c.withColumn("claimed", F.concat_ws(" due ", "text", F.col("due").cast("string"))).withColumn("own", content_words("text")).withColumn("theirs", content_words("said"))
-    c = c.withColumn("n_claim", spoken.numbers_in(F.col("claimed"))).withColumn("n_said", spoken.numbers_in(F.col("said"))).withColumn("d_claim", spoken.dates_in(F.col("claimed"))).withColumn("d_said", spoken.dates_in(F.col("said")))
+    c = c.withColumn("n_claim", spoken.numbers_in("claimed")).withColumn("n_said", spoken.numbers_in("said")).withColumn("d_claim", spoken.dates_in("claimed")).withColumn("d_said", spoken.dates_in("said"))
     lex = F.when(F.size("own") == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect("own", "theirs")) / F.size("own"))
-    same = lambda a, b, f: a[f].isNull() | b[f].isNull() | (a[f] == b[f])
-    agrees = lambda a: F.exists("d_said", lambda b: (a["month"] == b["month"]) & same(a, b, "day") & same(a, b, "year"))
+    agrees = lambda a: F.exists("d_said", lambda b: spoken.agree(a, b))
     terms = F.array(*[F.lit(w) for w in ADVICE])
     some, off = F.col("known") > 0, (F.size(F.array_intersect(F.col("own"), terms)) == 0) & (F.size(F.array_intersect(F.col("theirs"), terms)) == 0)
     hard = [
@@ -141,7 +145,7 @@ def applied(claims: DataFrame, found: DataFrame) -> DataFrame:
 
 def report(found: DataFrame, segments: DataFrame) -> DataFrame:
     """Per meeting the verdicts by status, the supported share (1 without claims) and the share of the note's figures that anybody said."""
-    said = segments.select("meeting_id", F.explode(spoken.numbers_in(F.col("text"))).alias("n")).distinct()
+    said = segments.select("meeting_id", F.explode(spoken.numbers_in("text")).alias("n")).distinct()
     noted = found.select("meeting_id", F.explode("n_claim").alias("n")).distinct().join(said.withColumn("there", F.lit(True)), ["meeting_id", "n"], "left")
     figures = noted.groupBy("meeting_id").agg(F.count("*").alias("figures"), F.count_if(F.col("there").isNull()).alias("ungrounded"))
     counts = found.groupBy("meeting_id").agg(F.count("*").alias("claims"), *[F.count_if(F.col("status") == s).alias(s) for s in ("supported", "weak", "unsupported")])

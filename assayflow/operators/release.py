@@ -1,8 +1,7 @@
 """Release decisions: proportions, paired intervals, gate and canary verdicts, canary state, drift.
 
 Every decision starts from one aggregate over the traces (a partial sum per task); what follows works on as many rows as there are
-cohorts, tags or metrics. Intervals of means are the normal ones, to which a bootstrap of the mean converges as rows
-grow; that keeps them one aggregate too.
+cohorts, tags or metrics. Intervals of means are the normal ones, or those that ``resample`` draws.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import decisions
+from . import decisions, matching, resample
 
 #: Limits of gate and canary.
 GATE = {"margin": 0.05, "alpha": 0.05, "slice_margin": 0.15, "slice_min_cases": 5, "json_validity_floor": 0.95, "cost_budget_ratio": 1.5, "min_cases": 20}
@@ -50,9 +49,12 @@ def verdict_sql(margin: float = GATE["margin"]) -> str:
     return f"CASE WHEN low > 0 THEN 'better' WHEN high < -{margin} THEN 'worse' WHEN low >= -{margin} THEN 'non-inferior' ELSE 'inconclusive' END"
 
 
-def gate(pairs: DataFrame, rates: DataFrame, passed: float = 0.71) -> DataFrame:
-    """One row: the decision on a candidate, and why. ``pairs`` has ``tag``, ``cand`` and ``base``; ``rates`` one row of ``json_rate`` and ``cost_ratio``."""
-    whole = paired(pairs)
+def gate(pairs: DataFrame, rates: DataFrame, passed: float = 0.71, whole: DataFrame | None = None) -> DataFrame:
+    """One row: the decision on a candidate, and why. ``pairs`` has ``tag``, ``cand`` and ``base``; ``rates`` one row of ``json_rate`` and ``cost_ratio``.
+
+    ``whole`` has the mean delta with its interval, as ``paired`` (the normal one, the default) or ``resample.paired`` gives it.
+    """
+    whole = paired(pairs) if whole is None else whole
     both = pairs.where("cand IS NOT NULL AND base IS NOT NULL")
     good = lambda c: F.col(c) > passed
     cases = both.agg(F.count_if(good("cand") & ~good("base")).alias("w"), F.count_if(good("base") & ~good("cand")).alias("l"))
@@ -72,21 +74,38 @@ def gate(pairs: DataFrame, rates: DataFrame, passed: float = 0.71) -> DataFrame:
 
 def canary(traces: DataFrame, stages: tuple[int, ...] = STAGES) -> DataFrame:
     """Per stage the action on a canary whose cohort are the sessions below it, against the others: hold, rollback, advance or promote."""
+    return cohort_sums(traces, stages).selectExpr(*canary_columns())
+
+
+#: Sums of a trace in the canary's and the other cohort, and the difference of their mean qualities.
+QUALITY_SUMS = {f"{n}_{c}": f"CASE WHEN {of} AND status = 'ok' AND quality IS NOT NULL THEN {e} END" for c, of in (("c", "bucket < stage"), ("t", "bucket >= stage")) for n, e in (("s", "quality"), ("k", "1"))}
+QUALITY_DELTA = "s_c / nullif(k_c, 0) - s_t / nullif(k_t, 0)"
+
+
+def canary_resampled(traces: DataFrame, stages: tuple[int, ...] = STAGES, draws: int = 400) -> DataFrame:
+    """As ``canary``, with the bootstrap interval of the difference of mean qualities, for which sessions are drawn."""
+    each = traces.withColumn("stage", F.explode(F.array(*[F.lit(s) for s in stages])))
+    ends = resample.interval(each, "session_id", QUALITY_SUMS, QUALITY_DELTA, ("stage",), draws).select("stage", F.col("low").alias("quality_low"), F.col("high").alias("quality_high"))
+    return cohort_sums(traces, stages).join(ends, "stage", "left").selectExpr(*canary_columns("quality_high"), "round(quality_low, 6) AS quality_low", "round(quality_high, 6) AS quality_high")
+
+
+def cohort_sums(traces: DataFrame, stages: tuple[int, ...] = STAGES) -> DataFrame:
+    """Per stage the counts and moments of the cohorts."""
     each = traces.withColumn("stage", F.explode(F.array(*[F.lit(s) for s in stages])))
     mine, ok = F.col("bucket") < F.col("stage"), F.col("status") == "ok"
     sums = []
     for name, of in (("c", mine), ("t", ~mine)):
         quality = F.when(of & ok, F.col("quality"))
         sums += [F.count_if(of).alias(f"n_{name}"), F.count_if(of & ~ok).alias(f"e_{name}"), F.count_if(of & ok & F.col("refusal")).alias(f"r_{name}"), F.count(quality).alias(f"q_{name}"), F.avg(quality).alias(f"m_{name}"), F.coalesce(F.var_samp(quality), F.lit(0.0)).alias(f"v_{name}")]
-    return each.groupBy("stage").agg(*sums).selectExpr(*canary_columns())
+    return each.groupBy("stage").agg(*sums)
 
 
-def canary_columns() -> list[str]:
-    """The decision from the cohorts' sums, as SQL columns that either engine reads."""
+def canary_columns(quality_high: str | None = None) -> list[str]:
+    """The decision from the cohorts' sums, as SQL columns that either engine reads; ``quality_high`` is the upper end of the difference of qualities, by default the normal one."""
     error, refusal = pooled_z("e_c", "n_c", "e_t", "n_t"), pooled_z("r_c", "n_c - e_c", "r_t", "n_t - e_t")
     rates = {"error": ("1e0 * e_c / nullif(n_c, 0) - 1e0 * e_t / nullif(n_t, 0)", error), "refusal": ("1e0 * r_c / nullif(n_c - e_c, 0) - 1e0 * r_t / nullif(n_t - e_t, 0)", refusal)}
     worse = {k: f"({d} > {CANARY[f'{k}_rate_delta']} AND {upper_tail(z)} < {CANARY['alpha']})" for k, (d, z) in rates.items()}
-    worse["quality"] = f"(m_c - m_t + {Z95} * sqrt(v_c / nullif(q_c, 0) + v_t / nullif(q_t, 0)) < -{CANARY['quality_margin']})"
+    worse["quality"] = f"({quality_high or f'm_c - m_t + {Z95} * sqrt(v_c / nullif(q_c, 0) + v_t / nullif(q_t, 0))'} < -{CANARY['quality_margin']})"
     few = f"least(n_c, n_t) < {CANARY['min_samples']}"
     any_ = " OR ".join(f"coalesce({w}, false)" for w in worse.values())
     reasons = ", ".join(f"CASE WHEN {w} THEN '{k}' END" for k, w in worse.items())
@@ -160,9 +179,8 @@ def drift(counts: DataFrame, novel: int, alpha: float = 0.01, novel_alpha: float
     at = [r[0] for r in rows].index(novel) if novel in [r[0] for r in rows] else None
     novel_p, k, n = 1.0, 0, int(now.sum())
     if at is not None and 0 < base[at] < base.sum():
-        share, k = base[at] / base.sum(), int(now[at])
-        log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log(1 - share)
-        novel_p = min(1.0, math.fsum(math.exp(log(i)) for i in range(k, n + 1)))
+        share, k = float(base[at] / base.sum()), int(now[at])
+        novel_p = min(1.0, matching.at_least(k, n, share))  # stops at small terms, however many rows there are
     triggers = [name for name, on in (("mix", p < alpha and js > threshold), ("novel", novel_p < novel_alpha and k >= least_novel)) if on]
     gain = now / now.sum() - base / base.sum()
     grown = [str(rows[i][0]) for i in np.argsort(-gain, kind="stable") if gain[i] > 0.02]
@@ -170,11 +188,14 @@ def drift(counts: DataFrame, novel: int, alpha: float = 0.01, novel_alpha: float
 
 
 def faults(minutes: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Per minute the incidents active then (start <= minute < end), the product of their multipliers and the greatest rate; 1 and 0 without any."""
-    on = (F.col("start") <= F.col("minute")) & (F.col("minute") < F.col("end"))
-    joined = minutes.join(F.broadcast(incidents), on, "left")  # incidents are few, and are counted by the caller
-    product = F.exp(F.sum(F.log("multiplier")))
-    return joined.groupBy("minute").agg(F.count("incident").alias("active"), F.round(F.coalesce(product, F.lit(1.0)), 6).alias("latency"), F.coalesce(F.max("rate"), F.lit(0.0)).alias("rate"))
+    """Per minute the incidents active then (start <= minute < end), the product of their multipliers and the greatest rate; 1 and 0 without any.
+
+    An incident becomes a row for each of its minutes, so any number of incidents is joined by minute.
+    """
+    each = incidents.where("start < end").withColumn("minute", F.explode(F.sequence("start", F.col("end") - 1))).groupBy("minute")
+    sums = each.agg(F.count("*").alias("active"), F.exp(F.sum(F.log("multiplier"))).alias("product"), F.max("rate").alias("rate"))
+    joined = minutes.join(sums, "minute", "left")
+    return joined.select("minute", F.coalesce("active", F.lit(0)).alias("active"), F.round(F.coalesce("product", F.lit(1.0)), 6).alias("latency"), F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
 def worse_when_high(metric: Column) -> Column:

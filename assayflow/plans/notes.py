@@ -86,7 +86,7 @@ def content_terms(spark, sf):
 @query()
 def spoken_numbers(spark, sf):
     """Figures and dates of every document; the parser is tested on spoken and written forms."""
-    d = A.table(spark, sf, "documents").select("doc_id", spoken.numbers_in(F.col("text")).alias("n"), spoken.dates_in(F.col("text")).alias("d"))
+    d = A.table(spark, sf, "documents").select("doc_id", spoken.numbers_in("text").alias("n"), spoken.dates_in("text").alias("d"))
     return d.select("doc_id", F.size("n").alias("numbers"), F.size("d").alias("dates"))
 
 

@@ -15,14 +15,14 @@ _TR = f"WITH {A.TRACES}"
 
 # Decisions
 
-_COHORT = ", ".join(
+COHORT = ", ".join(
     f"count(*) FILTER ({of}) AS n_{c}, count(*) FILTER ({of} AND status <> 'ok') AS e_{c}, count(*) FILTER ({of} AND status = 'ok' AND refusal) AS r_{c}, count(quality) FILTER ({of} AND status = 'ok') AS q_{c}, "
     f"avg(quality) FILTER ({of} AND status = 'ok') AS m_{c}, coalesce(var_samp(quality) FILTER ({of} AND status = 'ok'), 0) AS v_{c}"
     for c, of in (("c", "bucket < stage"), ("t", "bucket >= stage"))
 )
 
 
-@query(f"{_TR}, co AS (SELECT stage, {_COHORT} FROM tr, (VALUES (10), (50), (100)) s(stage) GROUP BY stage) SELECT {', '.join(R.canary_columns())} FROM co")
+@query(f"{_TR}, co AS (SELECT stage, {COHORT} FROM tr, (VALUES (10), (50), (100)) s(stage) GROUP BY stage) SELECT {', '.join(R.canary_columns())} FROM co")
 def canary_decision(spark, sf):
     return R.canary(A.traces(spark, sf))
 
@@ -51,18 +51,25 @@ def paired_verdicts(spark, sf):
 _GATE_WHY = "[CASE WHEN low < -0.05 THEN 'not_non_inferior' END, CASE WHEN l > w AND p < 0.05 THEN 'mcnemar' END, CASE WHEN bad > 0 THEN 'slice' END, CASE WHEN json_rate < 0.95 THEN 'json_validity' END, CASE WHEN cost_ratio > 1.5 THEN 'cost' END]"
 
 
-@query(f"""WITH {_PAIR}, b AS (SELECT * FROM pa WHERE cand IS NOT NULL AND base IS NOT NULL), s AS (SELECT {_PAIRED.format('1 AS one')} FROM b), t AS (SELECT *, {_LIMITS} FROM s),
+def gate_sql(interval: str) -> str:
+    """The gate in SQL, with CTEs that end in ``t`` (n, delta, low, high) over the pairs ``b``."""
+    return f"""WITH {_PAIR}, b AS (SELECT * FROM pa WHERE cand IS NOT NULL AND base IS NOT NULL), {interval},
  c AS (SELECT count(*) FILTER (cand > 0.71 AND base <= 0.71) AS w, count(*) FILTER (base > 0.71 AND cand <= 0.71) AS l FROM b),
  m AS (SELECT w, l, CASE WHEN w + l = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) - (w + l) * ln(2))) FROM (SELECT unnest(range(0, least(w, l) + 1)) AS k))) END AS p FROM c),
  g AS (SELECT count(*) FILTER (d < -0.15) AS bad FROM (SELECT avg(cand) - avg(base) AS d FROM b GROUP BY tag HAVING count(*) >= 5)),
  r AS (SELECT avg(CAST(json_valid AS INTEGER)) FILTER (version = 'v1') AS json_rate, avg(cost_usd) FILTER (version = 'v1') / avg(cost_usd) FILTER (version = 'v0') AS cost_ratio FROM tr),
  z AS (SELECT *, CASE WHEN n < 20 THEN ['too_few_cases'] ELSE list_filter({_GATE_WHY}, lambda x: x IS NOT NULL) END AS why FROM t, m, g, r)
- SELECT CASE WHEN n < 20 THEN 'INSUFFICIENT_DATA' WHEN len(why) > 0 THEN 'FAIL' ELSE 'PASS' END AS decision, array_to_string(why, ',') AS reasons, n, round(delta, 6) AS delta, round(low, 6) AS ci_low, round(high, 6) AS ci_high, round(p, 6) AS p_mcnemar FROM z""")
-def gate_decision(spark, sf):
-    t = A.traces(spark, sf)
+ SELECT CASE WHEN n < 20 THEN 'INSUFFICIENT_DATA' WHEN len(why) > 0 THEN 'FAIL' ELSE 'PASS' END AS decision, array_to_string(why, ',') AS reasons, n, round(delta, 6) AS delta, round(low, 6) AS ci_low, round(high, 6) AS ci_high, round(p, 6) AS p_mcnemar FROM z"""
+
+
+def gate_rates(spark, sf):
     of = lambda c, v: F.avg(F.when(F.col("version") == v, c))
-    rates = t.agg(of(F.col("json_valid").cast("int"), "v1").alias("json_rate"), (of(F.col("cost_usd"), "v1") / of(F.col("cost_usd"), "v0")).alias("cost_ratio"))
-    return R.gate(_paired(spark, sf), rates)
+    return A.traces(spark, sf).agg(of(F.col("json_valid").cast("int"), "v1").alias("json_rate"), (of(F.col("cost_usd"), "v1") / of(F.col("cost_usd"), "v0")).alias("cost_ratio"))
+
+
+@query(gate_sql(f"s AS (SELECT {_PAIRED.format('1 AS one')} FROM b), t AS (SELECT *, {_LIMITS} FROM s)"))
+def gate_decision(spark, sf):
+    return R.gate(_paired(spark, sf), gate_rates(spark, sf))
 
 
 _METRICS = "mt AS (SELECT session_id % 50 AS case_id, metric, avg(x) FILTER (version = 'v1') AS cand, avg(x) FILTER (version = 'v0') AS base FROM (UNPIVOT (SELECT session_id, version, quality, latency_ms AS latency, CAST(cost_usd AS DOUBLE) AS cost FROM tr) ON quality, latency, cost INTO NAME metric VALUE x) GROUP BY 1, 2)"
@@ -257,13 +264,13 @@ def prompt_lint(spark, sf):
 
 # Incidents by the minute
 
-_INCIDENTS = """ic AS (SELECT s_suppkey AS incident, s_suppkey * 13 % 97 AS "start", s_suppkey * 13 % 97 + 5 + s_suppkey % 13 AS "end", CASE s_suppkey % 3 WHEN 0 THEN 'regressed_prompt' WHEN 1 THEN 'latency_spike' ELSE 'error_burst' END AS kind, 1 + s_suppkey % 3 * 0.5 AS multiplier, s_suppkey % 10 / 20 AS rate FROM supplier WHERE s_suppkey <= 200)"""
+_INCIDENTS = """ic AS (SELECT s_suppkey AS incident, s_suppkey * 13 % 97 AS "start", s_suppkey * 13 % 97 + 5 + s_suppkey % 13 AS "end", CASE s_suppkey % 3 WHEN 0 THEN 'regressed_prompt' WHEN 1 THEN 'latency_spike' ELSE 'error_burst' END AS kind, 1 + s_suppkey % 3 * 0.5 AS multiplier, s_suppkey % 10 / 20 AS rate FROM supplier)"""
 
 
 def _incidents(spark, sf):
     k = F.col("s_suppkey")
     kind = F.when(k % 3 == 0, "regressed_prompt").when(k % 3 == 1, "latency_spike").otherwise("error_burst")
-    return A.table(spark, sf, "supplier").where("s_suppkey <= 200").select(k.alias("incident"), (k * 13 % 97).alias("start"), (k * 13 % 97 + 5 + k % 13).alias("end"), kind.alias("kind"), (1 + k % 3 * 0.5).alias("multiplier"), (k % 10 / 20).alias("rate"))
+    return A.table(spark, sf, "supplier").select(k.alias("incident"), (k * 13 % 97).alias("start"), (k * 13 % 97 + 5 + k % 13).alias("end"), kind.alias("kind"), (1 + k % 3 * 0.5).alias("multiplier"), (k % 10 / 20).alias("rate"))
 
 
 @query(f'WITH {_INCIDENTS} SELECT minute, count(incident) AS active, round(coalesce(exp(sum(ln(multiplier))), 1), 6) AS latency, coalesce(max(rate), 0) AS rate FROM range(0, 120) m(minute) LEFT JOIN ic ON "start" <= minute AND minute < "end" GROUP BY 1')
@@ -277,7 +284,7 @@ def version_at(spark, sf):
     """Which prompt served a trace: an incident's, else a release's from its minute on, else the canary's for its sessions, else the active one."""
     minutes = spark.range(0, 120, 1, 2).select(F.col("id").alias("minute"))
     bad = _incidents(spark, sf).where("kind = 'regressed_prompt'")
-    hit = minutes.join(F.broadcast(bad), (F.col("start") <= F.col("minute")) & (F.col("minute") < F.col("end"))).select("minute", F.lit(True).alias("hit")).distinct()
+    hit = minutes.join(R.faults(minutes, bad).where("active > 0"), "minute").select("minute", F.lit(True).alias("hit"))  # as many rows as minutes
     t = A.traces(spark, sf).select("trace_id", "bucket", (F.col("trace_id") % 120).alias("minute")).join(F.broadcast(hit), "minute", "left")
     return t.select("trace_id", F.when(F.col("hit"), "regressed").when(F.col("minute") >= 90, "v2").when(F.col("bucket") < 10, "canary").otherwise("active").alias("served"))
 

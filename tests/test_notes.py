@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from assayflow.functions import jsonfix, spoken
@@ -18,28 +19,47 @@ from assayflow.plans import catalogue, notes, registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("eighty-five thousand", [85000]), ("$85k", [85000]), ("A$ 85,000.50", [85000.5]), ("85 thousand dollars", [85000]), ("one point two million", [1200000]), ("nine point five percent", [9.5]),
-        ("s034 CLIENT_2 x12 and 12%", [12]), ("two hundred and fifty then 3", [250, 3]), ("on 3 March 2025 we moved 4,500.50", [4500.5]), ("no figures and a point", []), ("", []), (None, []),
-        ("twenty-seven thousand five hundred", [27500]), ("a million", [1000000]), ("2.5 mil", [2500000]), ("half of 10 per cent", [10]), ("point", []), ("seven point", [7]),
-    ],
-)
-def test_numbers(text, want):
-    assert spoken.numbers(text) == want
+FIGURES = [
+    ("eighty-five thousand", [85000]), ("$85k", [85000]), ("A$ 85,000.50", [85000.5]), ("85 thousand dollars", [85000]), ("one point two million", [1200000]), ("nine point five percent", [9.5]),
+    ("s034 CLIENT_2 x12 and 12%", [12]), ("two hundred and fifty then 3", [250, 3]), ("on 3 March 2025 we moved 4,500.50", [4500.5]), ("no figures and a point", []), ("", []), (None, []),
+    ("twenty-seven thousand five hundred", [27500]), ("a million", [1000000]), ("2.5 mil", [2500000]), ("half of 10 per cent", [10]), ("point", []), ("seven point", [7]), ("85 thousand and five hundred", [85000]),
+    ("85k five hundred", [85000, 500]), ("85 hundred and 3 grand four", [85, 100, 3000]), ("1.5m, 2bn and 7mil", [1.5e6, 2e9, 7e6]), ("point five", [0.5]), ("one point two point five", [1.7]), ("\x01 4 \x03", [4]),
+]
+
+
+def evaluated(spark, texts, of):
+    """What the column expression ``of`` gives for each text."""
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = {r.i: r.x for r in held.select("i", of("text").alias("x")).collect()}
+    return [[tuple(x) if isinstance(x, Row) else x for x in rows[i]] for i in range(len(texts))]
+
+
+def test_numbers(spark):
+    assert evaluated(spark, [t for t, _ in FIGURES], spoken.figures_in) == [w for _, w in FIGURES]
+    assert evaluated(spark, ["3 or three, 2"], spoken.numbers_in) == [[2, 3]]
+
+
+def test_dates(spark):
+    texts = ["2025-03-04, 5/6/2024 and 1st of July, August 9, 2023; Sept 2022 but not 45 March", "May 5 June", "13/13/2024", None]
+    assert evaluated(spark, texts, spoken.dates_in) == [[(3, 4, 2025), (6, 5, 2024), (7, 1, None), (8, 9, 2023), (9, None, 2022)], [(6, 5, None)], [], []]
+
+
+def agree_slow(a, b):
+    return a[0] == b[0] and all(x is None or y is None or x == y for x, y in zip(a[1:], b[1:], strict=True))
 
 
-def test_dates():
-    assert spoken.dates("2025-03-04, 5/6/2024 and 1st of July, August 9, 2023; Sept 2022 but not 45 March") == [(3, 4, 2025), (6, 5, 2024), (7, 1, None), (8, 9, 2023), (9, None, 2022)]
-    assert spoken.dates("May 5 June") == [(6, 5, None)] and spoken.dates("13/13/2024") == [] and spoken.dates(None) == []
-    assert spoken.agree((3, None, 2025), (3, 4, None)) and not spoken.agree((3, 4, 2025), (3, 5, 2025)) and not spoken.agree((3, 4, None), (4, 4, None))
+def test_dates_agree(spark):
+    pairs = [((3, None, 2025), (3, 4, None)), ((3, 4, 2025), (3, 5, 2025)), ((3, 4, None), (4, 4, None)), ((3, 4, 2025), (3, 4, 2025)), ((3, 4, 2025), (3, 4, 2024))]
+    held = spark.createDataFrame(pairs, "a struct<month:int,day:int,year:int>, b struct<month:int,day:int,year:int>")
+    assert [r.x for r in held.select(spoken.agree(F.col("a"), F.col("b")).alias("x")).collect()] == [agree_slow(*p) for p in pairs] == [True, False, False, True, False]
 
 
-def test_words_and_back():
-    for n in (0, 1, 13, 20, 42, 100, 215, 999, 1000, 27500, 85000, 1200000, 1000000, 2000001, 10**9, 9.5, 0.25):
-        assert spoken.numbers(spoken.words(n)) == [n], n
-    assert spoken.words(-3) == "minus three" and spoken.words(1200000) == "one point two million"
+def test_words_and_back(spark):
+    figures = [0, 1, 13, 20, 42, 100, 215, 999, 1000, 27500, 85000, 1200000, 1000000, 2000001, 10**9, 9.5, 0.25, 2345678901.125]
+    held = spark.createDataFrame([(float(n),) for n in figures], "n double").withColumn("text", spoken.said(F.col("n")))
+    assert [r.x for r in held.select(spoken.figures_in("text").alias("x")).collect()] == [[n] for n in figures]
+    said = spark.createDataFrame([(-3.0,), (1200000.0,), (1e12,)], "n double").select(spoken.said(F.col("n")), spoken.amount(F.col("n"))).collect()
+    assert [tuple(r) for r in said[:2]] == [("minus three", "$-3"), ("one point two million", "$1,200,000")] and said[2][0] is None
 
 
 def test_json_repairs():
@@ -57,7 +77,7 @@ def words_slow(text):
     for w in re.findall("[a-z][a-z'-]*[a-z]|[a-z]", text.lower()):
         w = w.removesuffix("'s")
         if len(w) > 2 and w not in N.STOP and w not in spoken.NUMBER_WORDS:
-            out.add(N._plain_stem(w))
+            out.add(N.stem(w))
     return out
 
 
@@ -68,7 +88,7 @@ def owner_slow(role, text):
     return role if re.search(N.CLIENT_WILL if role == "client" else N.PARAPLANNER_WILL, t) else None
 
 
-def verdict_slow(claim, said):
+def verdict_slow(claim, said, figures, dates):
     there = [said[e] for e in claim.evidence if e in said]
     text = " ".join(t for _, t in there)
     claimed = claim.text + (f" due {claim.due}" if claim.due else "")
@@ -76,9 +96,9 @@ def verdict_slow(claim, said):
     lex = len(own & theirs) / len(own) if own else 1.0
     hard = ["unknown_segment"] if len(there) < len(claim.evidence) else [] if there else ["no_evidence"]
     if there:
-        if set(spoken.numbers(claimed)) - set(spoken.numbers(text)):
+        if set(figures[claimed]) - set(figures[text]):
             hard.append("figure")
-        if any(not any(spoken.agree(d, e) for e in spoken.dates(text)) for d in spoken.dates(claimed)):
+        if any(not any(agree_slow(d, e) for e in dates[text]) for d in dates[claimed]):
             hard.append("date")
         hit = lambda ps, t: re.search(N.any_of(ps), t) is not None
         if claim.section == "decisions" and not any(hit(N.COMMITMENT, t) and not hit(N.DEFERRAL, t) for _, t in there):
@@ -120,8 +140,10 @@ def test_claim_verdicts(spark):
         got = {(r.meeting_id, r.section, r.idx): (r.status, r.score, r.reasons) for r in N.verdicts(c, s).collect()}
         rows = c.collect()
         assert len(got) == len(rows)
+        texts = sorted({r.text + (f" due {r.due}" if r.due else "") for r in rows} | {" ".join(said[r.meeting_id][e][1] for e in r.evidence if e in said[r.meeting_id]) for r in rows})
+        figures, dates = (dict(zip(texts, evaluated(spark, texts, of), strict=True)) for of in (spoken.figures_in, spoken.dates_in))
         for r in rows:
-            status, score, reasons = verdict_slow(r, said[r.meeting_id])
+            status, score, reasons = verdict_slow(r, said[r.meeting_id], figures, dates)
             assert got[r.meeting_id, r.section, r.idx] == (status, pytest.approx(round(min(1, score), 4)), reasons), r
     first = {r.idx: r.status for r in N.verdicts(*tables[0]).collect()}
     assert [first[i] for i in range(5)] == ["supported", "unsupported", "supported", "unsupported", "unsupported"] and first[5] == "supported"
