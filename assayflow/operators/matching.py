@@ -6,6 +6,7 @@ Matching works on the lists of one record, which its schema bounds; records are
 from __future__ import annotations
 
 import math
+import re
 from typing import Any
 
 import pandas as pd
@@ -57,11 +58,19 @@ def agrees(a: float | None, b: float | None) -> bool:
     return a is b if a is None or b is None else abs(a - b) <= max(1.0, abs(b) * 0.005)
 
 
+def same_product(a: str | None, b: str | None, least: float) -> bool:
+    """Whether two names, as ``text.normal_name`` gives them, are alike; a null name is like none."""
+    if a is None or b is None:
+        return False
+    x, y = (re.sub("[^a-z0-9 ]", "", re.sub("[ \t\n\r]+", " ", n.lower()).strip(" ")) for n in (a, b))
+    return x == y or fuzzy.indel_ratio(x, y) >= least
+
+
 def recommendation_match(pred: list[Any], gold: list[Any], least: float = 95.0) -> tuple[int, int]:
     """(matched, correct): each prediction in turn takes a free truth of its product, if possible of its action."""
     free, correct = list(range(len(gold))), 0
     for p in pred:
-        same = [j for j in free if fuzzy.indel_ratio(p["product"].lower(), gold[j]["product"].lower()) >= least]
+        same = [j for j in free if same_product(p["product"], gold[j]["product"], least)]
         best = next((j for j in same if gold[j]["action"] == p["action"]), same[0] if same else None)
         if best is not None:
             free.remove(best)
@@ -79,9 +88,8 @@ def match_recommendations(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
 def replacement_match(pred: list[Any], gold: list[Any], least: float = 95.0) -> tuple[int, int]:
     """(matched, correct): each prediction in turn takes the first free truth whose old and new product are both its own. A null product matches none."""
     free, correct = list(range(len(gold))), 0
-    same = lambda a, b: a is not None and b is not None and fuzzy.indel_ratio(a.lower(), b.lower()) >= least
     for p in pred:
-        best = next((j for j in free if same(p["old"], gold[j]["old"]) and same(p["new"], gold[j]["new"])), None)
+        best = next((j for j in free if same_product(p["old"], gold[j]["old"], least) and same_product(p["new"], gold[j]["new"], least)), None)
         if best is not None:
             free.remove(best)
             correct += agrees(p["fee"], gold[best]["fee"]) and p["impact"] == gold[best]["impact"]

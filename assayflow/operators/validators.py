@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, identifiers
+from ..functions import identifiers
 from ..functions import text as T
+from . import similar
 
 #: Actions that bring new money, and those that leave money invested; a document's section by field.
 NEW_MONEY = ("establish", "contribute", "rollover")
@@ -20,8 +21,6 @@ SECTIONS = {
     "client_names": "header", "adviser_name": "header", "licensee": "header", "advice_date": "header", "risk_profile": "risk", "scope": "scope",
     "recommendations": "recommendations", "fees": "fees", "replacements": "replacement", "authority_to_proceed_signed": "authority", "document": "document",
 }
-#: Names a product master may have: it is shipped with the matching function.
-MASTER_ROWS = 10_000
 
 
 def _bad(when: Column, code: str, severity: str, field: str) -> Column:
@@ -84,20 +83,18 @@ def amounts(recs: DataFrame) -> DataFrame:
 def products(recs: DataFrame, master: DataFrame, reps: DataFrame | None = None, least: float = 90.0) -> DataFrame:
     """Names that resolve to no product of ``master`` (name, product_type), and types that differ from the product's; both sides
     of replacements too, where they are named."""
-    known = {r.name: r.product_type for r in master.select("name", "product_type").orderBy("name").limit(MASTER_ROWS + 1).collect()}
-    if len(known) > MASTER_ROWS:
-        raise ValueError(f"a product master has at most {MASTER_ROWS} names")
+    known = master.groupBy("name").agg(F.max("product_type").alias("known_type"))
     field = lambda of, side: F.concat(F.lit(f"{of}["), F.col("idx").cast("string"), F.lit(f"].{side}"))
     used = recs.select("doc_id", field("recommendations", "product_name").alias("field"), field("recommendations", "product_type").alias("type_field"), "product_name", "product_type")
     for side in ("from_product", "to_product") if reps is not None else ():
         one = reps.where(F.trim(side) != "").select("doc_id", field("replacements", side).alias("field"), F.lit("").alias("type_field"), F.col(side).alias("product_name"), F.lit(None).cast("string").alias("product_type"))
         used = used.unionByName(one)
-    # Each distinct name is matched once, however many rows repeat it; a name that many rows share is split by adaptive execution.
-    names = used.select("product_name").distinct().withColumn("found", fuzzy.best_match(list(known), least)(F.col("product_name")))
-    types = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.create_map().cast("map<string,string>")
-    matched = used.join(names.where("found IS NOT NULL"), "product_name", "left")
+    # Each distinct name is matched once, however many rows repeat it, by a similarity join with the master, however large.
+    names = similar.best(used.select(F.col("product_name").alias("name")), known.select("name", F.col("name").alias("place")), least)
+    resolved = names.join(known.withColumnRenamed("name", "found"), "found").select(F.col("name").alias("product_name"), "found", "known_type")
+    matched = used.join(resolved, "product_name", "left")
     unknown = F.col("found").isNull()
-    code = F.when(unknown, "product_unknown").when(types[F.col("found")] != F.col("product_type"), "product_type_mismatch")
+    code = F.when(unknown, "product_unknown").when(F.col("known_type") != F.col("product_type"), "product_type_mismatch")
     rows = matched.select("doc_id", code.alias("code"), F.lit("error").alias("severity"), F.when(unknown, F.col("field")).otherwise(F.col("type_field")).alias("field"))
     return rows.where("code IS NOT NULL")
 
