@@ -2,10 +2,12 @@
 
 A text is cut into sentences at blank lines (lines without a letter a-z or digit, so a line of comment marks alone is blank) and
 at full stops and question marks that white space and then anything but a small letter or digit follows: ``v. 2.0`` is not cut.
-A sentence may be wrapped, commented, or follow a line that has no stop; so not the sentence alone is looked up, but from each of its
-lines on the longest run of up to ``RUN_LINES`` lines that is known. Lines are normalised first (A-Z lowered, every run of other
+A sentence may be wrapped, commented, or follow a line that has no stop; so not the sentence alone is looked up, but from the first word of each of its
+lines on the longest known sentence that ends where a line ends, over any number of lines. What may be known there is found by the first
+``HEAD`` words. Lines are normalised first (markup tags and lines without a word dropped, A-Z lowered, every run of other
 characters than a-z, 0-9, ``.`` and ``+`` made one space, which also takes comment marks and quotes) and runs are trimmed of spaces and
-stops. Known ones become identifiers, in text order. A rule is an ordered list of identifiers with a licence; it matches if its
+stops. Known ones become identifiers, in text order. A line of a machine-readable tag becomes an identifier for each licence in its
+expression (``OR``, ``AND``, ``WITH``, brackets, ``+`` and the older short names are read). A rule is an ordered list of identifiers with a licence; it matches if its
 identifiers occur in this order, with others in between or not. A rule whose identifiers are part of those of a longer one that
 matches, too, yields to it.
 Work is done row by row; no step shuffles, and the tables of sentences and rules are constants of the plan.
@@ -83,9 +85,27 @@ TAGS = (
     "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 "
     "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA PostgreSQL Unlicense WTFPL Zlib"
 ).split()
+#: Short names that came before those with ``only`` and ``or-later``, by family.
+OLD = {"AGPL": ["3.0"], "GPL": ["2.0", "3.0"], "LGPL": ["2.1", "3.0"]}
 EXCEPTIONS = {"Apache-2.0": ["LLVM-exception"], "GPL-2.0-only": ["Classpath-exception-2.0", "Linux-syscall-note"], "GPL-2.0-or-later": ["Classpath-exception-2.0", "Autoconf-exception-2.0"], "GPL-3.0-or-later": ["GCC-exception-3.1", "Autoconf-exception-3.0", "Bison-exception-2.2"]}
 
 
+def _tag_id(tag: str) -> str:
+    return f"spdx-{tag.lower().replace(' ', '-')}"
+
+
+def _tags() -> dict[str, str]:
+    """Identifiers by what a part of an expression is after normalising, with ``or later`` taken as ``+``."""
+    plain = lambda t: t.lower().replace("-", " ").replace(" or later", "+")
+    found = {plain(t): _tag_id(t) for t in TAGS} | {plain(f"{t} WITH {e}"): _tag_id(f"{t} WITH {e}") for t, es in EXCEPTIONS.items() for e in es}
+    for family, versions in OLD.items():
+        for v in versions:
+            named = {f"{family} {v}": f"{family}-{v}-only", f"{family} {v}+": f"{family}-{v}-or-later"}
+            found |= {k.lower(): _tag_id(t) for k, t in named.items()}
+            found |= {f"{k.lower()} with {e.lower().replace('-', ' ')}": _tag_id(f"{t} WITH {e}") for k, t in named.items() for e in EXCEPTIONS.get(t, [])}
+    return found
+
+
 def _tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
     """Identifiers by sentence, and rules."""
     known = {s: i for i, s in NOTICES.items()}
@@ -122,13 +142,22 @@ def _tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
             one(f"this work is licensed under {article} creative commons {name} {version} {place} {tail}", f"work-{licence.lower()}", licence)
         for start in ("licensed under", "released under", "this work is licensed under"):
             one(f"{start} cc {short} {version}", f"line-{licence.lower()}", licence)
+    for licence, names in NAMES.items():
+        plain = licence.lower().replace("-", " ")
+        for start, name in itertools.product(STATEMENTS, names):  # the short name in brackets behind the long one
+            one(f"{start} {name} {plain}", f"line-{licence.lower()}", licence)
+        for subject in ("project", "work", "software", "program"):
+            one(f"this {subject} is {plain} licensed", f"line-{licence.lower()}", licence)
     for tag in [*TAGS, *(f"{t} WITH {e}" for t, es in EXCEPTIONS.items() for e in es)]:
-        one(f"spdx license identifier {tag.lower().replace('-', ' ')}", f"spdx-{tag.lower().replace(' ', '-')}", tag)
+        rules.append((tag, (_tag_id(tag),)))
     return known, rules
 
 
 SENTENCES, RULES = _tables()
-RUN_LINES = 24
+TAG_PARTS = _tags()
+#: Words by which a sentence that may begin here is looked up; how a line of a tag begins.
+HEAD, TAG_LINE = 3, "spdx license identifier "
+MARKUP = r"</?[A-Za-z][^<>\n]*>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A stop, what may stand between it and white space, and the first character of the next sentence; the mark that is put between them; where sentences end.
 STOP, MARK = r"([.?][^A-Za-z0-9 \t\n\r]*)[ \t\n\r]+([^a-z0-9 \t\n\r])", "\x1e"
@@ -136,20 +165,40 @@ CUT = MARK + r"|\n(?:[^A-Za-z0-9\n]*\n)+"
 ODD = "[^a-z0-9.+]+"
 #: A sentence without one of these is not known.
 HINT = r"(?i)licen|permi|redistribut|copyright|warrant|software|hope|gpl|\bcc\b"
-#: The words that known sentences begin with.
-FIRST = sorted({s.split(" ")[0] for s in SENTENCES})
+
+
+def _by_head() -> dict[str, list[dict]]:
+    """Known sentences by their first words, the longest first."""
+    out: dict[str, list[dict]] = {}
+    for sentence, identifier in sorted(SENTENCES.items(), key=lambda x: (-len(x[0].split()), x[0])):
+        words = sentence.split()
+        out.setdefault(" ".join(words[:HEAD]), []).append({"s": sentence, "n": len(words), "id": identifier})
+    return out
+
+
+def _line(line: str) -> str:
+    """SQL of a line as its words, joined by spaces."""
+    return f"trim(regexp_replace(translate({line}, '{UPPER}', '{LOWER}'), '{ODD}', ' '))"
 
 
 def identifiers(text: str) -> Column:
     """The identifiers of the known sentences of the column ``text``, in order."""
-    known = f"from_json('{json.dumps(SENTENCES)}', 'map<string,string>')"
-    lines = f"transform(split(s, '\\n'), l -> trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '{ODD}', ' ')))"
-    run = "trim(BOTH ' .' FROM array_join(slice(lines, i + 1, k), ' '))"
-    longest = f"get(filter(transform(sequence(least({RUN_LINES}, size(lines) - i), 1, -1), k -> try_element_at({known}, {run})), x -> x IS NOT NULL), 0)"
-    first = ", ".join(f"'{w}'" for w in FIRST)
-    found = f"element_at(transform(array({lines}), lines -> array_compact(transform(lines, (l, i) -> IF(substring_index(l, ' ', 1) IN ({first}), {longest}, NULL)))), 1)"
-    sentences = f"filter(split(regexp_replace({text}, r'{STOP}', '$1{MARK}$2'), r'{CUT}'), s -> s RLIKE r'{HINT}')"
-    return F.expr(f"IF({text} RLIKE r'{HINT}', flatten(transform({sentences}, s -> {found})), CAST(array() AS ARRAY<STRING>))")
+    heads = f"from_json('{json.dumps(_by_head())}', 'map<string,array<struct<s:string,n:int,id:string>>>')"
+    tags = f"from_json('{json.dumps(TAG_PARTS)}', 'map<string,string>')"
+    # Words of all lines, each with whether it begins or ends one; words of stops alone count as none.
+    words = "filter(split(l, ' '), w -> w RLIKE '[^.]')"
+    marked = f"flatten(transform(lines, l -> element_at(transform(array({words}), x -> transform(x, (w, j) -> named_struct('w', w, 'first', j = 0, 'last', j = size(x) - 1))), 1)))"
+    run = "trim(BOTH ' .' FROM array_join(transform(slice(v, i + 1, {}), y -> y.w), ' '))"
+    fits = f"coalesce(get(v, i + k.n - 1).last, false) AND {run.format('k.n')} = k.s"
+    longest = f"get(filter(coalesce(try_element_at({heads}, {run.format(HEAD)}), array()), k -> {fits}), 0).id"
+    # A tag stands in one line: its parts are its words up to there.
+    rest = "substr(array_join(transform(slice(v, i + 1, CAST(array_position(transform(slice(v, i + 1, size(v)), y -> y.last), true) AS INT)), y -> y.w), ' '), 25)"
+    parts = f"array_compact(transform(split(replace({rest}, ' or later', '+'), ' (?:or|and) '), p -> try_element_at({tags}, trim(BOTH ' .' FROM p))))"
+    is_tag = f"concat({run.format(HEAD)}, ' ') = '{TAG_LINE}'"
+    found = f"element_at(transform(array({marked}), v -> flatten(transform(v, (x, i) -> IF(NOT x.first, CAST(array() AS ARRAY<STRING>), IF({is_tag}, {parts}, array_compact(array({longest}))))))), 1)"
+    lines = f"filter(transform(split(s, '\n'), l -> {_line('l')}), l -> l RLIKE '[^. ]')"
+    sentences = f"filter(split(regexp_replace(regexp_replace({text}, r'{MARKUP}', ' '), r'{STOP}', '$1{MARK}$2'), r'{CUT}'), s -> s RLIKE r'{HINT}')"
+    return F.expr(f"IF({text} RLIKE r'{HINT}', flatten(transform({sentences}, s -> element_at(transform(array({lines}), lines -> {found}), 1))), CAST(array() AS ARRAY<STRING>))")
 
 
 def _pattern(ids: tuple[str, ...]) -> str:
@@ -187,19 +236,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 def oracle() -> str:
     """The same in DuckDB's SQL, with the query's columns."""
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    first = ", ".join(f"'{w}'" for w in FIRST)
+    known = ", ".join(f"('{s}', {len(s.split())}, '{i}')" for s, i in SENTENCES.items())
+    tags = ", ".join(f"('{p}', '{i}')" for p, i in TAG_PARTS.items())
     hits = ", ".join(_hits("j"))
+    body = f"string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '{MARKUP}', ' ', 'g'), '{STOP}', '\\1' || chr(30) || '\\2', 'g'), chr(30) || '|\\n(?:[^A-Za-z0-9\\n]*\\n)+')"
+    line = f"trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '{ODD}', ' ', 'g'), ' ')"
     return f"""
-WITH known(s, id) AS (VALUES {known}),
-cut AS (SELECT doc_id, d.rowid_ AS r, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '{STOP}', '\\1' || chr(30) || '\\2', 'g'), chr(30) || '|\\n(?:[^A-Za-z0-9\\n]*\\n)+')) AS s,
-  generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '{STOP}', '\\1' || chr(30) || '\\2', 'g'), chr(30) || '|\\n(?:[^A-Za-z0-9\\n]*\\n)+'), 1) AS n
-  FROM (SELECT doc_id, text, row_number() OVER () AS rowid_ FROM documents) d),
-hinted AS (SELECT r, n, list_transform(string_split(s, chr(10)), lambda l: trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '{ODD}', ' ', 'g'), ' ')) AS lines FROM cut WHERE regexp_matches(s, '{HINT}')),
-starts AS (SELECT r, n, lines, unnest(range(1, len(lines) + 1)) AS i FROM hinted),
-runs AS (SELECT r, n, i, k, trim(array_to_string(lines[i : i + k - 1], ' '), ' .') AS run FROM (SELECT r, n, lines, i, unnest(range(1, least({RUN_LINES}, len(lines) - i + 1) + 1)) AS k FROM starts WHERE string_split(lines[i], ' ')[1] IN ({first}))),
-found AS (SELECT r, n, i, arg_max(id, k) AS id FROM runs JOIN known ON run = s GROUP BY r, n, i),
-per AS (SELECT r, list(id ORDER BY n, i) AS ids FROM found GROUP BY r),
+WITH known(s, m, id) AS (VALUES {known}), tags(part, id) AS (VALUES {tags}),
+cut AS (SELECT r, unnest({body}) AS s, generate_subscripts({body}, 1) AS n FROM (SELECT text, row_number() OVER () AS r FROM documents) d),
+lines AS (SELECT r, n, unnest(list_transform(string_split(s, chr(10)), lambda l: list_filter(string_split({line}, ' '), lambda w: regexp_matches(w, '[^.]')))) AS l FROM cut WHERE regexp_matches(s, '{HINT}')),
+placed AS (SELECT r, n, l, CAST(sum(len(l)) OVER (PARTITION BY r, n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ends FROM lines WHERE len(l) > 0),
+whole AS (SELECT r, n, flatten(list(l ORDER BY ends)) AS v, list(ends ORDER BY ends) AS ends FROM placed GROUP BY r, n),
+starts AS (SELECT p.r, p.n, p.l, p.ends - len(p.l) AS i, v, w.ends FROM placed p JOIN whole w ON p.r = w.r AND p.n = w.n),
+sentences AS (SELECT r, n, i, 0 AS k, arg_max(id, m) AS id FROM starts JOIN known ON trim(array_to_string(v[i + 1 : i + {HEAD}], ' '), ' .') = array_to_string(string_split(s, ' ')[1 : {HEAD}], ' ') AND list_contains(ends, i + m) AND trim(array_to_string(v[i + 1 : i + m], ' '), ' .') = s GROUP BY r, n, i),
+expressions AS (SELECT r, n, i, string_split_regex(replace(substr(array_to_string(l, ' '), {len(TAG_LINE) + 1}), ' or later', '+'), ' (?:or|and) ') AS parts FROM starts WHERE starts_with(array_to_string(l, ' ') || ' ', '{TAG_LINE}')),
+tagged AS (SELECT r, n, i, k, id FROM (SELECT r, n, i, trim(unnest(parts), ' .') AS part, generate_subscripts(parts, 1) AS k FROM expressions) JOIN tags USING (part)),
+found AS (SELECT * FROM sentences UNION ALL SELECT * FROM tagged),
+per AS (SELECT r, list(id ORDER BY n, i, k) AS ids FROM found GROUP BY r),
 hit AS (SELECT doc_id, coalesce(ids, []) AS ids, '|' || coalesce(array_to_string(ids, '||'), '') || '|' AS j FROM (SELECT doc_id, row_number() OVER () AS rowid_ FROM documents) d LEFT JOIN per ON r = rowid_)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentences,
   coalesce(array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT NULL))), ','), '') AS licences
