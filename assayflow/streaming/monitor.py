@@ -35,10 +35,10 @@ def once(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def windowed(stream: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Requests and errors per window of event time; rows later than the delay are left out once a window is closed."""
+def windowed(stream: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str | None = "1 hour") -> DataFrame:
+    """Requests and errors per window of event time; rows later than the delay are left out once a window is closed. Without a delay the stream has its own, as from ``once``."""
     window = F.window("at", length, slide) if slide else F.window("at", length)
-    counts = stream.withWatermark("at", delay).groupBy(window.alias("w"))
+    counts = (stream.withWatermark("at", delay) if delay else stream).groupBy(window.alias("w"))
     return counts.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
 
 
@@ -60,13 +60,59 @@ def escalation(ticks: DataFrame, after: int = 2) -> DataFrame:
     return ticks.groupBy("name").applyInPandasWithState(step, "name string, tick long, consecutive long, severity string", "last long, run long", "append", GroupStateTimeout.NoTimeout)
 
 
-def hourly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replays the events as a stream to its end and returns the hourly counts."""
-    out = folder(spark)
+def retained(events: DataFrame, capacity: int = 500, keep: str = "1 hour") -> DataFrame:
+    """Exported traces of a stream of ``instance, seq, at, trace_id, sampled, negative, payload``: traces (``sampled`` not null) and feedback on them (``negative``).
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "bad").write.mode("overwrite").parquet(f"{out}/rows")
+    A sampled trace is exported at once. The others are retained, the last ``capacity`` of each instance and for ``keep`` of event time, and one is promoted, once,
+    when negative feedback on it comes in; feedback that comes too late, or is repeated, promotes nothing. Rows of an instance go by ``seq``; a row seen before is ignored.
+    """
+    schema = "instance string, trace_id string, payload string, promoted boolean"
+    state_schema = "last long, ids array<string>, payloads array<string>, times array<timestamp>"
+    span = pd.Timedelta(keep)
+
+    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, ids, payloads, times = state.get if state.exists else (-1, [], [], [])
+        held = {i: (p, pd.Timestamp(t)) for i, p, t in zip(ids, payloads, times, strict=True)}
+        out, rows = [], pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame()
+        for r in rows.sort_values("seq", kind="stable").itertuples() if len(rows) else ():
+            if r.seq <= last:
+                continue
+            last = r.seq
+            now = pd.Timestamp(r.at)
+            while held and now - next(iter(held.values()))[1] > span:
+                held.pop(next(iter(held)))
+            if r.sampled is not None and not pd.isna(r.sampled):
+                if r.sampled:
+                    out.append((key[0], r.trace_id, r.payload, False))
+                else:
+                    held.pop(r.trace_id, None)
+                    held[r.trace_id] = (r.payload, now)
+                    while len(held) > capacity:
+                        held.pop(next(iter(held)))
+            elif r.negative and r.trace_id in held:
+                out.append((key[0], r.trace_id, held.pop(r.trace_id)[0], True))
+        if state.hasTimedOut:
+            held = {}
+        if held:
+            state.update((int(last), list(held), [p for p, _ in held.values()], [t.to_pydatetime() for _, t in held.values()]))
+            newest = max(t for _, t in held.values())
+            state.setTimeoutTimestamp(max(int((newest + span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        else:
+            state.update((int(last), [], [], []))
+        yield pd.DataFrame(out, columns=["instance", "trace_id", "payload", "promoted"])
+
+    stream = events.withWatermark("at", keep)
+    return stream.groupBy("instance").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
-    stream = windowed(events(spark, sf_dir)).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
-    stream.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+
+def hourly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replays the events as a stream to its end and returns the hourly counts: each event once, each window written when the watermark closes it, and the open ones from the rows that remain."""
+    out = folder(spark)
+    stream = windowed(once(events(spark, sf_dir)), delay=None).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "bad")
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    closed = spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    # Windows that no later event closed stay open in a stream; a replay that has ended counts them from the table.
+    rows = A.table(spark, sf_dir, "events").dropDuplicates(["event_id"])
+    whole = rows.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
+    return closed.unionByName(whole.join(closed.select("hour"), "hour", "left_anti"))
