@@ -82,3 +82,28 @@ def cosine(a: Column, b: Column) -> Column:
 
 def content_hash(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+
+def set_digest(digest: Column) -> Column:
+    """An aggregate over rows' SHA-256 digests in hex that depends on no order: sums and exclusive ors of all eight 32-bit lanes and the number of rows, hashed once more."""
+    lanes = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)]
+    parts = [F.coalesce(F.sum(x.cast("decimal(30,0)")), F.lit(0)).cast("string") for x in lanes] + [F.coalesce(F.bit_xor(x), F.lit(0)).cast("string") for x in lanes]
+    return F.sha2(F.concat_ws("|", F.count(digest).cast("string"), *parts), 256)
+
+
+def set_digest_sql(digest: str) -> str:
+    lanes = [f"CAST('0x' || substr({digest}, {8 * i + 1}, 8) AS BIGINT)" for i in range(8)]
+    parts = [f"CAST(coalesce(sum({x}), 0) AS VARCHAR)" for x in lanes] + [f"CAST(coalesce(bit_xor({x}), 0) AS VARCHAR)" for x in lanes]
+    return f"sha256(concat_ws('|', CAST(count({digest}) AS VARCHAR), {', '.join(parts)}))"
+
+
+def names_match(a: Column, b: Column) -> Column:
+    """Equal as ``normal_name`` gives them; a null name equals an empty one alone."""
+    blank = F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit(""))
+    return F.when(a.isNull() | b.isNull(), blank).otherwise(normal_name(a) == normal_name(b))
+
+
+def name_lists_match(a: Column, b: Column) -> Column:
+    """Equal names in any order, repeats counted."""
+    form = lambda x: F.array_sort(F.transform(F.coalesce(x, F.array().cast("array<string>")), normal_name))
+    return form(a) == form(b)

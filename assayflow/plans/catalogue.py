@@ -274,12 +274,11 @@ def dataset_diff(spark, sf):
     return a.join(b, "doc_id", "full").groupBy(change.alias("change")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang, CAST(sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS BIGINT) AS hash, count(*) AS n FROM (SELECT lang, sha256(doc_id || '|' || source || '|' || text) AS h FROM documents) GROUP BY 1")
+@query(f"SELECT lang, {T.set_digest_sql('h')} AS hash, count(*) AS n FROM (SELECT lang, sha256(doc_id || '|' || source || '|' || text) AS h FROM documents) GROUP BY 1")
 def dataset_hash(spark, sf):
-    """The sum of the rows' hashes: the same in any order, and a partial sum per task."""
+    """A digest of each language's rows: the same in any order, and partial sums per task."""
     h = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "source", "text"), 256)
-    d = A.table(spark, sf, "documents").select("lang", F.conv(F.substring(h, 1, 8), 16, 10).cast("long").alias("h"))
-    return d.groupBy("lang").agg(F.sum("h").alias("hash"), F.count("*").alias("n"))
+    return A.table(spark, sf, "documents").select("lang", h.alias("h")).groupBy("lang").agg(T.set_digest(F.col("h")).alias("hash"), F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')))) AS first_id FROM documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import jsonfix, spoken
+from ..functions import diff, jsonfix, spoken
 from ..functions import text as T
 from ..operators import notes as N
 from ..sources import adapters as A
@@ -129,12 +129,12 @@ def claim_unpivot(spark, sf):
 _TOK = T.tokens_sql("text")
 
 
-@query(f"""WITH {A.CLAIMS}, s AS (SELECT meeting_id, seg_id, pos, unnest(list_distinct({_TOK})) AS w FROM sg), c AS (SELECT meeting_id, idx, unnest(list_distinct({_TOK})) AS w FROM cl WHERE meeting_id % 4 = 0),
+@query(f"""WITH {A.CLAIMS}, s AS (SELECT meeting_id, seg_id, pos, unnest(list_distinct({_TOK})) AS w FROM sg), c AS (SELECT meeting_id, idx, unnest(list_distinct({_TOK})) AS w FROM cl),
  n AS (SELECT c.meeting_id, idx, seg_id, pos, count(*) AS shared FROM c JOIN s USING (meeting_id, w) GROUP BY ALL) SELECT meeting_id, idx, seg_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, idx ORDER BY shared DESC, pos) AS place FROM n) WHERE place <= 5""")
 def repair_candidates(spark, sf):
     """For each claim to repair the five segments of its meeting that share most words with it, earlier ones first."""
     words = lambda d, *keys: d.select(*keys, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
-    c = words(A.claims(spark, sf).where("meeting_id % 4 = 0"), "meeting_id", "idx")
+    c = words(A.claims(spark, sf), "meeting_id", "idx")
     n = c.join(words(A.segments(spark, sf), "meeting_id", "seg_id", "pos"), ["meeting_id", "w"]).groupBy("meeting_id", "idx", "seg_id", "pos").agg(F.count("*").alias("shared"))
     place = F.row_number().over(W.partitionBy("meeting_id", "idx").orderBy(F.desc("shared"), "pos"))
     return n.withColumn("place", place).where("place <= 5").select("meeting_id", "idx", "seg_id", "shared")
@@ -260,3 +260,14 @@ def strategy_pairing(spark, sf):
     a, b = d.where("doc_id % 10 <> 3").select("doc_id", (F.col("n") % 7).alias("x")), d.select("doc_id", (F.col("n") % 5).alias("y"))
     j = a.join(b, "doc_id", "left").agg(F.count("y").alias("n"), F.count("*").alias("all"), F.avg(F.col("x") - F.col("y")).alias("d"))
     return j.select("n", F.when(F.col("n") == F.col("all"), F.round("d", 6)).alias("delta"))
+
+
+# Edits
+
+
+@query("SELECT doc_id, 2 * len(list_filter(range(len(l)), lambda i: i % 7 = 3)) AS changed FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents)")
+def draft_diffs(spark, sf):
+    """Whole documents against themselves with every seventh line edited: lines that a shortest diff takes out and puts in."""
+    edited = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.when(i % 7 == 3, F.concat(line, F.lit(" \x04"))).otherwise(line)), "\n")
+    d = A.table(spark, sf, "documents").select("doc_id", diff.unified(F.col("text"), edited).alias("d"))
+    return d.select("doc_id", F.col("d.changed").cast("long").alias("changed"))

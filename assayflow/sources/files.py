@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from ..functions import text as T
+
 TRACE = "trace_id string, session_id string, prompt_version string, start_ts double, end_ts double, status string, error_class string, input_text string, output_text string, prompt_tokens int, completion_tokens int, cost_usd double"
 
 
@@ -28,9 +30,8 @@ def write_version(df: DataFrame, root: str, name: str, version: int, id_col: str
 
 
 def manifest(df: DataFrame, id_col: str) -> DataFrame:
-    """Rows and a hash of them that depends on no order: a sum of row hashes, so nothing is gathered in one place."""
-    row = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(id_col).alias("n"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("hash"))
+    """The number of rows and a digest of them that depends on no order, from partial sums."""
+    return df.agg(F.count(id_col).alias("n"), T.set_digest(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)).alias("hash"))
 
 
 def read_version(spark: SparkSession, root: str, name: str, version: int, id_col: str) -> DataFrame:
