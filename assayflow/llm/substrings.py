@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 
 from .shared import drop_table, materialised, whole_number
 
-WINDOW, GRAM, RUN, HOT, SHARD_WORDS = 50, 8, 64, 2_000, 1 << 20
+WINDOW, GRAM, RUN, HOT, SHARD_WORDS = 50, 8, 64, 2_000, 1 << 18
 #: Characters that are cut into words at once.
 LOT = 1 << 21
+#: Rows that are taken out of a batch at once where texts are cut into words and put together again.
+ROWS = 256
 #: The order number of a document without an id.
 LAST = (1 << 63) - 1
 KNOWN_WORDS = 200_000
@@ -150,15 +152,15 @@ class FmIndex:
     def __init__(self, symbols: np.ndarray, kinds: int) -> None:
         """Symbol 0 ends each sequence."""
         n = len(symbols)
-        rank, depth, halves = symbols.astype(np.int64), 1, {}
+        rank, depth = symbols.astype(np.int64), 1
         for _ in range(6):
-            halves[depth] = rank
+            self.half = rank  # at the end that of 32 symbols
             key = rank * (n + kinds + 1) + np.append(rank[depth:] + 1, np.zeros(min(depth, n), np.int64))
             order = np.argsort(key, kind="stable")
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]))
             depth *= 2
-        self.n, self.places, self.half = n, order, halves[32]
+        self.n, self.places = n, order
         self.first = np.append(0, np.cumsum(np.bincount(symbols, minlength=kinds)))
         self.wavelet = Wavelet(symbols[order - 1], kinds)
 
@@ -222,10 +224,14 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "mark", "start", "n", "minimizer", "content"])
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (rb.slice(at, ROWS) for rb in batches for at in range(0, rb.num_rows, ROWS))
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of representative pieces; pieces of hot minimizers as windows of their own, known by two hashes."""
     names = ["minimizer", "content", "nth", "hot", "unit", "check", "doc", "words"]
-    for rb in batches:
+    for rb in _sliced(batches):
         for doc, text, held in zip(rb.column(0).to_pylist(), rb.column(1), rb.column(2).to_pylist(), strict=True):
             words, out = words_of(text.as_py()), []
             for p in held:
@@ -290,7 +296,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: i
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb in batches:
+    for rb in _sliced(batches):
         n_words, n_removed, kept = [], [], []
         for text, spans in zip(rb.column(1), rb.column(2).to_pylist(), strict=True):
             words, at, rest = words_of(text.as_py()), 0, []
