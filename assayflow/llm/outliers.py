@@ -2,11 +2,11 @@
 
 Each text's statistics are turned into coordinates (``coordinates``), logarithms of rates, most of which vary
 in clean text. For each language and source, each language, and all rows the estimate starts at the coordinates' medians
-and quartile ranges and takes concentration steps until no determinant moves any more (``MOST_STEPS`` at most): the
+and quartile ranges and takes concentration steps until no determinant moves any more (a warning says so if ``MOST_STEPS`` do not reach that): the
 ``SUPPORT`` share of documents with the least Mahalanobis distance gives the next mean and covariance. The
 share's limit is read off a histogram of log distances whose cells also hold the moments, so a step is one
-aggregation of at most ``CELLS`` partial rows per group and task, whatever a group's size, with sums in
-place of sorted groups.
+job with one aggregation of at most ``CELLS`` partial rows per group and task, whatever a group's size, with sums in
+place of sorted groups; how far the step moved is observed as it is written.
 
 A group of ``n`` documents is judged by its own estimate with weight ``n / (n + PRIOR)`` and by its language's with the rest, which in
 turn has weight ``n / (n + PRIOR)`` of its ``n`` documents against the estimate of all: a rule without a step, by which a
@@ -20,22 +20,23 @@ runs on the executors, and what the driver learns is a variance per coordinate a
 
 Nulls in language or source form a group of their own. Null and empty texts have no words, fail the base
 rules and are rejected, but count in no estimate. Repeated rows count as often as they occur. An empty table gives an
-empty one; texts are taken whole, whatever their length. Columns of ``docs`` may have any names; only ``quality`` is replaced.
+empty one; texts are taken whole, whatever their length. Columns of ``docs`` may have any names; only one named as the result is replaced.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, drop_table, materialised
+from .shared import BROADCAST_ROWS, broadcast_if_small, drop_table, materialised
 from .textstats import base_statistics
 
 DIMENSIONS = ("word_length", "line_words", "marks", "variety", "symbols")
 SUPPORT = 0.75
-MOST_STEPS = 5
+MOST_STEPS = 40
 #: A step that changes no determinant's logarithm by more than twice this is the last.
 MOVED = 1e-3
 #: Documents at which a group's own estimate and the one above it weigh the same.
@@ -137,23 +138,28 @@ def estimates(stats: DataFrame, least: dict[str, float], most_steps: int = MOST_
     start = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.expr(f"percentile(round({x}, 4), array(0.25, 0.5, 0.75)) AS {x}") for x in DIMENSIONS])
     cov = [f"pow(({a}[2] - {a}[0]) / 1.349D, 2) AS c_{a}_{a}" if a == b else f"0D AS c_{a}_{b}" for a, b in _PAIRS]
     now = materialised(factored(start.selectExpr("key", "n", *[f"{x}[1] AS m_{x}" for x in DIMENSIONS], *cov), least).selectExpr("*", f"{_VOLUME} AS volume"), "mcd")
+    side = F.broadcast if now.count() <= BROADCAST_ROWS else lambda df: df  # every step has the same keys
     total = Window.partitionBy("key")
     below = total.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    for step in range(most_steps):
-        near = with_distance(rows.join(broadcast_if_small(now.drop("n")), "key"))
+    for _ in range(most_steps):
+        near = with_distance(rows.join(side(now.drop("n")), "key"))
         cell = F.expr(f"least(floor(log2(greatest(d2, pow(2D, -20))) * 8 + 160), {CELLS})").alias("cell")
         cells = near.groupBy("key", cell).agg(F.expr("count(*) AS n"), F.expr("first(volume) AS old"), *[F.expr(f"sum({e}) AS {c}") for c, e in _SUMS.items()])
         upto = F.coalesce(F.sum("n").over(below), F.lit(0))
-        kept = cells.withColumn("of", F.sum("n").over(total)).withColumn("skip", upto >= F.lit(support) * F.col("of")).where(~F.col("skip"))
-        sums = kept.groupBy("key").agg(F.expr("first(of) AS of"), F.expr("first(old) AS old"), *[F.expr(f"sum({c}) AS {c}") for c in ("n", *_SUMS)])
+        # The cell that the limit falls into counts in part, so that every step takes the same share.
+        kept = cells.withColumn("of", F.sum("n").over(total)).withColumn("part", F.least(F.lit(1.0), (F.lit(support) * F.col("of") - upto) / F.col("n"))).where("part > 0")
+        sums = kept.groupBy("key").agg(F.expr("first(of) AS of"), F.expr("first(old) AS old"), *[F.expr(f"sum(part * {c}) AS {c}") for c in ("n", *_SUMS)])
         cov = [f"s_{a}_{b} / n - s_{a} * s_{b} / n / n AS c_{a}_{b}" for a, b in _PAIRS]
         found = factored(sums.selectExpr("key", "of AS n", "old", *[f"s_{x} / n AS m_{x}" for x in DIMENSIONS], *cov), least)
-        last, now = now, materialised(found.selectExpr("*", f"{_VOLUME} AS volume"), "mcd")
-        moved = now.selectExpr("max(abs(volume - old))").first()[0]
-        now = now.drop("old")
+        moved = Observation()
+        found = found.selectExpr("*", f"{_VOLUME} AS volume").observe(moved, F.expr("max(abs(volume - old)) AS most"))
+        last, now = now, materialised(found.drop("old"), "mcd")
         drop_table(last)
-        if moved is None or moved <= MOVED:
+        if (moved.get["most"] or 0) <= MOVED:
             break
+    else:
+        if most_steps:
+            warnings.warn(f"estimates still moved after {most_steps} steps", stacklevel=2)
     return now.selectExpr("key", "n", *[f"m_{x}" for x in DIMENSIONS], *[f"c_{a}_{b} * {CONSISTENCY!r}D AS c_{a}_{b}" for a, b in _PAIRS])
 
 
@@ -164,16 +170,16 @@ def _shrunk(own: DataFrame, above: DataFrame, parent: Column, prior: float) -> D
     return own.withColumn("parent", parent).join(named, "parent").selectExpr("key", "n", *mixed)
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] | None = None, cutoff: float = CUTOFF, prior: float = PRIOR) -> DataFrame:
-    """``docs`` with the struct ``quality``: the base statistics, ``base_failed``, ``distance`` and ``kept``.
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: tuple[str, ...] | None = None, cutoff: float = CUTOFF, prior: float = PRIOR, out: str = "quality") -> DataFrame:
+    """``docs`` with the struct ``out``: the base statistics, ``base_failed``, ``distance`` and ``kept``.
 
-    ``keep`` names the columns of ``docs`` to return, all of them by default. An existing column ``quality`` is replaced.
+    ``keep`` names the columns of ``docs`` to return, all of them by default. An existing column named as ``out`` is replaced.
     """
     held = F.struct(*[F.col(c) for c in keep]) if keep else F.struct("*")
     name = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
     rows = materialised(docs.select(held.alias("row"), name(lang).alias("lang_key"), name(source).alias("source_key"), base_statistics(F.col(text)).alias("s")), "stats")
     placed = rows.select("row", "lang_key", "source_key", "s", base_failed(F.col("s")).alias("failed"), *[c.cast("double").alias(x) for x, c in coordinates(F.col("s")).items()])
-    fit = placed.where(~F.col("failed")).select("lang_key", "source_key", *DIMENSIONS)
+    fit = materialised(placed.where(~F.col("failed")).select("lang_key", "source_key", *DIMENSIONS), "fit")
     variances = fit.agg(*[F.var_pop(x).alias(x) for x in DIMENSIONS]).first()
     least = {x: SINGULAR * (variances[x] or 0.0) for x in DIMENSIONS}
     found = estimates(fit, least)
@@ -185,5 +191,5 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     d2 = with_distance(both)
     keeps = ~F.col("failed") & F.coalesce(F.col("d2") <= F.lit(cutoff), F.lit(True))
     quality = F.struct("s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words", F.col("failed").alias("base_failed"), F.col("d2").alias("distance"), keeps.alias("kept"))
-    columns = [c for c in rows.schema["row"].dataType.names if c != "quality"]
-    return d2.select(*[F.col("row")[c].alias(c) for c in columns], quality.alias("quality"))
+    columns = [c for c in rows.schema["row"].dataType.names if c.lower() != out.lower()]
+    return d2.select(*[F.col("row")[c].alias(c) for c in columns], quality.alias(out))

@@ -41,8 +41,28 @@ def test_stages(spark):
 
 @pytest.mark.parametrize("empty_table", [False, True])
 def test_stages_take_odd_rows(spark, small, empty_table, tmp_path):
+    """Every stage but the last returns the columns of its input, and rows with their own values in them, whatever the columns are called."""
     spark.createDataFrame([(1, 1, 0), (6, 0, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = small.drop("fp").limit(0) if empty_table else small.drop("fp")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.count() == 0 or not empty_table
+    others = ("quality", "Score", "__score", "row", "f", "s", "key", "fp", "spans", "component_id")
+    docs = small.drop("fp").withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in others})
+    docs = docs.limit(0) if empty_table else docs
+    columns, before = docs.columns, [r.asDict() for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == columns, name
+        rows = [r.asDict() for r in docs.collect()]
+        assert all(r[n] == f"{n}{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in others), name
+        same = ("doc_id", "lang", "source") + (() if name == "personal data" else ("text", "n_chars"))
+        left = [tuple(r[c] for c in same) for r in before]
+        for r in rows:
+            left.remove(tuple(r[c] for c in same))  # each row is one of those before, repeats counted
+        if name == "quality rules":
+            assert all(not base_slow(r["text"])[5] for r in rows)
+        if name == "near-duplicates" and rows:
+            fps = {r["doc_id"]: fp_slow(r["text"]) for r in before if r["doc_id"] is not None}
+            assert {r["doc_id"] for r in rows if r["doc_id"] is not None} == set(components_slow(fps).values()) and len(rows) == len({r["doc_id"] for r in rows})
+        if name == "personal data":
+            assert len(rows) == len(before) and all(r["text"] is None or not spans_slow(r["text"]) for r in rows)
+        before = rows
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r["doc_id"] for r in before} and all(r.length > 0 for r in packed)
