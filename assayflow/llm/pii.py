@@ -11,8 +11,8 @@ like form that are not personal (dates, versions, checksums, numbers that fail a
 
 All work on texts is native expressions. Positions come from the lengths of matches and of the text
 between them, contexts from the text between matches, and overlaps from running greatest ends, with sums and maxima taken in blocks, so
-long texts with many matches take near-linear time. Candidates are taken kind by kind (``TURNS``); one that overlaps a base
-span or a span taken before is dropped.
+long texts with many matches take near-linear time. A candidate that overlaps a base span is dropped; of candidates that overlap each other
+the one of the greatest score is taken, then the next that overlaps none taken (equal scores: by kind as in ``TURNS``, then by place).
 
 Spans are ``(start, end, kind)``, in code points, end exclusive. Null and empty texts have none. Repeated rows
 are treated one by one, an empty table gives an empty one, and columns besides the text may have any names.
@@ -35,7 +35,7 @@ from .shared import let
 #: Base kinds in their order, and all kinds.
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
-#: The order in which kinds take their spans.
+#: The order of kinds among equal scores.
 TURNS = ("email", "ip", "card", "secret", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The base patterns in Java's syntax. Look-behind and possessive repeats only save steps: no other match is found.
@@ -51,12 +51,12 @@ CANDIDATES = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?i:dot)[\])]\x20?)[A-Za-z0-9-]++)++",
     "ip": rf"(?<![0-9])[0-9]{{1,3}}(?:\x20?[\[(]\.[\])]\x20?[0-9]{{1,3}}){{3}}(?![0-9])|(?<![0-9A-Za-z:]){_HEX}{{1,4}}(?::{{1,2}}{_HEX}{{1,4}}){{2,7}}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{4,6}(?:[\x20._/-]{1,2}[0-9]{3,6}){2,4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,5})(?:[\x20./-]{1,2}[0-9]{2,5}){1,5}(?![0-9])",
-    "secret": rf"(?<!{_LONG})(?=[A-Za-z+/_-]{{0,40}}[0-9]){_LONG}{{16,}}+={{0,2}}",
+    "phone": r"(?<![0-9+])(?:\([0-9]{2,6}\)|[0-9]{2,6})(?:[\x20./-]{1,2}[0-9]{2,10}){1,6}(?![0-9])|(?<![0-9A-Za-z+_-])0[0-9]{8,13}(?![0-9A-Za-z_-])",
+    "secret": rf"(?<!{_LONG})(?=[A-Za-z+/_-]*+[0-9]){_LONG}{{16,}}+={{0,2}}",
 }
 #: A text without these has no match of the kind; a test far cheaper than the pattern.
 NEEDS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE_NEEDS = {"email": r"(?i)[\[(]at[\])]", "ip": rf"[0-9] ?[\[(][.]|{_HEX}:{_HEX}|::", "card": "[0-9]{3}[ ._/-]", "phone": "[0-9][ ./)-]", "secret": f"[0-9]{_LONG}{{7}}|{_LONG}{{15}}[0-9]"}
+CANDIDATE_NEEDS = {"email": r"(?i)[\[(]at[\])]", "ip": rf"[0-9] ?[\[(][.]|{_HEX}:{_HEX}|::", "card": "[0-9]{3}[ ._/-]", "phone": "[0-9][ ./)-]|0[0-9]{8}", "secret": f"[0-9]{_LONG}{{7}}|{_LONG}{{15}}[0-9]"}
 #: A text without any of these has neither base spans nor candidates.
 ANY = r"[0-9@]|[\[(][Aa][Tt][\])]|::"
 BLOCK = 64
@@ -198,12 +198,15 @@ def _snippets(kind: str, n: int = SNIPPETS, seed: int = 11) -> list[tuple[str, i
     rng = random.Random(f"{seed}{kind}")
     d = lambda k: "".join(rng.choices("0123456789", k=k))
     h = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    long_ = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=rng.randint(30, 60))) + rng.choice("0123456789")
     any_ = lambda k: rng.choice("abcxyz") + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=k - 2)) + rng.choice("0123456789")
     word = lambda: "".join(rng.choices("aabcdeefghiilmnoorrssttuuäéñ", k=rng.randint(2, 11))) + rng.choice(["", "", "", "", ".", ",", "!!", "%%%", "***"])
     name = lambda: "".join(rng.choices("abcdefghilmnorstu", k=rng.randint(3, 9)))
-    host = lambda: f"{name()}{rng.choice(['.', ' (dot) ', '[dot]', ' [dot] '])}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}"
-    part = lambda: str(rng.randint(0, 255))
+    site = lambda: name() + rng.choice(["", "", "", f"-{name()}", f"-{d(1)}", d(2)])
+    host = lambda: rng.choice(["", "", f"{site()}."]) + f"{site()}{rng.choice(['.', ' (dot) ', '[dot]', ' [dot] '])}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'edu', 'io'])}"
+    part = lambda: str(rng.randint(0, rng.choice([9, 99, 255, 255])))
     group = lambda: rng.choice(["{:x}", "{:04x}"]).format(rng.randint(0, 65535))
+    land = lambda: f"0{rng.choice('123456789')}{d(rng.choice([1, 2, 2, 3]))}"
     key = lambda: rng.choice(["token", "secret", "api_key", "apikey", "password", "passwd", "access_key", "auth_token", "private key", "client-secret", "TOKEN", "API_KEY"])
     sets = lambda: rng.choice([" = ", "=", ": ", ":", " := ", " is "]) + rng.choice(['"', '"', "'", ""])
 
@@ -215,17 +218,17 @@ def _snippets(kind: str, n: int = SNIPPETS, seed: int = 11) -> list[tuple[str, i
         return rng.choice(["{}.{}.{}.{}", "{}/{}/{}/{}", "{}_{}_{}_{}", "{}  {}  {}  {}"]).format(*(number[i : i + 4] for i in range(0, 16, 4)))
 
     good = {
-        "email": [lambda: f"{name()} (at) {host()}", lambda: f"mail {name()}.{name()}[at]{host()}", lambda: f"contact: {name()}{d(2)} [at] {host()}", lambda: f"{name()}_{name()}(AT){host()}"],
-        "ip": [lambda: f"from {'[.]'.join(part() for _ in range(4))}", lambda: f"host {'(.)'.join(part() for _ in range(4))}", lambda: ":".join(group() for _ in range(8)), lambda: f"ip {group()}:{group()}::{group()}:{group()}", lambda: f"address 2001:db8:{group()}::{group()}:{group()}"],
+        "email": [lambda: f"{name()} (at) {host()}", lambda: f"mail {name()}.{name()}[at]{host()}", lambda: f"contact: {name()}{d(2)} [at] {host()}", lambda: f"{name()}_{name()}(AT){host()}", lambda: f"{name()}{d(2)}(at){host()}"],
+        "ip": [lambda: f"{name()} {rng.choice(['[.]', '(.)']).join(part() for _ in range(4))}", lambda: f"{name()} {':'.join(group() for _ in range(8))}", lambda: f"from {'[.]'.join(part() for _ in range(4))}", lambda: f"host {'(.)'.join(part() for _ in range(4))}", lambda: ":".join(group() for _ in range(8)), lambda: f"ip {group()}:{group()}::{group()}:{group()}", lambda: f"address 2001:db8:{group()}::{group()}:{group()}"],
         "card": [lambda: f"card {card(True)}", lambda: f"visa: {card(True)}", lambda: card(True)],
-        "phone": [lambda: f"call ({d(3)}) {d(3)}-{d(4)}", lambda: f"tel. {d(3)}-{d(3)}-{d(4)}", lambda: f"phone: 0{d(2)} {d(3)} {d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"mobile 0{d(3)} {d(5)} {d(3)}", lambda: f"fax {d(3)}.{d(3)}.{d(4)}"],
-        "secret": [lambda: f"{key()}{sets()}{h(rng.choice([32, 40, 64]))}", lambda: f"{key()}{sets()}{any_(rng.randint(18, 48))}", lambda: f"Bearer {any_(40)}", lambda: f"AKIA{any_(16).upper()}", lambda: f"{rng.choice(['ghp_', 'sk-', 'xoxb-'])}{any_(36)}", lambda: f"{key()}{sets()}{h(40).upper()}"],
+        "phone": [lambda: f"tel {land()} {d(rng.choice([7, 8]))}", lambda: f"phone: {land()}/{d(7)}", lambda: f"call {land()} {d(rng.choice([6, 7, 8]))}", lambda: f"mobile {land()}{d(7)}", lambda: f"fax {land()}-{d(7)}", lambda: f"call ({d(3)}) {d(3)}-{d(4)}", lambda: f"tel. {d(3)}-{d(3)}-{d(4)}", lambda: f"phone: 0{d(2)} {d(3)} {d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"mobile 0{d(3)} {d(5)} {d(3)}", lambda: f"fax {d(3)}.{d(3)}.{d(4)}"],
+        "secret": [lambda: f"{key()}{sets()}{h(rng.choice([32, 40, 64]))}", lambda: f"{key()}{sets()}{any_(rng.randint(18, 48))}", lambda: f"Bearer {any_(40)}", lambda: f"AKIA{any_(16).upper()}", lambda: f"{rng.choice(['ghp_', 'sk-', 'xoxb-'])}{any_(36)}", lambda: f"{key()}{sets()}{h(40).upper()}", lambda: f"{key()}{sets()}{long_()}"],
     }
     bad = {
         "email": [lambda: f"{name()} (at) {name()}.{d(2)}", lambda: f"we met {name()} (at) 7.30", lambda: f"score {d(2)} [at] {d(1)}.{d(1)}", lambda: f"{d(2)} (at) {d(2)}.{d(2)}"],
         "ip": [lambda: f"at {rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", lambda: f"mac {':'.join(h(2) for _ in range(6))}", lambda: f"{rng.randint(1, 9)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", lambda: f"code {'[.]'.join(str(rng.randint(256, 999)) for _ in range(4))}", lambda: f"std::{h(3)}::{h(2)}", lambda: f"ratio {d(1)}:{d(1)}:{d(1)}"],
         "card": [lambda: card(False), lambda: f"ref {card(False)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"isbn 9780-{d(4)}-{d(4)}-{d(3)}", lambda: f"{d(4)}.{d(4)}.{d(4)}", lambda: f"card {card(False)}"],
-        "phone": [lambda: f"20{d(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", lambda: f"on {rng.randint(10, 28)}/{rng.randint(10, 12)}/20{d(2)}", lambda: f"version {d(2)}.{d(2)}.{d(3)}", lambda: f"{d(3)} {d(3)}", lambda: f"order {d(4)}-{d(4)}", lambda: f"{d(2)} {d(2)} {d(2)}", lambda: f"id {d(5)}-{d(5)}-{d(5)}", lambda: f"{d(3)} {d(4)} {d(5)} {d(3)}", lambda: f"{d(3)}.{d(2)}", lambda: f"isbn 978-{d(1)}{d(1)}-{d(4)}-{d(4)}", lambda: f"{d(4)}.{d(4)}", lambda: f"{d(2)}.{d(2)} {d(2)}.{d(2)}"],
+        "phone": [lambda: f"20{d(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", lambda: f"on {rng.randint(10, 28)}/{rng.randint(10, 12)}/20{d(2)}", lambda: f"version {d(2)}.{d(2)}.{d(3)}", lambda: f"{d(3)} {d(3)}", lambda: f"order {d(4)}-{d(4)}", lambda: f"{d(2)} {d(2)} {d(2)}", lambda: f"id {d(5)}-{d(5)}-{d(5)}", lambda: f"{d(3)} {d(4)} {d(5)} {d(3)}", lambda: f"{d(3)}.{d(2)}", lambda: f"order {land()} {d(8)}", lambda: f"{land()} {d(7)}", lambda: f"id {land()}{d(7)}", lambda: f"{land()}{d(7)}", lambda: f"ref {land()}/{d(7)}", lambda: f"isbn 978-{d(1)}{d(1)}-{d(4)}-{d(4)}", lambda: f"{d(4)}.{d(4)}", lambda: f"{d(2)}.{d(2)} {d(2)}.{d(2)}"],
         "secret": [lambda: d(16), lambda: d(rng.randint(17, 30)), lambda: f"commit {h(40)}", lambda: f"sha1 {h(40)}", lambda: f"md5 {h(32)}", lambda: f"id {h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}", lambda: f"file img_20{d(6)}_{d(6)}_{name()}", lambda: f"20{d(2)}-{d(2)}-{d(2)}T{d(2)}-{d(2)}-{d(2)}", lambda: f"{name()}{name()}{name()}{name()}{d(1)}", lambda: f"{name()}/{name()}/{name()}/{d(4)}", lambda: f"ref {any_(8).upper()}-{d(4)}-{d(4)}-{d(2)}", lambda: f"key {d(16)}", lambda: f"{name()}-{name()}-{name()}-{d(2)}-{name()}"],
     }
     made: dict[str, int] = {}
@@ -277,12 +280,23 @@ SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 def _clear(found: str, taken: str) -> str:
     """Those of ``found`` that overlap none of ``taken``: no end before them reaches into them, and the next start lies behind them."""
-    mark = lambda spans, new: f"transform({spans}, s -> named_struct('start', s.start, 'new', {new}, 'end', s.end, 'kind', s.kind))"
+    mark = lambda spans, new, rank, score: f"transform({spans}, s -> named_struct('start', s.start, 'new', {new}, 'end', s.end, 'kind', s.kind, 'rank', {rank}, 'score', {score}))"
     ends, starts = _running_max(f"transform(o, s -> IF(s.new = 1, s.end, {LEAST}L))"), _running_max(f"transform(reverse(o), s -> IF(s.new = 1, -s.start, {LEAST}L))")
     keeps = "s.new = 2 AND get(m.ends, i) <= s.start AND -get(m.starts, size(o) - 1 - i) >= s.end"
-    free = f"transform(filter(o, (s, i) -> {keeps}), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))"
+    free = f"transform(filter(o, (s, i) -> {keeps}), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'rank', s.rank, 'score', s.score))"
     both = _bound(f"named_struct('ends', {ends}, 'starts', {starts})", "m", free)
-    return f"IF(size({found}) > 0 AND size({taken}) > 0, {_bound(f'sort_array(concat({mark(taken, 1)}, {mark(found, 2)}))', 'o', both)}, {found})"
+    return f"IF(size({found}) > 0 AND size({taken}) > 0, {_bound(f'sort_array(concat({mark(taken, 1, 0, "0D")}, {mark(found, 2, "s.rank", "s.score")}))', 'o', both)}, {found})"
+
+
+def _best(found: str) -> str:
+    """Of spans that overlap each other the best scored, then the next that overlaps none taken. Only spans of one run of overlaps, which are few, are held against each other."""
+    heads = f"array_compact(transform(s, (x, i) -> IF(i = 0 OR x.start >= get(e, i - 1), i, CAST(NULL AS INT))))"
+    ordered = "sort_array(transform(g, x -> named_struct('below', -x.score, 'rank', x.rank, 'start', x.start, 'end', x.end, 'kind', x.kind)))"
+    none = "CAST(array() AS ARRAY<STRUCT<below: DOUBLE, rank: INT, start: BIGINT, end: BIGINT, kind: STRING>>)"
+    greedy = f"IF(size(g) = 1, {ordered}, aggregate({ordered}, {none}, (a, x) -> IF(exists(a, y -> y.start < x.end AND x.start < y.end), a, concat(a, array(x)))))"
+    groups = f"flatten(transform(h, (x, j) -> {_bound('slice(s, x + 1, coalesce(get(h, j + 1), size(s)) - x)', 'g', greedy)}))"
+    taken = _bound(_running_max("transform(s, x -> x.end)"), "e", _bound(heads, "h", groups))
+    return _bound(f"sort_array({found})", "s", f"transform({taken}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))")
 
 
 def _order(spans: Column) -> Column:
@@ -305,12 +319,13 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.when(F.col("some"), _order(F.concat(*[base_spans("text", k) for k in KINDS]))).otherwise(none)
     candidates = [f"IF(some, {_matches('text', CANDIDATES[kind], CANDIDATE_NEEDS[kind], True)}, NULL) AS found_{kind}" for kind in TURNS]
     out = held.withColumn("base", base).selectExpr("row", "text", "base", *candidates)
-    rated = {kind: f"transform(found_{kind}, m -> named_struct('start', m.start, 'end', m.end, 'f', {_features('m', kind)}))" for kind in TURNS}
-    out = out.selectExpr("row", "text", "base", "base AS spans", *[f"{x} AS found_{kind}" for kind, x in rated.items()])
-    chosen = {kind: f"filter(found_{kind}, c -> {fitted[kind].sql('c.f')} >= {fitted[kind].threshold!r}D)" for kind in TURNS}
-    out = out.selectExpr("row", "text", "base", "spans", *[f"transform({x}, c -> named_struct('start', c.start, 'end', c.end, 'kind', '{kind}')) AS found_{kind}" for kind, x in chosen.items()])
-    for kind in TURNS:
-        out = out.withColumn("spans", F.expr(f"IF(size(found_{kind}) > 0, concat(spans, {_clear(f'found_{kind}', 'spans')}), spans)"))
+    score = {kind: _bound(_features("m", kind), "f", fitted[kind].sql("f")) for kind in TURNS}
+    rated = [f"filter(transform(found_{kind}, m -> named_struct('start', m.start, 'end', m.end, 'kind', '{kind}', 'rank', {i}, 'score', {score[kind]})), c -> c.score >= {fitted[kind].threshold!r}D) AS found_{kind}" for i, kind in enumerate(TURNS)]
+    out = out.selectExpr("row", "text", "base", *rated)
+    empty = "CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT, kind: STRING, rank: INT, score: DOUBLE>>)"
+    out = out.selectExpr("row", "text", "base", f"concat({', '.join(f'coalesce(found_{kind}, {empty})' for kind in TURNS)}) AS found")
+    out = out.withColumn("found", F.expr(_clear("found", "base")))
+    out = out.withColumn("spans", F.expr(f"IF(size(found) > 0, concat(base, {_best('found')}), base)"))
     return out.select("row", "text", "base", F.when(F.size("spans") > F.size("base"), _order(F.col("spans"))).otherwise(F.col("base")).alias("spans"))
 
 
