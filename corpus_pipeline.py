@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayflow.llm import outliers, packing, pii, rulefit, simhash
-from assayflow.llm.shared import materialised
+from assayflow.llm.shared import free_name, materialised
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Without labels of both classes all documents get one score. A score at the threshold stays; equal texts have equal scores.
     """
     model = rulefit.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rulefit.scored(docs, model, out="__score").where(F.col("__score") >= rulefit.THRESHOLD).drop("__score")
+    score = free_name(docs, "score")
+    return rulefit.scored(docs, model, out=score).where(F.col(score) >= rulefit.THRESHOLD).drop(score)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Texts of fewer than ten words, null and empty ones too, fail the base rules. A null language or source is one of its own. Rows of one group with equal texts share a verdict.
     """
-    return outliers.judged(docs).where("quality.kept").drop("quality")
+    verdict = free_name(docs, "quality")
+    return outliers.judged(docs, out=verdict).where(F.col(verdict)["kept"]).drop(verdict)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
