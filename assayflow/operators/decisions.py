@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .quantiles import keyed, quantiles
 from .ranks import running
 
 
@@ -67,8 +68,10 @@ def group_increase(kinds: DataFrame, t: DataFrame, segment: DataFrame, hours: in
 def cohorts(t: DataFrame, stage: int = 10) -> DataFrame:
     """Canary and control metrics by hash bucket."""
     ok = F.col("status") == "ok"
-    g = t.groupBy(F.when(F.col("bucket") < stage, "canary").otherwise("control").alias("cohort"))
-    return g.agg(F.count("*").alias("n"), F.count_if(~ok).alias("errors"), F.count_if(ok & F.col("refusal")).alias("refusals"), F.count_if(ok).alias("ok"), F.round(F.avg(F.when(ok, F.col("quality"))), 6).alias("quality"), F.round(F.percentile("latency_ms", F.lit(0.95)), 4).alias("p95"), F.round(F.avg("cost_usd"), 9).alias("cost"))
+    t = t.withColumn("cohort", F.when(F.col("bucket") < stage, "canary").otherwise("control"))
+    sums = t.groupBy("cohort").agg(F.count("*").alias("n"), F.count_if(~ok).alias("errors"), F.count_if(ok & F.col("refusal")).alias("refusals"), F.count_if(ok).alias("ok"), F.round(F.avg(F.when(ok, F.col("quality"))), 6).alias("quality"), F.round(F.avg("cost_usd"), 9).alias("cost"))
+    q = quantiles(t, ["cohort"], "latency_ms", {"p95": 0.95})
+    return keyed(sums, ["cohort"]).join(q, "key_", "left").select("cohort", "n", "errors", "refusals", "ok", "quality", F.round("p95", 4).alias("p95"), "cost")
 
 
 def two_proportions(c: DataFrame, hit: str, total: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .quantiles import keyed, quantiles
 
 
 def topics(vectors: DataFrame, k: int = 8, seed: int = 7) -> DataFrame:
@@ -21,8 +22,8 @@ def topics(vectors: DataFrame, k: int = 8, seed: int = 7) -> DataFrame:
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     away = F.aggregate(F.zip_with(vector_to_array("features"), F.get(centres, F.col("topic")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     placed = model.transform(v).withColumnRenamed("prediction", "topic").select("vec_id", "half", "topic", F.sqrt(away).alias("distance"))
-    radius = placed.where("half = 1").groupBy("topic").agg(F.percentile("distance", F.lit(0.95)).alias("radius"))
-    return placed.join(F.broadcast(radius), "topic", "left").select("vec_id", F.when(F.col("distance") > F.col("radius"), F.lit(k)).otherwise(F.col("topic")).alias("topic"), "distance")
+    radius = quantiles(placed.where("half = 1"), ["topic"], "distance", {"radius": 0.95})  # as many rows as topics
+    return keyed(placed, ["topic"]).join(F.broadcast(radius), "key_", "left").select("vec_id", F.when(F.col("distance") > F.col("radius"), F.lit(k)).otherwise(F.col("topic")).alias("topic"), "distance")
 
 
 def classify(docs: DataFrame, features: int = 1 << 14) -> DataFrame:

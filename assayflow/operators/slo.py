@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 #: Indicator, error budget. Thresholds stand in ``signals``.
 BUDGETS = {"latency": 0.05, "error": 0.01, "cost": 0.10, "quality": 0.15, "judge": 0.10, "refusal": 0.06, "negative_feedback": 0.10, "invalid_json": 0.05, "pii_leak": 0.005, "grounding": 0.10}
 #: Window name, long and short hours, burn rate, severity rank, least bad rows.
@@ -90,8 +92,13 @@ def escalated(best: DataFrame, after: int = 2) -> DataFrame:
 def summary(t: DataFrame, *keys: str | Column) -> DataFrame:
     ok = F.col("status") == "ok"
     share = lambda c: F.round(F.avg(F.when(ok, c.cast("int"))), 6)
-    return t.groupBy(*keys).agg(
-        F.count("*").alias("requests"), F.count_if(~ok).alias("errors"), F.round(F.percentile("latency_ms", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("latency_ms", F.lit(0.95)), 4).alias("p95"),
+    names = t.select(*keys).columns
+    t = t.withColumns({n: F.col(k) if isinstance(k, str) else k for n, k in zip(names, keys, strict=True)})
+    sums = t.groupBy(*names).agg(
+        F.count("*").alias("requests"), F.count_if(~ok).alias("errors"),
         F.round(F.avg("cost_usd"), 9).alias("mean_cost"), F.count_if(F.col("cost_usd").isNull()).alias("cost_missing"), F.round(F.avg(F.when(ok, F.col("quality"))), 6).alias("quality"),
         share(F.col("refusal")).alias("refusal_rate"), share(F.col("pii_leak")).alias("pii_rate"), share(F.col("grounded")).alias("grounded_rate"),
     )
+    q = quantiles.quantiles(t, names, "latency_ms", {"p50": 0.5, "p95": 0.95})
+    held = quantiles.keyed(sums, names).join(q, "key_", "left")
+    return held.select(*names, "requests", "errors", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), *[c for c in sums.columns if c not in (*names, "requests", "errors")])
