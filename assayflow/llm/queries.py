@@ -79,4 +79,4 @@ def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_packing, op3_search, op4_sentencepiece, op5_tokenfile, op6_licences, op7_outliers, op8_rulefit, op9_html, op10_pii, op11_prefixtrie, op12_lexical, op13_substrings)}
 
 #: Where SQL can express the query over whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {"op6_licences": licences.oracle(), "op12_lexical": lexical.oracle(), "op13_substrings": substrings.oracle()}
+ORACLE_SQL: dict[str, str] = {"op6_licences": licences.oracle(), "op11_prefixtrie": prefixtrie.oracle(), "op12_lexical": lexical.oracle(), "op13_substrings": substrings.oracle()}

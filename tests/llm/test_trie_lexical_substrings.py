@@ -67,7 +67,11 @@ def test_trie_of_the_table(spark, shard_rows):
     table = spark.read.parquet(f"{SF}/conversations.parquet")
     want = trie_slow(rebuilt_slow([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()]))
     assert rows_of(prefixtrie.trie(prefixtrie.rebuilt(prefixtrie.turns_of(table)), shard_rows)) == want
-    assert rows_of(queries.op11_prefixtrie(spark, SF)) == want
+    got = queries.op11_prefixtrie(spark, SF)
+    assert rows_of(got) == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    assert sorted(map(str, con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op11_prefixtrie']})").fetchall())) == want
 
 
 @pytest.fixture(scope="module")
