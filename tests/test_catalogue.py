@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from assayflow.plans import catalogue, durable, notes, papers, records, releases, resampled, similarity  # noqa: F401
+from assayflow.plans import catalogue, drafting, durable, notes, papers, records, releases, resampled, similarity  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
