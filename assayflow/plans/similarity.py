@@ -14,11 +14,11 @@ c = F.col
 
 def advice(spark, sf):
     """Recommendations, holdings, master and fees: every line item is advised to its order's customer under its part's name, which the platform spells a little differently."""
-    part = A.table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type", c("p_partkey").cast("string")).alias("product"))
+    part = A.table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.substring(F.md5(c("p_partkey").cast("string")), 1, 12), "p_type").alias("product"))
     orders = A.table(spark, sf, "orders").select("o_orderkey", c("o_custkey").alias("client"), "o_totalprice")
     action = F.when(c("l_returnflag") == "R", "redeem").when(c("l_returnflag") == "A", "contribute").otherwise("establish")
     items = A.table(spark, sf, "lineitem").join(orders, c("l_orderkey") == c("o_orderkey")).join(part, c("l_partkey") == c("p_partkey"))
-    items = items.select("client", (c("l_orderkey") * 10 + c("l_linenumber")).alias("place"), "product", action.alias("action"), c("l_extendedprice").alias("amount"), c("l_suppkey").alias("k"))
+    items = items.select("client", (((c("l_orderkey") * 10 + c("l_linenumber")) * 100_000 + c("l_partkey")) * 10_000 + c("l_suppkey")).alias("place"), "product", action.alias("action"), c("l_extendedprice").alias("amount"), c("l_suppkey").alias("k"))
     dropped = F.concat(F.substring("product", 1, 3), F.expr("substring(product, 5)"))
     recs = items.select("client", "place", F.when(c("place") % 3 == 0, dropped).otherwise(c("product")).alias("product"), "action", "amount")
     gone, late = c("place") % 7 == 0, (c("action") == "redeem") & (c("place") % 3 > 0)
