@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,15 @@ from pyspark.sql import functions as F
 STOP = "a an and are as at be by for from has have he her his in is it its not of on or our she so that the their them then there they this to was we were what when will with you your".split()
 REFUSAL = r"(?i)\b(i (cannot|can't|am unable to)|unable to (help|assist)|as an ai)\b"
 DEFERRAL = r"(?i)\b(later|next time|not yet|defer|postpone|think about it)\b"
+#: A word's edge where words are ``[0-9A-Za-z_]``; ``\\b`` counts letters of all alphabets on some versions of Java.
+EDGE = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Whether the text has the pattern as SQL's ``regexp_matches`` reads it: edges of words as in ``EDGE``, a dot for all but newlines, case by Unicode."""
+    # Next to a literal character of a word one side of an edge is known.
+    p = re.sub(r"(?<!\\)([0-9A-Za-z_])\\b", r"\1(?!\\w)", re.sub(r"\\b(?=[0-9A-Za-z_])", r"(?<!\\w)", pattern))
+    return text.rlike("(?d)" + p.replace(r"\b", EDGE).replace("(?i)", "(?iu)"))
 
 
 def tokens(text: Column) -> Column:

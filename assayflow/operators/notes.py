@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spoken
+from ..functions import text as T
 
 #: Phrases that commit and that defer, and who says that they or another will do a thing.
 COMMITMENT = [
@@ -94,8 +95,8 @@ ADVICE = sorted({stem(w) for w in DOMAIN} - {stem(w) for w in GENERIC})
 def implied_owner(role: Column, text: Column) -> Column:
     """Whom one segment says will do the thing; null where it does not say."""
     t = F.lower(text)
-    adviser = F.when(t.rlike(ADVISER_ASKS), "client").when(t.rlike(PARAPLANNER_NAMED), "paraplanner").when(t.rlike(ADVISER_WILL), "adviser")
-    return F.when(role == "paraplanner", F.when(t.rlike(PARAPLANNER_WILL), "paraplanner")).when(role == "adviser", adviser).when((role == "client") & t.rlike(CLIENT_WILL), "client")
+    adviser = F.when(T.matches(t, ADVISER_ASKS), "client").when(T.matches(t, PARAPLANNER_NAMED), "paraplanner").when(T.matches(t, ADVISER_WILL), "adviser")
+    return F.when(role == "paraplanner", F.when(T.matches(t, PARAPLANNER_WILL), "paraplanner")).when(role == "adviser", adviser).when((role == "client") & T.matches(t, CLIENT_WILL), "client")
 
 
 def verdicts(claims: DataFrame, segments: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def verdicts(claims: DataFrame, segments: DataFrame) -> DataFrame:
     cited = claims.select("meeting_id", "section", "idx", F.posexplode("evidence").alias("k", "seg_id"))
     said = segments.select("meeting_id", "seg_id", "role", F.col("text").alias("said"))
     s = cited.join(said, ["meeting_id", "seg_id"], "left").withColumn("there", F.col("said").isNotNull())
-    commits, defers = F.col("said").rlike(any_of(COMMITMENT)), F.col("said").rlike(any_of(DEFERRAL))
+    commits, defers = T.matches(F.col("said"), any_of(COMMITMENT)), T.matches(F.col("said"), any_of(DEFERRAL))
     allowed = F.lit(False)
     for section, roles in SPEAKERS.items():
         allowed = allowed | ((F.col("section") == section) & F.col("role").isin(roles))

@@ -305,7 +305,7 @@ def oov_share(spark, sf):
 
 @query("SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)\\b(later|next time|not yet|defer|postpone|think about it)\\b')) AS deferrals, CAST(sum(greatest(1, CAST(round_even(length(text) / 4, 0) AS BIGINT))) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
 def deferral_counts(spark, sf):
-    return A.table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(T.DEFERRAL)).alias("deferrals"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
+    return A.table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(T.matches(F.col("text"), T.DEFERRAL)).alias("deferrals"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
 
 
 @query()

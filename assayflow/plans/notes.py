@@ -63,7 +63,7 @@ def _matches(patterns):
 @query(f"WITH {_SAID} SELECT meeting_id, pos, {_matches(N.COMMITMENT)} AS commits, {_matches(N.DEFERRAL)} AS defers FROM sg")
 def decision_language(spark, sf):
     t = F.col("text")
-    return _segments(spark, sf).select("meeting_id", "pos", t.rlike(N.any_of(N.COMMITMENT)).alias("commits"), t.rlike(N.any_of(N.DEFERRAL)).alias("defers"))
+    return _segments(spark, sf).select("meeting_id", "pos", T.matches(t, N.any_of(N.COMMITMENT)).alias("commits"), T.matches(t, N.any_of(N.DEFERRAL)).alias("defers"))
 
 
 _LOW = lambda p: f"regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}')"

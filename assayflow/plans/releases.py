@@ -320,10 +320,10 @@ def tag_slices(spark, sf):
 def template_intent(spark, sf):
     """The first pattern that a turn matches names its intent."""
     low = F.lower("text")
-    intent = F.when(low.rlike(r"^[^a-z]*(what|how|when|why)\b"), "question").when(low.rlike("[0-9]"), "figures").when(F.col("text").rlike(r"\n"), "list").otherwise("other")
+    intent = F.when(T.matches(low, r"^[^a-z]*(what|how|when|why)\b"), "question").when(low.rlike("[0-9]"), "figures").when(F.col("text").rlike(r"\n"), "list").otherwise("other")
     return A.table(spark, sf, "conversations").select("conv_id", "turn", intent.alias("intent"))
 
 
 @query("SELECT conv_id, max(turn) + 1 AS turns, count(*) FILTER (regexp_matches(text, '(?i)\\b(i (cannot|can''t|am unable to)|unable to (help|assist)|as an ai)\\b')) AS refusals, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
 def conversation_refusals(spark, sf):
-    return A.table(spark, sf, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("turns"), F.count_if(F.col("text").rlike(T.REFUSAL)).alias("refusals"), F.sum(F.length("text")).alias("chars"))
+    return A.table(spark, sf, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("turns"), F.count_if(T.matches(F.col("text"), T.REFUSAL)).alias("refusals"), F.sum(F.length("text")).alias("chars"))

@@ -193,3 +193,16 @@ def test_edit_ratio_of_whole_texts(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", T.edit_ratio(F.col("a"), F.col("b")).alias("r"))
     assert {r.i: r.r for r in df.collect()} == {i: pytest.approx(slow(*p)) for i, p in enumerate(pairs)}
     assert "edit_ratio_negative" in registry.QUERIES and catalogue.QUERIES is registry.QUERIES
+
+
+def test_edges_of_words_as_in_sql(spark):
+    """A letter with an accent ends a word, a dot takes any character but a newline, case is Unicode's: as the SQL reads the patterns."""
+    import duckdb
+
+    texts = ["aes. yes\u00f1a", "\u00e9yes", "yes_", "yes", "paraplanner\rwill", "paraplanner\u2028will", "paraplanner\nwill", "we\u0301ll", "thin\u212a about", None]
+    for pattern in (N.CLIENT_WILL, N.PARAPLANNER_NAMED, N.any_of(N.DEFERRAL)):
+        held = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+        found = [r.x for r in held.orderBy("i").select(T.matches(F.col("text"), pattern).alias("x")).collect()]
+        assert found == [duckdb.execute("SELECT regexp_matches(?, ?)", [t, pattern]).fetchone()[0] if t is not None else None for t in texts], pattern
+    owners = held.orderBy("i").select(N.implied_owner(F.lit("client"), F.col("text")).alias("x")).collect()
+    assert [r.x for r in owners][:4] == ["client", "client", None, "client"]
