@@ -54,5 +54,5 @@ def monitor_gate(spark, sf):
  SELECT meeting_id, pos, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY meeting_id, pos)), 6) AS value FROM b WHERE v <> 0""")
 def note_embedding(spark, sf):
     """Stems of every turn hashed into 256 signed buckets, of length one; the buckets that are not zero."""
-    e = _segments(spark, sf).select("meeting_id", "pos", N.stem_embedding(notes.content_words("text"), 256).alias("e"))
-    return e.select("meeting_id", "pos", F.posexplode("e").alias("bucket", "value")).where("value <> 0").select("meeting_id", "pos", c("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
+    e = _segments(spark, sf).select("meeting_id", "pos", F.inline(N.stem_buckets(notes.content_words("text"), 256)))
+    return e.select("meeting_id", "pos", c("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))

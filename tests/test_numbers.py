@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import zlib
@@ -113,3 +114,20 @@ def test_exact_interval(hits, n):
 
 def test_no_trials_have_no_interval():
     assert all(map(math.isnan, M.exact_interval(0, 0)))
+
+
+@pytest.mark.parametrize("dim", [256, 300])
+def test_stem_buckets(spark, dim):
+    """Buckets that are not zero, by plain Python; thousands of stems are no thousands of passes."""
+    texts = [[], ["super", "fee"], [f"w{i}" for i in range(3000)], None]
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, stems array<string>")
+    rows = held.select("i", N.stem_buckets(F.col("stems"), dim).alias("b"), N.stem_embedding(F.col("stems"), dim).alias("e")).orderBy("i").collect()
+    for r in rows[:3]:
+        want = [0.0] * dim
+        for w in texts[r.i]:
+            h = int(hashlib.sha1(w.encode()).hexdigest(), 16)
+            want[h % dim] += 1 if (h >> 20) % 2 == 0 else -1
+        norm = math.sqrt(sum(x * x for x in want)) or 1
+        assert r.e == pytest.approx([x / norm for x in want])
+        assert {x.bucket: x.value for x in r.b} == pytest.approx({i: x / norm for i, x in enumerate(want) if x})
+    assert rows[3].b is None
