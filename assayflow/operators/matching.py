@@ -16,6 +16,8 @@ from pyspark.sql import types as t
 
 from ..functions import fuzzy
 
+_SPACE, _OTHER = re.compile("[ \t\n\r]+"), re.compile("[^a-z0-9 ]")
+
 
 def claim_pairs(pred: list[Any], gold: list[Any], least: float) -> list[dict]:
     """The best-scored pairs first, each item once. Items are (text, owner, facts); facts are the numbers and dates that must agree, and a null owner agrees with any."""
@@ -58,22 +60,57 @@ def agrees(a: float | None, b: float | None) -> bool:
     return a is b if a is None or b is None else abs(a - b) <= max(1.0, abs(b) * 0.005)
 
 
-def same_product(a: str | None, b: str | None, least: float) -> bool:
-    """Whether two names, as ``text.normal_name`` gives them, are alike; a null name is like none."""
-    if a is None or b is None:
+def bare_name(n: str | None) -> str | None:
+    """A name as ``text.normal_name`` gives it."""
+    return None if n is None else _OTHER.sub("", _SPACE.sub(" ", n.lower()).strip(" "))
+
+
+def may_reach(x: str, y: str, least: float) -> bool:
+    """False only for texts whose ratio is below ``least``: characters of either that no common subsequence of the length needed has spoil a piece each,
+    so of one piece more than these one must stand whole in the other text."""
+    need = math.ceil(least * (len(x) + len(y)) / 200 - 1e-9)
+    if need > min(len(x), len(y)):
         return False
-    x, y = (re.sub("[^a-z0-9 ]", "", re.sub("[ \t\n\r]+", " ", n.lower()).strip(" ")) for n in (a, b))
-    return x == y or fuzzy.indel_ratio(x, y) >= least
+    pieces = len(x) + len(y) - 2 * need + 1
+    cuts = [len(x) * i // pieces for i in range(pieces + 1)]
+    return any(x[i:j] in y for i, j in zip(cuts, cuts[1:]))
+
+
+def _first_alike(keys: list[tuple], least: float):
+    """The free truths that are alike in all names, in their order: ``alike(names)`` yields places, equal ones found without a comparison; ``take(j)`` removes one.
+
+    ``keys`` are tuples of bare names. Of unlike names the ratio is taken only where ``may_reach`` does not rule it out, and of each distinct pair once.
+    """
+    free, seen = dict.fromkeys(range(len(keys))), {}
+
+    def near(x: str | None, y: str | None) -> bool:
+        if x is None or y is None:
+            return False
+        if x == y:
+            return True
+        if (x, y) not in seen:
+            seen[x, y] = may_reach(x, y, least) and fuzzy.indel_ratio(x, y) >= least
+        return seen[x, y]
+
+    def alike(names: tuple):
+        return (j for j in list(free) if all(near(x, y) for x, y in zip(names, keys[j], strict=True)))
+
+    return free, alike
 
 
 def recommendation_match(pred: list[Any], gold: list[Any], least: float = 95.0) -> tuple[int, int]:
     """(matched, correct): each prediction in turn takes a free truth of its product, if possible of its action."""
-    free, correct = list(range(len(gold))), 0
+    correct = 0
+    free, alike = _first_alike([(bare_name(g["product"]),) for g in gold], least)
     for p in pred:
-        same = [j for j in free if same_product(p["product"], gold[j]["product"], least)]
-        best = next((j for j in same if gold[j]["action"] == p["action"]), same[0] if same else None)
+        best = None
+        for j in alike((bare_name(p["product"]),)):
+            if gold[j]["action"] == p["action"]:
+                best = j
+                break
+            best = j if best is None else best
         if best is not None:
-            free.remove(best)
+            del free[best]
             correct += gold[best]["action"] == p["action"] and agrees(p["amount"], gold[best]["amount"])
     return len(gold) - len(free), correct
 
@@ -87,11 +124,12 @@ def match_recommendations(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
 
 def replacement_match(pred: list[Any], gold: list[Any], least: float = 95.0) -> tuple[int, int]:
     """(matched, correct): each prediction in turn takes the first free truth whose old and new product are both its own. A null product matches none."""
-    free, correct = list(range(len(gold))), 0
+    correct = 0
+    free, alike = _first_alike([(bare_name(g["old"]), bare_name(g["new"])) for g in gold], least)
     for p in pred:
-        best = next((j for j in free if same_product(p["old"], gold[j]["old"], least) and same_product(p["new"], gold[j]["new"], least)), None)
+        best = next(alike((bare_name(p["old"]), bare_name(p["new"]))), None)
         if best is not None:
-            free.remove(best)
+            del free[best]
             correct += agrees(p["fee"], gold[best]["fee"]) and p["impact"] == gold[best]["impact"]
     return len(gold) - len(free), correct
 

@@ -131,3 +131,29 @@ def test_stem_buckets(spark, dim):
         assert r.e == pytest.approx([x / norm for x in want])
         assert {x.bucket: x.value for x in r.b} == pytest.approx({i: x / norm for i, x in enumerate(want) if x})
     assert rows[3].b is None
+
+
+def test_names_ruled_out_are_unlike():
+    """No pair that reaches the threshold is ruled out, and names with nothing in common are, without a ratio; both matchers as the plain sequence."""
+    rng = random.Random(11)
+    for least in (60.0, 88.0, 95.0, 100.0):
+        for _ in range(3000):
+            x = "".join(rng.choices("ab", k=rng.randrange(40)))
+            y = "".join(c for c in x if rng.random() > 0.04) + "ba"[: rng.randrange(3)]
+            assert M.may_reach(x, y, least) or fuzzy.indel_ratio(x, y) < least
+    assert not M.may_reach("0123456789abcdef" * 2, "fedcba9876543210" * 2, 95.0)
+
+    def plain(pred, gold):
+        free, correct = list(range(len(gold))), 0
+        for p in pred:
+            same = [j for j in free if p["product"] is not None and gold[j]["product"] is not None and fuzzy.indel_ratio(M.bare_name(p["product"]), M.bare_name(gold[j]["product"])) >= 95]
+            best = next((j for j in same if gold[j]["action"] == p["action"]), same[0] if same else None)
+            if best is not None:
+                free.remove(best)
+                correct += gold[best]["action"] == p["action"] and M.agrees(p["amount"], gold[best]["amount"])
+        return len(gold) - len(free), correct
+
+    names = ["Growth Fund Number One of Ten", "growth fund  number one of ten!", "growth fund number on of ten", "other", "", "!", None]
+    for _ in range(500):
+        pred, gold = ([{"product": rng.choice(names), "action": rng.choice("ab"), "amount": rng.choice([1.0, 5.0, None])} for _ in range(rng.randrange(6))] for _ in range(2))
+        assert M.recommendation_match(pred, gold) == plain(pred, gold)
