@@ -9,14 +9,16 @@ one task takes a shard. It lays the token streams of all pages end to end and so
 tokens (prefix doubling). Suffixes that agree so far stand side by side; a run shared by enough distinct pages of the host is
 boilerplate, and covers its tokens. A block that is mostly covered goes; unique runs stay.
 
-On a page without an article ``MIN_PAGES`` distinct pages of the host make boilerplate, whatever its shards: a first round counts, for such pages
-of hosts of several shards, the runs that at least two distinct pages of a shard share, and sums them by host. (A run that meets itself in no
-shard is not counted; by the pigeonhole principle it is on no more pages than the host has shards.) Exact copies of a page count as
-one page, also across shards, so they do not make each other boilerplate.
+On a page without an article ``MIN_PAGES`` distinct pages of the host make boilerplate. Exact copies of a page count as one page, so they do not make each other
+boilerplate.
 
 Within an article passages may well be repeated, as pages quote and copy each other, and are wanted; there a run must be on
 ``SITE_PAGES`` distinct pages and on ``SITE_SHARE`` of all, and the article stays whole if most of it is covered, as the article itself is
-repeated then. A share is the same in a shard as in the host, as pages are dealt by hash, so it is taken in the shard.
+repeated then.
+
+A host of several shards has the texts that it would have in one: pages are counted over the whole host first (``_common``), and a shard's array
+is told of the runs that are common there. Runs on a share of all pages are few; they are found among those whose slot of ``SLOTS`` is hit by
+as many pages, which loses none, and only these are counted exactly. Runs of pages without an article are counted one by one.
 
 Whole pages are processed, in time in proportion to their length. Nulls and empty pages give the empty text; a null url is a host of its own. Repeated rows
 give a row each, null ids are kept, an empty table gives an empty one, and columns besides id, url and source may have any names.
@@ -33,7 +35,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import broadcast_if_small, materialised
@@ -44,6 +46,8 @@ RUN = 8
 MIN_PAGES = 3
 SITE_PAGES, SITE_SHARE = 10, 0.5
 COVERED = 0.8
+#: Slots that runs of a host are first counted in, how many are added up together, and hosts that a task counts at once.
+SLOTS, CHUNK, HELD_HOSTS = 1 << 13, 256, 256
 #: Elements without article text, and names in class or id that mark such parts.
 DROPPED = frozenset("head title nav header footer aside form button select textarea script style noscript template iframe svg object menu dialog".split())
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
@@ -287,20 +291,21 @@ def _distinct(rests: list[Rest]) -> tuple[dict[int, int], list[np.ndarray], list
     return first, streams, starts
 
 
-def chosen(rests: list[Rest], common: np.ndarray | None = None) -> list[str]:
-    """The main texts of pages of one host, or of a shard of it. ``common`` has what other shards know: the sorted keys of runs that enough pages without an article share."""
+def chosen(rests: list[Rest], common: np.ndarray | None = None, site: np.ndarray | None = None) -> list[str]:
+    """The main texts of pages of one host, or of a shard of it. Of a shard, ``common`` and ``site`` are the sorted keys of runs that enough pages of the
+    host share: for pages without an article (those of two shards or more), and within articles (all)."""
     first, streams, starts = _distinct(rests)
     counts = shared_runs(streams)
-    site = max(SITE_PAGES, int(np.ceil(SITE_SHARE * len(streams))))
+    share = max(SITE_PAGES, int(np.ceil(SITE_SHARE * len(streams))))
     out = []
     for page in rests:
         k = first[page.digest]
-        shared = counts[k]
-        if not page.article and common is not None and len(common) and len(shared):
-            keys = run_keys(streams[k])
-            at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-            shared = np.where((common[at] == keys) & (shared > 0), MIN_PAGES, shared)
-        marks = np.append(0, np.cumsum(covered(shared, site if page.article else MIN_PAGES)))
+        shared, least = counts[k], share if page.article else MIN_PAGES
+        told = site if page.article else common
+        if told is not None:
+            known = _among(run_keys(streams[k]), told) & (shared > 0)
+            shared = np.where(known, least, 0 if page.article else shared)
+        marks = np.append(0, np.cumsum(covered(shared, least)))
         size = np.diff(starts[k])
         goes = (marks[starts[k][1:]] - marks[starts[k][:-1]]) >= COVERED * size
         if page.article and 2 * size[goes].sum() >= size.sum():
@@ -309,6 +314,21 @@ def chosen(rests: list[Rest], common: np.ndarray | None = None) -> list[str]:
     return out
 
 
+def _among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ``held``."""
+    if not len(held):
+        return np.zeros(len(keys), bool)
+    return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
+
+
+def _page_runs(page: Rest, known: dict[str, int]) -> np.ndarray:
+    """The distinct keys of a page's whole runs."""
+    if len(known) > 100_000:
+        known.clear()
+    tokens, _ = stream(page.kinds, page.texts, known)
+    return np.unique(run_keys(tokens)[: max(0, len(tokens) - RUN + 1)])
+
+
 def extract(sources: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
     return chosen([rest(s) for s in sources])
@@ -335,36 +355,83 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", sourc
     schema = f"id {types['id']}, url {types['url']}, host string, digest long, article boolean, kinds array<long>, texts array<string>, shards long"
     hosts = broadcast_if_small(large)
     parsed = lambda joined: joined.select("id", "url", "host", "html", F.coalesce("shards", F.lit(1)).cast("long").alias("shards")).mapInArrow(cut, schema)
-    # Round one, only for pages without an article of hosts of several shards: each distinct page once, in the shard of its digest.
-    without = materialised(parsed(rows.join(hosts, "host")).where("NOT article"), "without")
-    once = without.select("host", "digest", "article", "kinds", "texts", F.pmod("digest", "shards").alias("shard")).dropDuplicates(["host", "digest"])
-
-    def count(table: pa.Table) -> pa.Table:
-        _, streams, _ = _distinct(_rests(table))
-        counts = shared_runs(streams)
-        keys = [run_keys(s)[c >= 2] for s, c in zip(streams, counts, strict=True)]
-        key, at = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_index=True)
-        n = np.concatenate([np.empty(0, np.int64), *(c[c >= 2] for c in counts)])[at]
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(key), pa.string()), "run": pa.array(key), "pages": pa.array(n)})
-
-    counted = once.groupBy("host", "shard").applyInArrow(count, "host string, run long, pages long").groupBy("host", "run").agg(F.sum("pages").alias("pages"))
-    common = materialised(counted.where(F.col("pages") >= MIN_PAGES).select("host", "run"), "runs")
+    inside = rows.join(hosts, "host").select("id", "url", "host", "html", "shards")
     place = F.pmod(F.xxhash64("id", "url", "digest"), F.col("shards"))
-
-    def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for i, found in enumerate(_rests(pa.Table.from_batches([rb]))):
-                keys = np.unique(run_keys(stream(found.kinds, found.texts, {})[0]))
-                yield pa.RecordBatch.from_arrays([pa.array([rb.column("host")[i].as_py()] * len(keys), pa.string()), pa.array(np.full(len(keys), rb.column("shard")[i].as_py())), pa.array(keys)], ["host", "shard", "run"])
-
-    # A shard learns of those runs alone that its own pages have.
-    mine = without.withColumn("shard", place).select("host", "digest", "article", "kinds", "texts", "shard").mapInArrow(own_keys, "host string, shard long, run long")
-    each = mine.join(common, ["host", "run"]).select("host", "shard", "run").distinct()
+    common = materialised(_common(inside, place), "runs")
     # Round two: every page, dealt by what is in the row, so that copies do not meet in one shard.
-    dealt = parsed(rows.join(hosts, "host", "left")).withColumn("shard", place).drop("shards")
+    dealt = parsed(rows.join(hosts, "host", "left")).withColumn("shard", place)
 
     def judge(own: pa.Table, others: pa.Table) -> pa.Table:
-        texts = chosen(_rests(own), np.sort(others.column("run").to_numpy()) if others.num_rows else None)
+        several = own.num_rows and own.column("shards")[0].as_py() > 1
+        run, site = (np.asarray(others.column(n).to_numpy(), t) for n, t in (("run", np.int64), ("site", bool)))
+        texts = chosen(_rests(own), *((np.sort(run[~site]), np.sort(run[site])) if several else ()))
         return pa.table([own.column("id"), own.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
-    return dealt.groupBy("host", "shard").cogroup(each.groupBy("host", "shard")).applyInArrow(judge, f"`{id_col}` {types['id']}, url {types['url']}, text string, n_chars long")
+    return dealt.groupBy("host", "shard").cogroup(common.groupBy("host", "shard")).applyInArrow(judge, f"`{id_col}` {types['id']}, url {types['url']}, text string, n_chars long")
+
+
+def _common(pages: DataFrame, place: Column) -> DataFrame:
+    """Rows ``host, shard, run, site`` for pages (``id, url, host, html, shards``) of hosts of several shards: the runs that enough distinct pages of the whole host share, for
+    the shards that need them; ``site`` ones are on enough for articles, the others on enough for pages without an article, and in a shard that has them on such a page."""
+    types = {c: pages.schema[c].dataType.simpleString() for c in ("id", "url")}
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for every page, with its runs if it has no article, and rows without a digest for how many pages hit a slot."""
+        known: dict[str, int] = {}
+        hits: dict[str, np.ndarray] = {}
+
+        def counted() -> pa.RecordBatch:
+            held = [(host, c, part) for host, h in hits.items() for c, part in enumerate(h.reshape(-1, CHUNK)) if part.any()]
+            none = [None] * len(held)
+            columns = [pa.nulls(len(held), kinds[0]), pa.nulls(len(held), kinds[1]), pa.array([h for h, _, _ in held], pa.string()), pa.array(none, pa.int64()), pa.array(none, pa.bool_()), pa.array([[c] for _, c, _ in held], pa.list_(pa.int64())), pa.array([x for *_, x in held], pa.list_(pa.int32())), pa.array(none, pa.int64())]
+            hits.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        names, kinds = ["id", "url", "host", "digest", "article", "runs", "hits", "shards"], ()
+        for rb in batches:
+            kinds, found = (rb.column(0).type, rb.column(1).type), [rest(x.as_py()) for x in rb.column(3)]
+            runs = [_page_runs(r, known) for r in found]
+            for host, keys in zip(rb.column(2).to_pylist(), runs, strict=True):
+                if len(hits) >= HELD_HOSTS and host not in hits:
+                    yield counted()
+                hits.setdefault(host, np.zeros(SLOTS, np.int32))[np.unique(keys & (SLOTS - 1))] += 1
+            columns = [pa.array([r.digest for r in found], pa.int64()), pa.array([r.article for r in found], pa.bool_()), pa.array([k if not r.article else [] for r, k in zip(found, runs, strict=True)], pa.list_(pa.int64())), pa.nulls(len(found), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), rb.column(2), *columns, rb.column(4)], names)
+        if hits:
+            yield counted()
+
+    first = materialised(pages.mapInArrow(seen, f"id {types['id']}, url {types['url']}, host string, digest long, article boolean, runs array<long>, hits array<int>, shards long"), "seen")
+    whole = first.where("digest IS NOT NULL")
+    share = F.greatest(F.lit(SITE_PAGES), F.ceil(F.lit(SITE_SHARE) * F.count_distinct("digest"))).cast("long")
+    sizes = whole.groupBy("host").agg(share.alias("least"), F.max("shards").alias("shards"), F.count_if(~F.col("article")).alias("open"))
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.sum([np.array(x, np.int64) for x in table.column("hits").to_pylist()], axis=0)
+        chunk = table.column("chunk")[0].as_py()
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * CHUNK, pa.string()), "slot": pa.array(chunk * CHUNK + np.arange(CHUNK)), "n": pa.array(total)})
+
+    slots = first.where("digest IS NULL").select("host", F.col("runs")[0].alias("chunk"), "hits").groupBy("host", "chunk").applyInArrow(added, "host string, slot long, n long")
+    full = slots.join(sizes, "host").where("n >= least").groupBy("host").agg(F.collect_list("slot").alias("slots"))
+    # Hosts where something has to be counted: of most nothing is on a share of all pages.
+    asked = materialised(sizes.join(full, "host", "left").where("slots IS NOT NULL OR open > 0").select("host", "least", "shards", F.col("open") > 0, F.coalesce("slots", F.array().cast("array<long>")).alias("slots")).toDF("host", "least", "shards", "open", "slots"), "asked")
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of each page that are to be counted; ``likely`` those in full slots."""
+        known: dict[str, int] = {}
+        for rb in batches:
+            for host, source, open_, slots in zip(*(rb.column(i).to_pylist() for i in range(4)), strict=True):
+                page = rest(source)
+                keys, full = _page_runs(page, known), np.zeros(SLOTS, bool)
+                full[np.array(slots, np.int64)] = True
+                likely = full[keys & (SLOTS - 1)]
+                kept = likely | open_
+                keys, likely = keys[kept], likely[kept]
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array(np.full(len(keys), page.digest, np.int64)), pa.array(keys), pa.array(likely)], ["host", "digest", "run", "likely"])
+
+    found = pages.select("host", "html").join(broadcast_if_small(asked.select("host", "open", "slots")), "host").select("host", "html", "open", "slots").mapInArrow(runs_of, "host string, digest long, run long, likely boolean")
+    mine = whole.where("NOT article").withColumn("shard", place).select("host", "shard", F.explode("runs").alias("run")).distinct()
+    wanted = mine.select("host", "run").distinct().withColumn("open_run", F.lit(True))
+    held = found.join(wanted, ["host", "run"], "left").where("likely OR open_run").groupBy("host", "run").agg(F.count_distinct("digest").alias("n"))
+    held = materialised(held.where(F.col("n") >= MIN_PAGES), "held")
+    site = held.join(asked, "host").where("n >= least").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "run", F.lit(True).alias("site"))
+    return mine.join(held, ["host", "run"]).select("host", "shard", "run", F.lit(False).alias("site")).unionByName(site)

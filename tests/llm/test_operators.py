@@ -716,6 +716,25 @@ def test_html_against_brute_force(spark, shard_pages):
     assert any("what we like" in htmltext.chosen([htmltext.rest(h)])[0] for i, _, h in rows if i >= 2000)
 
 
+@pytest.mark.parametrize("shard_pages", [7, 60])
+def test_html_is_the_same_in_any_number_of_shards(spark, shard_pages):
+    """Runs on three pages of three shards, on half of a host's pages to a page, and shared by pages with and without an article."""
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rare = "<p>a line that stands on three pages of a whole host and no more</p>"
+    half = "<p>a line that stands on just half of all the pages of a host</p>"
+    rows = [(i, "http://a.example/x", f"<body><p>{words(i, 30)}</p>{rare * (i in (3, 50, 90))}</body>") for i in range(100)]
+    rows += [(200 + i, "http://b.example/x", f"<body><article><p>{words(i, 40)}</p>{half * (i % 2)}</article></body>") for i in range(100)]
+    rows += [(400 + i, "http://c.example/x", f"<body><article><p>{words(i, 40)}</p>{half * (i % 2 and i > 1)}</article></body>") for i in range(100)]
+    rows += [(600 + i, "http://d.example/x", f"<body><article><p>{words(i, 40)}</p>{rare * (i < 2)}</article></body>") for i in range(60)]
+    rows += [(700, "http://d.example/y", f"<body><p>{words(999, 30)}</p>{rare}</body>")]
+    rows += [(800 + i, rows[200][1], rows[200][2]) for i in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in htmltext.main_text(df, shard_pages=shard_pages).collect()}
+    want = pages_slow([(i, re.match("[a-z]+://([^/?#]*)", u)[1].lower(), h) for i, u, h in rows])
+    assert {i for i in want if got[i] != want[i]} == set()
+    assert "three pages" not in got[3] + got[700] and "three pages" in got[600] and "just half" not in got[201] and "just half" in got[403]
+
+
 def test_html_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = queries.op9_html(spark, SF).collect()
