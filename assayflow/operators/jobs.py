@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: A step: rows ``job, source, attempts`` of jobs in its state to ``job, ok, message, output, wait``. A job it gives no row for failed.
 Step = Callable[[DataFrame], DataFrame]
 DONE, FAILED = "done", "failed"
@@ -73,9 +75,13 @@ def run(spark: SparkSession, folder: str, flow: Workflow, rounds: int | None = N
     taken = 0
     while rounds is None or taken < rounds:
         at = (_complete(spark, folder) or [-1])[-1] + 1
-        open_ = states(spark, folder, flow).where(~F.col("state").isin(DONE, FAILED) & ~F.col("waits"))
+        # Written once: the log and the jobs are read and joined once a round, however many steps there are, and each step reads its own jobs.
+        open_ = staged(states(spark, folder, flow).where(~F.col("state").isin(DONE, FAILED) & ~F.col("waits")).select("job", "source", "state", "attempts"), "open")
+        here = {r.state for r in open_.select("state").distinct().collect()}
         parts = None
         for state, step in flow.steps.items():
+            if state not in here:
+                continue
             mine = open_.where(F.col("state") == state).select("job", "source", "attempts")
             made = step(mine).select("job", F.col("ok").cast("boolean").alias("ok"), F.col("message").cast("string").alias("message"), F.col("output").cast("string").alias("output"), F.col("wait").cast("boolean").alias("wait"))
             both = mine.join(made, "job", "left")
@@ -83,7 +89,7 @@ def run(spark: SparkSession, folder: str, flow: Workflow, rounds: int | None = N
             to = F.when(ok, flow.after(state)).when(F.col("attempts") + 1 > flow.max_retries, FAILED).otherwise(state)
             rows = both.select("job", F.lit(state).alias("from_state"), to.alias("to_state"), ok.alias("ok"), F.when(~ok, F.coalesce("message", F.lit("no result"))).alias("message"), F.when(ok, F.col("output")).alias("output"), (ok & F.coalesce("wait", F.lit(False))).alias("waits"), F.lit(at).alias("round"))
             parts = rows if parts is None else parts.unionByName(rows)
-        if not open_.limit(1).count():
+        if parts is None:
             break
         parts.write.mode("overwrite").parquet(f"{folder}/log/round-{at}")
         taken += 1

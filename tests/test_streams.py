@@ -158,3 +158,21 @@ def test_upsert(spark, stored, resets):
     want = {i: (t, j, n) for i, _, t, j, n in traces} | {99: ("new99", None, False)}
     want |= {3: ("newer3", None, False), 7: ("new7", None, False)} if resets else {3: ("newer3", 3.0, False), 7: ("new7", 2.0, True)}
     assert got == want
+
+
+def test_a_round_reads_the_log_once(spark, tmp_path):
+    """Steps start from open jobs that were written, not from the log and the jobs once more for every step; states without open jobs have no step."""
+    read, folder = [], str(tmp_path / "jobs")
+
+    def step(name):
+        def run(df):
+            read.append((name, df.inputFiles()))
+            return df.select("job", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("message"), F.lit(name).alias("output"), F.lit(False).alias("wait"))
+
+        return run
+
+    work = jobs.Workflow({n: step(n) for n in ("one", "two")})
+    jobs.submit(spark.createDataFrame([("a",), ("b",)], "source string"), folder)
+    assert jobs.run(spark, folder, work) == 2
+    assert [n for n, _ in read] == ["one", "two"] and not any("/jobs/" in f for _, files in read for f in files)
+    assert {r.state for r in jobs.states(spark, folder, work).collect()} == {"done"}
