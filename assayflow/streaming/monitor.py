@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -60,6 +62,29 @@ def escalation(ticks: DataFrame, after: int = 2) -> DataFrame:
     return ticks.groupBy("name").applyInPandasWithState(step, "name string, tick long, consecutive long, severity string", "last long, run long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Rows that are Python objects at a time.
+LOT = 10_000
+
+
+def in_order(batches: Iterator[pd.DataFrame], last: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` with a ``seq`` above ``last`` in its order, in lots. A backlog may be all of an instance's rows: until their turn they are
+    Arrow columns, with strings that repeat held once a batch, and not objects."""
+    held = []
+    for b in batches:
+        b = b[b["seq"] > last].drop(columns="instance", errors="ignore")
+        if len(b):
+            table = pa.table({"seq": pa.array(b["seq"], pa.int64()), "at": pa.array(b["at"]), "trace_id": pa.array(b["trace_id"], pa.string())} | {n: pa.array(b[n], pa.bool_(), from_pandas=True) for n in ("sampled", "negative")})
+            held.append(table.append_column("payload", pa.chunked_array([pa.array(b["payload"], pa.string(), from_pandas=True).dictionary_encode()])))
+    if not held:
+        return
+    rows = pa.concat_tables(held).unify_dictionaries().combine_chunks()
+    held.clear()
+    order = np.argsort(rows.column("seq").to_numpy(), kind="stable")
+    for i in range(0, len(order), LOT):
+        part = rows.take(pa.array(order[i : i + LOT]))
+        yield part.set_column(part.column_names.index("payload"), "payload", part.column("payload").cast(pa.string())).to_pandas()
+
+
 def retained(events: DataFrame, capacity: int = 500, keep: str = "1 hour") -> DataFrame:
     """Exported traces of a stream of ``instance, seq, at, trace_id, sampled, negative, payload``: traces (``sampled`` not null) and feedback on them (``negative``).
 
@@ -73,24 +98,29 @@ def retained(events: DataFrame, capacity: int = 500, keep: str = "1 hour") -> Da
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, ids, payloads, times = state.get if state.exists else (-1, [], [], [])
         held = {i: (p, pd.Timestamp(t)) for i, p, t in zip(ids, payloads, times, strict=True)}
-        out, rows = [], pd.concat(list(batches)) if not state.hasTimedOut else pd.DataFrame()
-        for r in rows.sort_values("seq", kind="stable").itertuples() if len(rows) else ():
-            if r.seq <= last:
-                continue
-            last = r.seq
-            now = pd.Timestamp(r.at)
-            while held and now - next(iter(held.values()))[1] > span:
-                held.pop(next(iter(held)))
-            if r.sampled is not None and not pd.isna(r.sampled):
-                if r.sampled:
-                    out.append((key[0], r.trace_id, r.payload, False))
-                else:
-                    held.pop(r.trace_id, None)
-                    held[r.trace_id] = (r.payload, now)
-                    while len(held) > capacity:
-                        held.pop(next(iter(held)))
-            elif r.negative and r.trace_id in held:
-                out.append((key[0], r.trace_id, held.pop(r.trace_id)[0], True))
+        del ids, payloads, times
+        names = ["instance", "trace_id", "payload", "promoted"]
+        for lot in in_order(batches if not state.hasTimedOut else iter(()), last):
+            out = []
+            for r in lot.itertuples():
+                if r.seq <= last:
+                    continue
+                last = r.seq
+                now = pd.Timestamp(r.at)
+                while held and now - next(iter(held.values()))[1] > span:
+                    held.pop(next(iter(held)))
+                if r.sampled is not None and not pd.isna(r.sampled):
+                    if r.sampled:
+                        out.append((key[0], r.trace_id, r.payload, False))
+                    else:
+                        held.pop(r.trace_id, None)
+                        held[r.trace_id] = (r.payload, now)
+                        while len(held) > capacity:
+                            held.pop(next(iter(held)))
+                elif r.negative and r.trace_id in held:
+                    out.append((key[0], r.trace_id, held.pop(r.trace_id)[0], True))
+            if out:
+                yield pd.DataFrame(out, columns=names)
         if state.hasTimedOut:
             held = {}
         if held:
@@ -99,7 +129,7 @@ def retained(events: DataFrame, capacity: int = 500, keep: str = "1 hour") -> Da
             state.setTimeoutTimestamp(max(int((newest + span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         else:
             state.update((int(last), [], [], []))
-        yield pd.DataFrame(out, columns=["instance", "trace_id", "payload", "promoted"])
+        yield pd.DataFrame([], columns=names)
 
     stream = events.withWatermark("at", keep)
     return stream.groupBy("instance").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 import random
+import tracemalloc
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,24 @@ def test_a_round_reads_the_log_once(spark, tmp_path):
     assert jobs.run(spark, folder, work) == 2
     assert [n for n, _ in read] == ["one", "two"] and not any("/jobs/" in f for _, files in read for f in files)
     assert {r.state for r in jobs.states(spark, folder, work).collect()} == {"done"}
+
+
+def test_a_backlog_is_not_held_as_objects():
+    """All rows of an instance in one batch of a stream: in the order of ``seq``, without those seen before, and most of them as Arrow columns."""
+    n, size = 200_000, 10_000
+
+    def batches():
+        for i in range(0, n, size):
+            seq = [(j * 7919) % n for j in range(i, i + size)]
+            yield pd.DataFrame({"instance": "a", "seq": seq, "at": pd.Timestamp("2024-01-01"), "trace_id": [f"trace-{j:030d}" for j in seq], "sampled": [None if j % 3 else True for j in seq], "negative": None, "payload": [None if j % 5 else "ok" for j in seq]})
+
+    tracemalloc.start()
+    expect = 100
+    for lot in monitor.in_order(batches(), 99):
+        assert lot["seq"].tolist() == list(range(expect, expect + len(lot)))
+        assert lot["trace_id"].iloc[0] == f"trace-{expect:030d}" and [x is True for x in lot["sampled"][:6]] == [j % 3 == 0 for j in range(expect, expect + 6)]
+        assert [x == "ok" for x in lot["payload"][:6]] == [j % 5 == 0 for j in range(expect, expect + 6)]
+        expect += len(lot)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert expect == n and peak < 25_000_000 and list(monitor.in_order(iter(()), -1)) == []
