@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from assayflow.functions import diff
@@ -72,3 +74,19 @@ def test_names_match(spark):
     assert [r.m for r in table.select(T.names_match(F.col("a"), F.col("b")).alias("m")).collect()] == [r[2] for r in rows]
     lists = spark.createDataFrame([(["Bo", "Al!"], ["al", "BO"]), (["a", "a"], ["a"]), (None, [])], "a array<string>, b array<string>")
     assert [r.m for r in lists.select(T.name_lists_match(F.col("a"), F.col("b")).alias("m")).collect()] == [True, False, True]
+
+
+def test_memory_of_many_edits_and_texts():
+    """The way back keeps a number for each diagonal it may ask for, and texts of a batch are not all objects at once."""
+    a, b = [f"a{i}" for i in range(700)], [f"b{i}" for i in range(700)]
+    texts = pa.array(["\n".join(f"line {i} of {k}" for i in range(40)) for k in range(2000)])
+    edited = pa.array([None if k % 100 == 0 else t.as_py() + " x" for k, t in enumerate(texts)])
+    tracemalloc.start()
+    steps = diff.script(a, b)
+    first = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    found = diff.changes(texts, edited)
+    second = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(steps) == 1400 and first < 16_000_000
+    assert found.field("changed").to_pylist() == [40 if k % 100 == 0 else 2 for k in range(2000)] and second < 3_000_000
