@@ -25,7 +25,7 @@ def expected(recs: DataFrame, master: DataFrame) -> DataFrame:
     A product takes the name of the most alike in ``master`` (``name, place``), or keeps its own. Amounts of a product add up in the place of its first; a
     null amount or another action gives no position; places are distinct within a client. Products to be redeemed are rows of their own.
     """
-    names = similar.best(recs.select(F.col("product").alias("name")), master, KNOWN, F.trim).withColumnsRenamed({"name": "product", "found": "known"})
+    names = similar.best(recs.select(F.col("product").alias("name")), master, KNOWN, F.trim, similar.STEPS).withColumnsRenamed({"name": "product", "found": "known"})
     named = recs.join(names.drop("ratio"), "product", "left").withColumn("product", F.coalesce("known", "product"))
     redeemed = F.col("action") == "redeem"
     wanted = named.where(redeemed | (F.col("action").isin(*INVEST) & F.col("amount").isNotNull()))
