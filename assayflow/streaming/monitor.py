@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +86,10 @@ def in_order(batches: Iterator[pd.DataFrame], last: int) -> Iterator[pd.DataFram
         yield part.set_column(part.column_names.index("payload"), "payload", part.column("payload").cast(pa.string())).to_pandas()
 
 
+def _micros(times: np.ndarray) -> list[int | None]:
+    return [None if none else t for t, none in zip(times.astype("int64").tolist(), np.isnat(times).tolist(), strict=True)]
+
+
 def retained(events: DataFrame, capacity: int = 500, keep: str = "1 hour") -> DataFrame:
     """Exported traces of a stream of ``instance, seq, at, trace_id, sampled, negative, payload``: traces (``sampled`` not null) and feedback on them (``negative``).
 
@@ -93,40 +98,43 @@ def retained(events: DataFrame, capacity: int = 500, keep: str = "1 hour") -> Da
     """
     schema = "instance string, trace_id string, payload string, promoted boolean"
     state_schema = "last long, ids array<string>, payloads array<string>, times array<timestamp>"
-    span = pd.Timedelta(keep)
+    span = pd.Timedelta(keep) // pd.Timedelta("1us")
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, ids, payloads, times = state.get if state.exists else (-1, [], [], [])
-        held = {i: (p, pd.Timestamp(t)) for i, p, t in zip(ids, payloads, times, strict=True)}
+        # Times are microseconds. The oldest goes first and often: in a plain dictionary the places of those that went would be passed over each time.
+        held = OrderedDict((i, (p, t)) for i, p, t in zip(ids, payloads, _micros(np.array(times, "datetime64[us]")), strict=True))
         del ids, payloads, times
         names = ["instance", "trace_id", "payload", "promoted"]
         for lot in in_order(batches if not state.hasTimedOut else iter(()), last):
             out = []
-            for r in lot.itertuples():
-                if r.seq <= last:
+            for seq, now, trace, sampled, negative, payload in zip(lot["seq"].tolist(), _micros(lot["at"].to_numpy("datetime64[us]")), *(lot[n].tolist() for n in ("trace_id", "sampled", "negative", "payload")), strict=True):
+                if seq <= last:
                     continue
-                last = r.seq
-                now = pd.Timestamp(r.at)
-                while held and now - next(iter(held.values()))[1] > span:
-                    held.pop(next(iter(held)))
-                if r.sampled is not None and not pd.isna(r.sampled):
-                    if r.sampled:
-                        out.append((key[0], r.trace_id, r.payload, False))
+                last = seq
+                while held and now is not None:
+                    oldest = next(iter(held.values()))[1]
+                    if oldest is None or now - oldest <= span:
+                        break
+                    held.popitem(last=False)
+                if sampled is not None:
+                    if sampled:
+                        out.append((key[0], trace, payload, False))
                     else:
-                        held.pop(r.trace_id, None)
-                        held[r.trace_id] = (r.payload, now)
+                        held.pop(trace, None)
+                        held[trace] = (payload, now)
                         while len(held) > capacity:
-                            held.pop(next(iter(held)))
-                elif r.negative and r.trace_id in held:
-                    out.append((key[0], r.trace_id, held.pop(r.trace_id)[0], True))
+                            held.popitem(last=False)
+                elif negative and trace in held:
+                    out.append((key[0], trace, held.pop(trace)[0], True))
             if out:
                 yield pd.DataFrame(out, columns=names)
         if state.hasTimedOut:
             held = {}
         if held:
-            state.update((int(last), list(held), [p for p, _ in held.values()], [t.to_pydatetime() for _, t in held.values()]))
-            newest = max(t for _, t in held.values())
-            state.setTimeoutTimestamp(max(int((newest + span).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+            state.update((int(last), list(held), [p for p, _ in held.values()], np.array([t for _, t in held.values()], "datetime64[us]").tolist()))
+            newest = max((t for _, t in held.values() if t is not None), default=None)
+            state.setTimeoutTimestamp(max((newest + span) // 1000 if newest is not None else 0, state.getCurrentWatermarkMs() + 1))
         else:
             state.update((int(last), [], [], []))
         yield pd.DataFrame([], columns=names)

@@ -199,3 +199,42 @@ def test_a_backlog_is_not_held_as_objects():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert expect == n and peak < 25_000_000 and list(monitor.in_order(iter(()), -1)) == []
+
+
+def test_a_full_buffer_gives_up_its_oldest_at_once():
+    """Traces beyond the capacity go one by one, each in constant time: in a plain dictionary the gaps of those before are passed over each time."""
+    import time
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    taken = {}
+
+    class Stream:
+        def withWatermark(self, *_):
+            return self
+
+        groupBy = withWatermark
+
+        def applyInPandasWithState(self, step, *_):
+            taken["step"] = step
+
+    n, capacity = 300_000, 100_000
+    monitor.retained(Stream(), capacity, "36500 days")
+    rows = pd.DataFrame({"instance": "a", "seq": range(n), "at": pd.Timestamp("2024-01-01"), "trace_id": [str(i) for i in range(n)], "sampled": pd.Series([False] * n, dtype="object"), "negative": None, "payload": "ok"})
+    rows.loc[n - 1, ["trace_id", "sampled", "negative"]] = [str(n - 50), None, True]
+    state, began = State(), time.process_time()
+    out = pd.concat(list(taken["step"](("a",), iter([rows]), state)))
+    assert time.process_time() - began < 10
+    assert out.to_numpy().tolist() == [["a", str(n - 50), "ok", True]]
+    assert state.value[0] == n - 1 and state.value[1] == [str(i) for i in range(n - 1 - capacity, n - 1) if i != n - 50] and len(state.value[3]) == capacity - 1
+    assert state.at == (pd.Timestamp("2024-01-01") + pd.Timedelta("36500 days")).timestamp() * 1000
